@@ -76,13 +76,17 @@ def hash_spans(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 _STEP = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93)]
 
 
+def _salt(k: int) -> np.uint64:
+    return _U(int(_STEP[k % 4]) * (k + 1) % 2**64)
+
+
 def shingles(words: np.ndarray, first: np.ndarray, size: int = 4) -> list[np.ndarray]:
     """For each row its sorted distinct hashes of ``size`` words in a row; all words as one if fewer."""
     out: list[np.ndarray] = []
     n = max(len(words) - size + 1, 0)
     rolled = np.zeros(n, dtype=_U)
     for k in range(size):
-        rolled += mix(words[k : k + n] + _STEP[k % 4] * _U(k + 1)) * _STEP[(k + 1) % 4]
+        rolled += mix(words[k : k + n] + _salt(k)) * _STEP[(k + 1) % 4]
     rolled = mix(rolled)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= size:
@@ -91,7 +95,7 @@ def shingles(words: np.ndarray, first: np.ndarray, size: int = 4) -> list[np.nda
             h = _U(0)
             with np.errstate(over="ignore"):
                 for k, w in enumerate(words[a:b]):
-                    h = h + mix(np.array([w + _STEP[k % 4] * _U(k + 1)]))[0] * _STEP[(k + 1) % 4]
+                    h = h + mix(np.array([w + _salt(k)]))[0] * _STEP[(k + 1) % 4]
                 h = mix(np.array([h + _U(b - a) * _U(0xA24BAED4963EE407)]))
             out.append(h)
         else:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repset.llm import decontaminate, mixing
+from repset.llm import decontaminate, jaccard, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op8_mixing, op9_decontamination)}
-ORACLES = {"op8_mixing": mixing.ORACLE, "op9_decontamination": decontaminate.ORACLE}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op8_mixing, op9_decontamination, op10_jaccard_join)}
+ORACLES = {"op10_jaccard_join": jaccard.ORACLE, "op8_mixing": mixing.ORACLE, "op9_decontamination": decontaminate.ORACLE}
