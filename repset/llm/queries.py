@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repset.llm import decontaminate, jaccard, mixing
+from repset.llm import decontaminate, jaccard, mixing, tokenfile, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,5 +25,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_mixing, op9_decontamination, op10_jaccard_join)}
-ORACLES = {"op10_jaccard_join": jaccard.ORACLE, "op8_mixing": mixing.ORACLE, "op9_decontamination": decontaminate.ORACLE}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op5_warc, op6_token_files, op8_mixing, op9_decontamination, op10_jaccard_join)}
+ORACLES = {"op5_warc": warc.ORACLE, "op10_jaccard_join": jaccard.ORACLE, "op8_mixing": mixing.ORACLE, "op9_decontamination": decontaminate.ORACLE}
