@@ -12,6 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from repset.llm.hashing import hash_spans
 from repset.llm.store import Store
 from repset.session import drop, materialize, scratch
 
@@ -25,70 +26,148 @@ BLOCK = 1 << 20
 FILE_ROWS = 5000
 END = 0
 MAGIC = b"RSTOK1\n\0"
-#: fixed value: the public pattern that the byte-level tokenizer splits text by before merging
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: within these characters our splitting is the library's; a text with any other goes to it whole
-_PLAIN = regex.compile("[\x09\x0a\x0d\x20-\x7e¡-ɏ‐-‧‰-⁞]*+")
+#: fixed values: the public pattern by which the byte-level tokenizer splits text before merging is
+#: 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: our splitting is done within these characters; a text with any other goes to the library whole
+_PLAIN = regex.compile("[\x09\x0a\x0d\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e]")
+_LETTER, _DIGIT, _SPACE, _OTHER = 1, 2, 3, 4
+
+
+def _classes() -> np.ndarray:
+    """Class of each character below U+2060; 0 for those that aren't plain."""
+    out = np.zeros(0x2060, dtype=np.uint8)
+    for c in map(chr, range(0x2060)):
+        if _PLAIN.match(c):
+            out[ord(c)] = _SPACE if c in "\t\n\r " else _LETTER if regex.match(r"\p{L}", c) else _DIGIT if regex.match(r"\p{N}", c) else _OTHER
+    return out
+
+
+def split(cp: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Starts of the pieces of texts that lie one after another in ``cp``; ``first``: where each begins."""
+    n = len(cp)
+    head = np.zeros(n + 1, dtype=bool)
+    head[first] = True  # a text's first character, or the end
+    prev = np.zeros(n, dtype=np.uint8)
+    prev[1:] = kind[:-1]
+    prev[head[:-1]] = 0
+    follow = np.zeros(n, dtype=np.uint8)
+    follow[:-1] = kind[1:]
+    follow[head[1:]] = 0
+    blank = cp == 32
+    after_blank = np.zeros(n, dtype=bool)
+    after_blank[1:] = blank[:-1]
+    after_blank &= prev != 0
+    space = kind == _SPACE
+    # a run of one class, with the one blank before it; of white space, its last character stands apart
+    start = np.where(space, (prev != _SPACE) | ((follow != _SPACE) & (follow != 0)), (kind != prev) & ~after_blank)
+    at = np.flatnonzero((cp == 39) & start & (follow == _LETTER))
+    if len(at):
+        ends = np.append(first[1:], n)[np.searchsorted(first, at, side="right") - 1]
+        for e in ENDINGS:
+            fits = at[at + len(e) < ends]
+            for k, ch in enumerate(e):
+                fits = fits[cp[fits + 1 + k] == ord(ch)]
+            start[fits + 1] = False
+            fits = fits + len(e) + 1
+            start[fits[fits < n]] = True
+    start[first[first < n]] = True
+    return np.flatnonzero(start)
 
 
 class Encoder:
     """ids of texts by the ``tokenizers`` library, each distinct piece of text encoded once.
 
     Byte-level BPE merges only inside the pieces of its split pattern, so a text's ids are those of
-    its pieces in a row. Pieces are kept up to a bound and then anew."""
+    its pieces in a row. Texts are split and their pieces hashed (64 bits) a batch at a time in
+    numpy; the library encodes the pieces not seen before. They are kept up to a bound, then anew."""
 
-    def __init__(self, path: str, keep: int = 500_000, keep_chars: int = 24_000_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size()
         self.special = [str(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.find = regex.compile(SPLIT).findall
-        self.keep, self.keep_chars = keep, keep_chars
+        self.leads = np.zeros(self.size, dtype=bool)  # ids that begin with a blank
+        self.leads[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.kind = _classes()
+        self.keep = keep
         self._anew()
 
     def _anew(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.off, self.chars = np.zeros(1 << 16, np.uint32), [0], 0
+        self.place: dict[int, int] = {}
+        self.ids, self.off, self._off = np.zeros(1 << 16, np.uint32), [0], np.zeros(0, np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
-        got = [e.ids for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
-        flat = np.fromiter((x for g in got for x in g), dtype=np.uint32)
+    def _add(self, hashes: list[int], flat: np.ndarray, sizes: np.ndarray) -> None:
         end = self.off[-1]
         if end + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
         self.ids[end : end + len(flat)] = flat
-        for p, g in zip(pieces, got, strict=True):
-            self.place[p] = len(self.off) - 1
-            end += len(g)
-            self.off.append(end)
-            self.chars += len(p)
+        self.place.update(zip(hashes, range(len(self.off) - 1, len(self.off) - 1 + len(hashes)), strict=True))
+        self.off += (end + np.cumsum(sizes)).tolist()
+
+    def _learn(self, hashes: list[int], pieces: list[bytes]) -> None:
+        # pieces of a blank and a word stay apart when joined: encoded as one text, their ids begin where an id begins with a blank
+        plain = [k for k, p in enumerate(pieces) if p[:1] == b" " and len(p) > 1 and b" " not in p[1:] and p[1:2] not in b"\t\n\r"]
+        for k in range(0, len(plain), 4000):
+            part = plain[k : k + 4000]
+            flat = np.array(self.tok.encode(b"".join(pieces[x] for x in part).decode(), add_special_tokens=False).ids, dtype=np.uint32)
+            begin = np.flatnonzero(self.leads[flat])
+            if len(begin) != len(part):
+                raise ValueError("pieces and ids don't match")
+            self._add([hashes[x] for x in part], flat, np.diff(begin, append=len(flat)))
+        rest = sorted({*range(len(pieces))} - {*plain})
+        got = [e.ids for e in self.tok.encode_batch_fast([pieces[x].decode() for x in rest], add_special_tokens=False)]
+        self._add([hashes[x] for x in rest], np.fromiter((x for g in got for x in g), dtype=np.uint32), np.array([len(g) for g in got], dtype=np.int64))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.place) > self.keep or self.chars > self.keep_chars:
+        if len(self.place) > self.keep:
             self._anew()
+        cp = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
+        ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
+        first = np.append(0, ends[:-1]).astype(np.int64)
+        kind = self.kind[np.minimum(cp, len(self.kind) - 1)]
+        kind[cp >= len(self.kind)] = 0
+        odd = np.zeros(len(texts), dtype=bool)
+        odd[np.searchsorted(first, np.flatnonzero(kind == 0), side="right") - 1] = True
         out: list[np.ndarray | None] = [None] * len(texts)
-        pieces, which, counts = [], [], []
         for i, t in enumerate(texts):
-            if _PLAIN.fullmatch(t) and not any(s in t for s in self.special):
-                p = self.find(t)
-                pieces += p
-                which.append(i)
-                counts.append(len(p))
-            else:
+            if odd[i] or any(s in t for s in self.special):
+                odd[i] = True
                 out[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
-        at = list(map(self.place.get, pieces))
-        if None in at:
-            self._learn(list({p: None for p, a in zip(pieces, at, strict=True) if a is None}))
-            at = list(map(self.place.__getitem__, pieces))
-        at = np.array(at, dtype=np.int64)
-        off = np.array(self.off, dtype=np.int64)
-        start, n = off[at], off[at + 1] - off[at]
-        ends = np.cumsum(n)
-        flat = self.ids[np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        for k, i in enumerate(which):
-            out[i] = flat[cut[k] : cut[k + 1]]
+        plain = np.flatnonzero(~odd)
+        if odd.any():
+            texts = [texts[i] for i in plain]
+            got = self(texts) if texts else []
+            for i, x in zip(plain.tolist(), got, strict=True):
+                out[i] = x
+            return out
+        raw = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+        begin = split(cp, kind, first)
+        wide = np.cumsum(1 + (cp >= 0x80) + (cp >= 0x800), dtype=np.int64)
+        byte = np.where(begin > 0, wide[begin - 1], 0)
+        stop = np.append(byte[1:], len(raw))
+        h = hash_spans(raw, byte, stop)
+        distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        where = list(map(self.place.get, keys))
+        new = [k for k, x in enumerate(where) if x is None]
+        if new:
+            data = raw.tobytes()
+            self._learn([keys[k] for k in new], [data[byte[at[k]] : stop[at[k]]] for k in new])
+            for k in new:
+                where[k] = self.place[keys[k]]
+        where = np.array(where, dtype=np.int64)
+        if len(self._off) != len(self.off):
+            self._off = np.array(self.off, dtype=np.int64)
+        off = self._off
+        start, n = off[where][inverse], (off[where + 1] - off[where])[inverse]
+        done = np.cumsum(n)
+        flat = self.ids[np.repeat(start - (done - n), n) + np.arange(done[-1] if len(done) else 0)]
+        pieces = np.searchsorted(begin, np.append(first, len(cp)))
+        cut = np.concatenate([[0], done])[pieces].astype(np.int64)
+        for i in range(len(texts)):
+            out[i] = flat[cut[i] : cut[i + 1]]
         return out
 
 
