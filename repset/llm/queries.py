@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repset.llm import decontaminate, interpolation, jaccard, language, mixing, tokenfile, warc
+from repset.llm import decontaminate, interpolation, jaccard, language, mixing, tokenfile, vectors, warc, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score_documents(table(spark, sf_dir, "documents"))
 
@@ -47,5 +55,5 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op3_interpolation, op4_language, op5_warc, op6_token_files, op8_mixing, op9_decontamination, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_wrapper_induction, op7_vectors, op3_interpolation, op4_language, op5_warc, op6_token_files, op8_mixing, op9_decontamination, op10_jaccard_join)}
 ORACLES = {"op5_warc": warc.ORACLE, "op10_jaccard_join": jaccard.ORACLE, "op8_mixing": mixing.ORACLE, "op9_decontamination": decontaminate.ORACLE}
