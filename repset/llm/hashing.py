@@ -39,11 +39,18 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered: (bytes, starts, ends, first word of each row + total)."""
+#: bytes that end a word of ASCII letters and digits and of anything beyond ASCII
+NO_WORD = np.ones(256, dtype=bool)
+NO_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
+
+def tokens(texts: pa.Array, ends_word: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered: (bytes, starts, ends, first word of each row + total).
+
+    With another ``ends_word``, runs of the bytes that it doesn't mark."""
     raw, off = buffers(texts)
     low = _LOWER[raw]
-    word = ~_SPACE[low]
+    word = ~ends_word[low]
     before = np.zeros(len(low) + 1, dtype=bool)
     before[1:] = word
     before[off] = False  # a row's first byte starts a word even where the last row ended in one

@@ -48,6 +48,9 @@ def _identity(s: np.ndarray) -> int:
     return int(hashing.mix(np.array([total], dtype=_U)).view(np.int64)[0])
 
 
+_FACTS = ["doc_id", "n", "ident", "text_hash", "slice", "counts"]
+
+
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its set's size and identity; at the end, the partition's counts by token class."""
     counts = np.zeros(1 << CLASS_BITS, dtype=np.int64)
@@ -59,10 +62,10 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts += np.bincount((every >> _U(64 - CLASS_BITS)).astype(np.int64), minlength=1 << CLASS_BITS)
         n, ident = [len(s) for s in sets], [_identity(s) for s in sets]
         rows = len(sets)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ident, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["doc_id", "n", "ident", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ident, pa.int64()), b.column("text_hash"), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=_FACTS)
     if counts.any():
         packed = [_pack(x) for x in np.split(counts, SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "n", "ident", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names=_FACTS)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -209,7 +212,7 @@ def _links(docs: DataFrame, pairs: DataFrame, ids: DataFrame, salt_rows: int = 2
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (doc_id, text).
+    """``doc_id, text_hash, n_shingles, component_id`` for every row of ``docs`` (doc_id, text).
 
     A document's set is its distinct shingles of 4 words (A-Z lowered, split at ASCII white space);
     fewer words are one shingle. Two documents link when 100 * intersection >= 85 * union.
@@ -223,8 +226,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     second such round, all pairs left between different components of a bucket are compared."""
     spark = docs.sparkSession
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    facts, at_facts = materialize(known.mapInArrow(_facts, "doc_id long, n long, ident long, slice int, counts binary"), "facts")
-    rows = facts.where("slice IS NULL").select("doc_id", "n", "ident")
+    facts, at_facts = materialize(known.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_facts, "doc_id long, n long, ident long, text_hash long, slice int, counts binary"), "facts")
+    rows = facts.where("slice IS NULL").select("doc_id", "n", "ident", "text_hash")
     counts = np.zeros((1 << CLASS_BITS), dtype=np.int64)
     width = (1 << CLASS_BITS) // SLICES
     # SLICES rows of fixed size
@@ -272,7 +275,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     low = linked.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     classes = linked.groupBy("ident").agg(F.first("c").alias("c")).join(low, "c").select(F.col("ident").alias("i"), "component_id")
     out = rows.join(classes, (F.col("ident") == F.col("i")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 ORACLE = """

@@ -37,7 +37,7 @@ def source_targets(sizes: DataFrame, most: int = 3) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, seed: str = "mix", most: int = 3, bucket_rows: int = 20_000) -> DataFrame:
-    """``doc_id, size, source_size, target, taken, key`` for every row of ``docs`` (doc_id, text, source).
+    """``doc_id, text_hash, source, size, source_size, target, taken, key`` for every row of ``docs`` (doc_id, text, source).
 
     A document's key is the md5 of seed and id: uniform, the same in every run, and spread over
     buckets of equal width, so sorting one source by it needs no sampling and no task gets a whole
@@ -51,7 +51,7 @@ def mix_sources(docs: DataFrame, seed: str = "mix", most: int = 3, bucket_rows:
     A null id hashes as the empty string; equal ids are ordered by size and take as separate rows.
     An empty table gives an empty result."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    d, _ = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "mix")
+    d, _ = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", word_count(F.col("text")).alias("size"), key.alias("key")), "mix")
     targets = source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), most)
     # buckets by the key's first 32 bits; about bucket_rows of all rows in each
     head = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
@@ -70,7 +70,7 @@ def mix_sources(docs: DataFrame, seed: str = "mix", most: int = 3, bucket_rows:
     passes = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(0)
     d = d.withColumns({"start": F.col("ahead") + F.col("within"), "passes": passes, "left": budget - passes * F.col("source_size")})
     taken = F.col("size") * F.col("passes") + F.greatest(F.lit(0), F.least("size", F.col("left") - F.col("start")))
-    return d.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "key")
+    return d.select("doc_id", "text_hash", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "key")
 
 
 ORACLE = """

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repset.llm import decontaminate, interpolation, jaccard, language, mixing, tokenfile, vectors, warc, wrapper
+import corpus_pipeline
+from repset.llm import decontaminate, interpolation, jaccard, language, mixing, quality, tokenfile, vectors, warc, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "source", "p_low", "p_toxic", "keep")
 
 
 def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +61,6 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_wrapper_induction, op7_vectors, op3_interpolation, op4_language, op5_warc, op6_token_files, op8_mixing, op9_decontamination, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_wrapper_induction, op7_vectors, op3_interpolation, op4_language, op5_warc, op6_token_files, op8_mixing, op9_decontamination, op10_jaccard_join)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {"op5_warc": warc.ORACLE, "op10_jaccard_join": jaccard.ORACLE, "op8_mixing": mixing.ORACLE, "op9_decontamination": decontaminate.ORACLE}
