@@ -6,15 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 13
-#: runs of ASCII letters and digits or anything beyond ASCII, after A-Z are lowered
-WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: runs of ASCII letters and digits and anything beyond ASCII; as what a word holds, since Java is ten
+#: times slower with a class of what it doesn't hold
+WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
 #: bytes of benchmark up to which its window table is broadcast; beyond, words are shuffled
 BROADCAST_BYTES = 32 << 20
 
 
+def low(word: Column) -> Column:
+    """A-Z lowered, and nothing else."""
+    other = F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(other)
+
+
 def words(text: Column) -> Column:
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.coalesce(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """The words of a text, as they are written."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+
+
+def low_words(text: Column) -> Column:
+    return F.transform(words(text), low)
 
 
 def anchors(items: DataFrame, rarity: DataFrame, window: int) -> DataFrame:
@@ -23,7 +34,7 @@ def anchors(items: DataFrame, rarity: DataFrame, window: int) -> DataFrame:
     A window occurs only where its rarest word does, so that word is its necessary prefix. Windows
     of an item whose rarest word is the same position are one stretch ``seg`` of the item, with
     the anchor at index ``at`` (from 0)."""
-    w = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    w = items.select("item_id", low_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     w = w.withColumns({"iid": F.xxhash64("item_id", F.array_join("w", " ")), "width": F.least(F.size("w"), F.lit(window))})
     pos = w.select("item_id", "iid", "width", F.posexplode("w").alias("p", "word")).join(rarity, "word")
     # every window start s = p-width+1 .. p that lies in the item, then the rarest word of each window
@@ -38,9 +49,9 @@ def anchors(items: DataFrame, rarity: DataFrame, window: int) -> DataFrame:
 
 
 def _run(side: int) -> Column:
-    """How many words before (-1) or after (1) the anchor agree, within the stretch."""
+    """How many words before (-1) or after (1) the anchor agree, within the stretch; the anchor is at index c of ``near``."""
     room = F.col("at") if side < 0 else F.size("seg") - 1 - F.col("at")
-    same = F.transform(F.sequence(F.lit(1), room), lambda k: F.get("w", F.col("q") + side * k).eqNullSafe(F.get("seg", F.col("at") + side * k)))
+    same = F.transform(F.sequence(F.lit(1), room), lambda k: F.get("near", F.col("c") + side * k).eqNullSafe(F.get("seg", F.col("at") + side * k)))
     first = F.array_position(same, False)
     return F.when(room == 0, 0).when(first == 0, room).otherwise(first.cast("int") - 1)
 
@@ -48,31 +59,41 @@ def _run(side: int) -> Column:
 def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, text_hash, item_id, lo, hi``: stretches of words of a document that are covered by
     occurrences of windows of an item. Documents are scanned twice: once for the document counts
-    that order words by rarity, once for the join. The benchmark's tables are broadcast only if the
-    benchmark is under BROADCAST_BYTES; otherwise positions are shuffled by word."""
+    that order words by rarity, once for the join.
+
+    Each word of a document is a row only inside one compiled loop, which looks it up among the
+    anchors and compares the word before or after; what passes takes along the words around it and
+    is verified. That is, if the benchmark is under BROADCAST_BYTES, so that its tables can be
+    broadcast; otherwise words are shuffled."""
     spark = docs.sparkSession
-    vocab = items.select(F.explode(words(F.col("text"))).alias("word")).distinct()
+    vocab = items.select(F.explode(low_words(F.col("text"))).alias("word")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     small = size <= BROADCAST_BYTES
     hint = F.broadcast if small else (lambda df: df)
-    seen = docs.select(F.explode(words(F.col("text"))).alias("word")).join(hint(vocab), "word").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    seen = docs.select(F.explode_outer(words(F.col("text"))).alias("raw")).select(low(F.col("raw")).alias("word"))
+    seen = seen.join(hint(vocab), "word").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rarity = vocab.join(seen, "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df"))
     table = anchors(items, rarity, window)
+    table = table.withColumns({"before": F.get("seg", F.col("at") - 1), "after": F.get("seg", F.col("at") + 1)})
     if small:  # a local table: the plan below doesn't count the words a second time
         table = spark.createDataFrame(table.collect(), table.schema)
+    # the outer forms of explode: Spark guards the others by a filter that splits the text a second time
     d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    near = F.col("width") == 1
-    near |= (F.col("at") > 0) & F.get("w", F.col("q") - 1).eqNullSafe(F.get("seg", F.col("at") - 1))
-    near |= (F.col("at") < F.size("seg") - 1) & F.get("w", F.col("q") + 1).eqNullSafe(F.get("seg", F.col("at") + 1))
-    long_enough = near & (_run(-1) + _run(1) + 1 >= F.col("width"))
+    beside = (F.col("width") == 1) | (low(F.get("w", F.col("q") - 1)) == F.col("before")) | (low(F.get("w", F.col("q") + 1)) == F.col("after"))
     if small:
-        spread = d.select("doc_id", "text_hash", "w", F.posexplode("w").alias("q", "word"))
-        hit = spread.join(F.broadcast(table), (F.col("word") == F.col("anchor")) & long_enough)
+        spread = d.select("doc_id", "text_hash", "w", F.posexplode_outer("w").alias("q", "raw"))
+        hit = spread.join(F.broadcast(table), (low(F.col("raw")) == F.col("anchor")) & beside)
     else:
-        spread = d.select("doc_id", "text_hash", F.posexplode("w").alias("q", "word"))
-        found = spread.join(table, F.col("word") == F.col("anchor")).drop("word").withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h")
-        hit = d.dropDuplicates(["doc_id", "text_hash"]).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_hash").eqNullSafe(F.col("h"))).where(long_enough)
-    return hit.select("doc_id", "text_hash", "item_id", (F.col("q") - _run(-1)).alias("lo"), (F.col("q") + _run(1)).alias("hi"))
+        spread = d.select("doc_id", "text_hash", F.posexplode_outer("w").alias("q", "raw")).select("doc_id", "text_hash", "q", low(F.col("raw")).alias("word"))
+        found = spread.join(table, F.col("word") == F.col("anchor")).drop("word").withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
+        hit = d.dropDuplicates(["doc_id", "text_hash"]).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_hash").eqNullSafe(F.col("h"))).where(beside)
+    ahead = F.least(F.col("q"), F.lit(window - 1))
+    around = low(F.array_join(F.slice("w", F.col("q") - ahead + 1, ahead + window), " "))
+    # what isn't deterministic is a fence: the steps after it, which can't be compiled, aren't drawn into
+    # the loop over all words, whose rows would then each take along the whole document
+    near = F.when(F.spark_partition_id() >= 0, F.split(around, " "))
+    hit = hit.select("doc_id", "text_hash", "item_id", "q", "seg", "at", "width", near.alias("near"), ahead.alias("c"))
+    return hit.where(_run(-1) + _run(1) + 1 >= F.col("width")).select("doc_id", "text_hash", "item_id", (F.col("q") - _run(-1)).alias("lo"), (F.col("q") + _run(1)).alias("hi"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -90,8 +111,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     o = o.withColumn("fresh", F.greatest(F.lit(0), F.col("hi") - F.greatest(F.col("done"), F.col("lo") - 1)))
     ids = F.collect_set(F.col("item_id").cast("string"))
     per = o.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.sum("fresh").alias("hit"), F.size(F.collect_set(F.struct("item_id"))).cast("long").alias("k"), F.sha2(F.array_join(F.sort_array(ids), ",").cast("binary"), 256).alias("sha"))
-    low = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count(low, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     out = d.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_hash").eqNullSafe(F.col("h")), "left")
     hit = F.coalesce("hit", F.lit(0)).cast("long")
     return out.select("doc_id", "text_hash", "n_words", hit.alias("n_hit"), F.coalesce("k", F.lit(0)).cast("long").alias("n_items"), F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"))
