@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,3 +110,42 @@ def shingles(words: np.ndarray, first: np.ndarray, size: int = 4) -> list[np.nda
         else:
             out.append(words[:0])
     return out
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
+    """Slices of batches, so that what is held for one stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as compressed byte planes of their differences."""
+    planes = np.diff(x.astype(_U), prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return struct.pack("<Q", len(x)) + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    n = struct.unpack("<Q", b[:8])[0]
+    planes = np.frombuffer(pa.decompress(b[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel(), dtype=_U)
+
+
+def edges(parts: int) -> np.ndarray:
+    """Lower ends of ``parts`` equal ranges of 64-bit keys."""
+    return np.array([(p << 64) // parts for p in range(parts)], dtype=_U)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Runs of equal keys of sorted rows."""
+    now, held = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            k = tuple(r[x] for x in keys)
+            if k != now:
+                if held:
+                    yield now, held
+                now, held = k, []
+            held.append(r)
+    if held:
+        yield now, held

@@ -94,8 +94,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], uri: str, parts: int) -> Iterator
             if kind == 0:  # the context before each text is counted like a word, but isn't one
                 k = int(np.searchsorted(keys, BEGIN))
                 keys, a, b = np.insert(keys, k, BEGIN), np.insert(a, k, begin[0]), np.insert(b, k, begin[1])
-            cut = np.searchsorted(keys, _edges(parts)).tolist() + [len(keys)]
-            rows = [{"kind": kind, "part": p, "chunk": chunk, "keys": keys[i:j].tobytes(), "train": _z(a[i:j]), "tune": _z(b[i:j])} for p, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
+            cut = np.searchsorted(keys, hashing.edges(parts)).tolist() + [len(keys)]
+            rows = [{"kind": kind, "part": p, "chunk": chunk, "keys": hashing.pack_sorted(keys[i:j]), "train": _z(a[i:j]), "tune": _z(b[i:j])} for p, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
             yield pa.RecordBatch.from_pylist(rows, schema=_BLOCK)
 
     held, size, k = [], 0, 0
@@ -112,10 +112,6 @@ def _chunks(batches: Iterator[pa.RecordBatch], uri: str, parts: int) -> Iterator
         yield from flush(held, base | k)
 
 
-def _edges(parts: int) -> np.ndarray:
-    return np.array([(p << 64) // parts for p in range(parts)], dtype=_U)
-
-
 def _body(doc: pa.Array, n: np.ndarray, out: np.ndarray, tune: np.ndarray, vocab: np.ndarray, at: np.ndarray) -> list[bytes]:
     cols = [np.asarray(doc.fill_null(0), "<i8"), np.asarray(doc.is_valid()).astype("u1"), n.astype("<i8"), out.astype("u1"), tune.astype("u1"), vocab, at]
     packed = [_z(x) for x in cols]
@@ -134,24 +130,9 @@ def _load(raw: bytes) -> list[np.ndarray]:
 _REPLY = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("train", pa.binary()), ("tune", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("n_tune", pa.int64())])
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
-    """Runs of equal keys of sorted rows."""
-    now, held = None, []
-    for b in batches:
-        for r in b.to_pylist():
-            k = tuple(r[x] for x in keys)
-            if k != now:
-                if held:
-                    yield now, held
-                now, held = k, []
-            held.append(r)
-    if held:
-        yield now, held
-
-
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (kind, part), rows in _grouped(batches, ["kind", "part"]):
-        keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
+    for (kind, part), rows in hashing.grouped(batches, ["kind", "part"]):
+        keys = [hashing.unpack_sorted(r["keys"]) for r in rows]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate([_unz(r["train"], "<u4") for r in rows]), minlength=len(distinct)).astype(np.int64)
         tuned = np.bincount(at, weights=np.concatenate([_unz(r["tune"], "<u4") for r in rows]), minlength=len(distinct)).astype(np.int64)
@@ -200,7 +181,7 @@ def _probabilities(c: np.ndarray, before: np.ndarray, pair: np.ndarray, n: int)
 def _bins(batches: Iterator[pa.RecordBatch], uri: str, n: int, v: int) -> Iterator[pa.RecordBatch]:
     """How many tuning tokens lie in each cell of (bucket, bigram bin, unigram bin), by counts without the tuning part."""
     store = Store(uri)
-    for (chunk,), rows in _grouped(batches, ["chunk"]):
+    for (chunk,), rows in hashing.grouped(batches, ["chunk"]):
         x = _Chunk(store, chunk, rows)
         some = np.repeat(x.tune, x.n)
         if not some.any():
@@ -237,7 +218,7 @@ _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 def _scores(batches: Iterator[pa.RecordBatch], uri: str, n: int, v: int, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
     store = Store(uri)
-    for (chunk,), rows in _grouped(batches, ["chunk"]):
+    for (chunk,), rows in hashing.grouped(batches, ["chunk"]):
         x = _Chunk(store, chunk, rows)
         c, before, pair = x.counts("train")
         bucket, two, one = _probabilities(c, before, pair, n)
