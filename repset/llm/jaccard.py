@@ -16,6 +16,7 @@ pairs of its frequent tokens.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repset.llm import hashing
+from repset.llm.store import Store
 from repset.operators.components import connected_components
-from repset.session import drop, materialize
+from repset.session import drop, materialize, scratch
 
 _U = np.uint64
 CLASS_BITS = 21
@@ -33,6 +35,12 @@ SLICES = 16
 BLOOM_BITS = 24
 #: similarity of at least PERCENT / 100
 PERCENT = 85
+#: bytes of text whose signatures fall into one range of keys
+RANGE_BYTES = 24 << 20
+#: size: the smaller set has enough tokens. Place: what two sets share lies before a shared token in
+#: both, is it, or lies behind it in both; that must reach the overlap that the sizes ask for
+ALLOWED = f"""100 * least(n, n1) >= {PERCENT} * greatest(n, n1) AND (place < 0 OR p1 < 0 OR
+    {100 + PERCENT} * (least(place, p1) + 1 + least(n - place, n1 - p1) - 1) >= {PERCENT} * (n + n1))"""
 
 
 def _sets(texts: pa.Array) -> list[np.ndarray]:
@@ -54,10 +62,8 @@ _FACTS = ["doc_id", "n", "ident", "text_hash", "slice", "counts"]
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its set's size and identity; at the end, the partition's counts by token class."""
     counts = np.zeros(1 << CLASS_BITS, dtype=np.int64)
-    for b in batches:
+    for b in hashing.pieces(batches):
         sets = _sets(b.column("text"))
-        if not sets:
-            continue
         every = np.concatenate(sets)
         counts += np.bincount((every >> _U(64 - CLASS_BITS)).astype(np.int64), minlength=1 << CLASS_BITS)
         n, ident = [len(s) for s in sets], [_identity(s) for s in sets]
@@ -91,8 +97,8 @@ def needed(n: int) -> int:
     return (PERCENT * n + 99) // 100
 
 
-def signatures(s: np.ndarray, counts: np.ndarray, rare: int) -> np.ndarray:
-    """The signatures of one set (two tokens or more)."""
+def signatures(s: np.ndarray, counts: np.ndarray, rare: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of one set (two tokens or more); of single tokens also the place in the order, else -1."""
     n = len(s)
     lose = n - needed(n) + 1
     c = counts[(s >> _U(64 - CLASS_BITS)).astype(np.int64)]
@@ -100,7 +106,7 @@ def signatures(s: np.ndarray, counts: np.ndarray, rare: int) -> np.ndarray:
     s, c = s[order], c[order]
     k = int(np.searchsorted(c, rare, side="right"))
     if k >= lose:
-        return hashing.mix(s[:lose])
+        return hashing.mix(s[:lose]), np.arange(lose)
     out = [hashing.mix(s[:k])]
     often = s[k:]
     for band in range(max(needed(n), 2).bit_length() - 1, (100 * n // PERCENT).bit_length()):
@@ -114,27 +120,102 @@ def signatures(s: np.ndarray, counts: np.ndarray, rare: int) -> np.ndarray:
         part, g = often[:stop], g[:stop]
         by = np.lexsort((part, g))
         part, g = part[by], g[by]
-        size = np.bincount(g)
-        for step in range(1, int(size.max())):
+        for step in range(1, int(np.bincount(g).max())):
             same = g[step:] == g[:-step]
             a, b = part[:-step][same], part[step:][same]
             out.append(hashing.mix(hashing.mix(a + _U(band + 1)) + hashing.mix(b ^ _U(0xA24BAED4963EE407))))
-    return np.unique(np.concatenate(out))
+    out = np.concatenate(out)
+    place = np.full(len(out), -1)
+    place[:k] = np.arange(k)
+    return out, place
+
+
+_ASK = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("twice", pa.binary())])
+_REPLY = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("shared", pa.binary())])
+
 
+def _signed(batches: Iterator[pa.RecordBatch], uri: str, parts: int, counts: np.ndarray, rare: int) -> Iterator[pa.RecordBatch]:
+    """Store a chunk's signatures; yield its distinct ones, by range, to ask which others have too."""
+    from pyspark import TaskContext
 
-def _signed(batches: Iterator[pa.RecordBatch], counts: np.ndarray, rare: int) -> Iterator[pa.RecordBatch]:
+    store, chunk = Store(uri), TaskContext.get().partitionId() << 24
     seen: set[int] = set()
-    for b in batches:
-        sig, ident = [], []
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush() -> pa.RecordBatch:
+        sig, ident, n, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        keys, inverse, times = np.unique(sig, return_inverse=True, return_counts=True)
+        cols = [inverse.astype("<u4"), ident.astype("<i8"), n.astype("<i4"), place.astype("<i4")]
+        packed = [hashing.pack_sorted(keys), *(pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in cols)]
+        store.put(f"sigs-{chunk}", [struct.pack("<6Q", len(sig), *map(len, packed)), *packed])
+        cut = np.searchsorted(keys, hashing.edges(parts)).tolist() + [len(keys)]
+        return pa.RecordBatch.from_pylist([{"part": p, "chunk": chunk, "keys": hashing.pack_sorted(keys[i:j]), "twice": np.packbits(times[i:j] > 1).tobytes()} for p, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j], schema=_ASK)
+
+    size = 0
+    for b in hashing.pieces(batches):
         for s in _sets(b.column("text")):
             if len(s) < 2 or (i := _identity(s)) in seen:
                 continue
             if len(seen) < 200_000:  # only saves work: what is sent twice is told apart later
                 seen.add(i)
-            sig.append(signatures(s, counts, rare))
-            ident.append(np.full(len(sig[-1]), i, dtype=np.int64))
-        if sig:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(ident))], names=["sig", "ident"])
+            sig, place = signatures(s, counts, rare)
+            held.append((sig, np.full(len(sig), i), np.full(len(sig), len(s)), place))
+            size += len(sig)
+        if size >= 1_000_000:
+            yield flush()
+            size, chunk = 0, chunk + 1
+    if held:
+        yield flush()
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by part: tell each chunk which of its signatures stand in more than one set."""
+    for (part,), rows in hashing.grouped(batches, ["part"]):
+        keys = [hashing.unpack_sorted(r["keys"]) for r in rows]
+        times = [1 + np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=len(k)) for r, k in zip(rows, keys, strict=True)]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        more = (np.bincount(at, weights=np.concatenate(times)) > 1)[at]
+        ends = np.cumsum([len(k) for k in keys])
+        yield pa.RecordBatch.from_pylist([{"chunk": r["chunk"], "part": part, "shared": np.packbits(more[e - len(k) : e]).tobytes()} for r, k, e in zip(rows, keys, ends.tolist(), strict=True)], schema=_REPLY)
+
+
+def _kept(batches: Iterator[pa.RecordBatch], uri: str, parts: int) -> Iterator[pa.RecordBatch]:
+    store = Store(uri)
+    for (chunk,), rows in hashing.grouped(batches, ["chunk"]):
+        raw = store.get(f"sigs-{chunk}")
+        n, *sizes = struct.unpack("<6Q", raw[:48])
+        ends = np.cumsum(sizes) + 48
+        parts_of = [raw[e - k : e] for e, k in zip(ends.tolist(), sizes, strict=True)]
+        keys = hashing.unpack_sorted(parts_of[0])
+        inverse, ident, size, place = (np.frombuffer(pa.decompress(x, decompressed_size=n * np.dtype(t).itemsize, codec="zstd", asbytes=True), t) for x, t in zip(parts_of[1:], ("<u4", "<i8", "<i4", "<i4"), strict=True))
+        cut = np.searchsorted(keys, hashing.edges(parts)).tolist() + [len(keys)]
+        mask = np.zeros(len(keys), dtype=bool)
+        for r in rows:
+            i, j = cut[r["part"]], cut[r["part"] + 1]
+            mask[i:j] = np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=j - i)
+        keep = np.flatnonzero(mask[inverse])
+        for i in range(0, len(keep), 50_000):
+            k = keep[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[inverse[k]].view(np.int64)), pa.array(ident[k]), pa.array(size[k]), pa.array(place[k])], names=["sig", "ident", "n", "place"])
+
+
+def shared_signatures(docs: DataFrame, counts, rare: int) -> DataFrame:
+    """``sig, ident, n, place`` of the signatures that more than one set has, or nearly only those.
+
+    Most signatures have no partner. They are told apart by chunks asking ranges of keys, with their
+    distinct signatures as packed arrays, so what is shuffled is some 6 bytes a signature and not a
+    row, and a signature that a third of all sets has is one key of each chunk."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, tasks = max(1, -(-int(size) // RANGE_BYTES)), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    uri = scratch(spark, "sigs")
+    Store(uri).create()
+    asked = docs.select("text").mapInArrow(lambda it: _signed(it, uri, parts, counts.value, rare), "part int, chunk long, keys binary, twice binary")
+    told = asked.repartition(tasks, "part").sortWithinPartitions("part", "chunk").mapInArrow(_shared, "chunk long, part int, shared binary")
+    out, _ = materialize(told.repartition(tasks, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(lambda it: _kept(it, uri, parts), "sig long, ident long, n int, place int"), "shared")
+    drop(spark, uri)
+    return out
 
 
 def _slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +245,7 @@ def _bloom_or(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(batches: Iterator[pa.RecordBatch], packed: bytes) -> Iterator[pa.RecordBatch]:
     """Identity and text of the documents that the filter lets through."""
     bits = np.unpackbits(np.frombuffer(pa.decompress(packed, decompressed_size=1 << (BLOOM_BITS - 3), codec="zstd", asbytes=True), dtype=np.uint8)).view(bool)
-    for b in batches:
+    for b in hashing.pieces(batches):
         b = b.filter(b.column("doc_id").is_valid())
         a, c = _slots(np.asarray(b.column("doc_id"), dtype=np.int64))
         b = b.filter(pa.array(bits[a] & bits[c]))
@@ -175,7 +256,7 @@ def _texts(batches: Iterator[pa.RecordBatch], packed: bytes) -> Iterator[pa.Reco
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by (leader, salt), the leader's own first: one set is held at a time."""
     lead, mine = None, None
-    for b in batches:
+    for b in hashing.pieces(batches):
         sets = _sets(b.column("text"))
         src, dst = [], []
         for u, v, s in zip(b.column("leader").to_pylist(), b.column("ident").to_pylist(), sets, strict=True):
@@ -236,41 +317,33 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     mean = float(counts.mean())
     rare = int(mean + 8 * mean**0.5 + 16)
     table = spark.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
-    sigs, at_sigs = materialize(docs.select("text").mapInArrow(lambda it: _signed(it, table.value, rare), "sig long, ident long"), "sigs")
-    leaders = sigs.groupBy("sig").agg(F.min("ident").alias("leader"), F.max("ident").alias("last")).where("leader < last").select("sig", "leader")
-    buckets, at_buckets = materialize(sigs.join(leaders, "sig"), "buckets")
-    drop(spark, at_sigs)
-    ids = rows.where("n > 1 AND doc_id IS NOT NULL").groupBy("ident").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    links = _links(known, buckets.where("leader <> ident").select("leader", "ident").distinct(), ids)
-    labels, at_labels = materialize(connected_components(links), "labels")
-
-    def open_buckets() -> DataFrame:
-        b = buckets.select("sig", "ident").distinct().join(labels, F.col("ident") == F.col("node"), "left").select("sig", "ident", F.coalesce("component", "ident").alias("component"))
-        crossing = b.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-        return b.join(crossing, "sig")
+    buckets = shared_signatures(known, table, rare)
+    ids = rows.where("n > 1 AND doc_id IS NOT NULL").groupBy("ident").agg(F.min("doc_id").alias("doc_id"))
 
-    sized = ids.select(F.col("ident").alias("i"), "n")
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        a, b = sized.toDF("leader", "n1"), sized.toDF("ident", "n2")
-        return pairs.distinct().join(a, "leader").join(b, "ident").where(f"100 * least(n1, n2) >= {PERCENT} * greatest(n1, n2)").select("leader", "ident")
+    def against(members: DataFrame, pick) -> DataFrame:
+        """Pairs of each bucket's leader and the others, of which size and place allow a link."""
+        head = members.groupBy("sig").agg(pick(F.struct("ident", "n", "place", "component")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        head = head.select("sig", *(F.col(f"m.{a}").alias(b) for a, b in (("ident", "leader"), ("n", "n1"), ("place", "p1"), ("component", "c1"))))
+        return members.join(head, "sig").where("ident <> leader AND component <> c1").where(ALLOWED).select("leader", "ident").distinct()
 
+    links = _links(known, against(buckets.withColumn("component", F.col("ident")), F.min), ids)
+    labels, at_labels = materialize(connected_components(links), "labels")
     for last in (False, True):
-        left, at_left = materialize(open_buckets(), "open")
+        b = buckets.join(labels, F.col("ident") == F.col("node"), "left").select("sig", "ident", "n", "place", F.coalesce("component", "ident").alias("component"))
+        crossing = b.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
+        left, at_left = materialize(b.join(crossing, "sig"), "open")
         if left.isEmpty():
             drop(spark, at_left)
             break
         if last:
-            x, y = left.toDF("sig", "leader", "c1"), left.toDF("sig", "ident", "c2")
-            pairs = x.join(y, "sig").where("leader < ident AND c1 <> c2").select("leader", "ident")
+            x, y = left.toDF("sig", "leader", "n1", "p1", "c1"), left
+            pairs = x.join(y, "sig").where("leader < ident AND c1 <> component").where(ALLOWED).select("leader", "ident").distinct()
         else:
-            head = left.groupBy("sig").agg(F.max(F.struct("ident", "component")).alias("m")).select("sig", F.col("m.ident").alias("leader"), F.col("m.component").alias("c1"))
-            pairs = left.join(head, "sig").where("component <> c1").select("leader", "ident")
-        links = links.union(_links(known, fitting(pairs), ids))
+            pairs = against(left, F.max)
+        links = links.union(_links(known, pairs, ids))
         new, at_new = materialize(connected_components(links), "labels")
         drop(spark, at_labels, at_left)
         labels, at_labels = new, at_new
-    drop(spark, at_buckets)
     linked = rows.where("n > 0 AND doc_id IS NOT NULL").join(labels, F.col("ident") == F.col("node"), "left").select("doc_id", "ident", F.coalesce("component", "ident").alias("c"))
     low = linked.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     classes = linked.groupBy("ident").agg(F.first("c").alias("c")).join(low, "c").select(F.col("ident").alias("i"), "component_id")
