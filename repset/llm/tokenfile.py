@@ -82,7 +82,7 @@ class Encoder:
     its pieces in a row. Texts are split and their pieces hashed (64 bits) a batch at a time in
     numpy; the library encodes the pieces not seen before. They are kept up to a bound, then anew."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -171,9 +171,19 @@ class Encoder:
         return out
 
 
+_KEPT: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder a Python worker: what a task has learned serves the next."""
+    if path not in _KEPT:
+        _KEPT[path] = Encoder(path)
+    return _KEPT[path]
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(part, doc_id, n, ids) of every row; at the end a row of counts without part."""
-    enc = Encoder(path)
+    enc = encoder(path)
     kind = np.dtype("<u2") if enc.size <= 1 << 16 else np.dtype("<u4")
     counts = np.zeros(enc.size, dtype=np.int64)
     rows = 0
