@@ -37,6 +37,9 @@ BLOOM_BITS = 24
 PERCENT = 85
 #: bytes of text whose signatures fall into one range of keys
 RANGE_BYTES = 24 << 20
+#: sets in a bucket up to which its remaining pairs are rows; larger buckets are compared in blocks of
+#: about BLOCK sets
+FEW, BLOCK = 24, 400
 #: size: the smaller set has enough tokens. Place: what two sets share lies before a shared token in
 #: both, is it, or lies behind it in both; that must reach the overlap that the sizes ask for
 ALLOWED = f"""100 * least(n, n1) >= {PERCENT} * greatest(n, n1) AND (place < 0 OR p1 < 0 OR
@@ -271,6 +274,70 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
 
+def overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, as products of 0/1 matrices over some thousand tokens at a time."""
+    out = np.zeros((len(a), len(b)), dtype=np.float64)
+    both = [*a, *b]
+    row = np.repeat(np.arange(len(both)), [len(s) for s in both])
+    _, at, n = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    some = n[at] > 1
+    row, at = row[some], at[some]
+    _, at = np.unique(at, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    last = int(at[-1]) + 1 if len(at) else 0
+    for c in range(0, last, 4096):
+        i, j = np.searchsorted(at, [c, c + 4096])
+        m = np.zeros((len(both), 4096), dtype=np.float32)
+        m[row[i:j], at[i:j] - c] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by (grp, i, j): block i against block j of a group, pairs of one component left out."""
+    for (_, i, j), rows in hashing.grouped(batches, ["grp", "i", "j"]):
+        rows = list({r["ident"]: r for r in rows}.values())
+        sets = _sets(pa.array([r["text"] for r in rows], pa.string()))
+        left = [k for k, r in enumerate(rows) if r["b"] == i]
+        right = left if i == j else [k for k, r in enumerate(rows) if r["b"] == j]
+        if not left or not right:
+            continue
+        both = overlap([sets[k] for k in left], [sets[k] for k in right])
+        ident, comp = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("ident", "component"))
+        n = np.array([len(s) for s in sets])
+        link = (100 * both >= PERCENT * (n[left][:, None] + n[right][None, :] - both)) & (comp[left][:, None] != comp[right][None, :])
+        x, y = np.nonzero(link)
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array(ident[left][x]), pa.array(ident[right][y])], names=["src", "dst"])
+
+
+def _dense_links(docs: DataFrame, members: DataFrame, ids: DataFrame) -> DataFrame:
+    """Links between different components inside groups of sets (grp, ident, component).
+
+    Each group is dealt in blocks by hash, and each pair of blocks is one unit of work: its texts
+    come together once and are compared as matrices; only links become rows."""
+    tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    m = members.join(blocks, "grp").withColumn("b", F.pmod(F.xxhash64("ident"), F.col("blocks")).cast("int"))
+    m, at = materialize(m, "members")
+    texts = _texts_of(docs, m.select("ident"), ids).dropDuplicates(["ident"])
+    texts, at_texts = materialize(texts, "texts")
+    m = m.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("grp", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "b", "ident", "component")
+    full = m.join(texts, "ident").repartition(tasks, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "ident")
+    links, _ = materialize(full.select("grp", "i", "j", "b", "ident", "component", "text").mapInArrow(_compared, "src long, dst long").distinct(), "links")
+    drop(docs.sparkSession, at, at_texts)
+    return links
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ident, text`` of the wanted sets and of some more."""
+    need = wanted.distinct().join(ids, "ident").select("doc_id")
+    bloom = need.mapInArrow(_bloom_parts, "k int, bits binary").repartition(1, "k").mapInArrow(_bloom_or, "k int, bits binary").first()
+    packed = bytes(bloom["bits"]) if bloom else pa.compress(bytes(1 << (BLOOM_BITS - 3)), codec="zstd", asbytes=True)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _texts(it, packed), "ident long, text string")
+
+
 def _links(docs: DataFrame, pairs: DataFrame, ids: DataFrame, salt_rows: int = 2000) -> DataFrame:
     """Those of ``pairs`` (leader, ident) whose sets are within the threshold.
 
@@ -282,10 +349,7 @@ def _links(docs: DataFrame, pairs: DataFrame, ids: DataFrame, salt_rows: int = 2
     spread = pairs.join(heads, "leader").select("leader", "ident", F.pmod(F.xxhash64("ident"), F.col("salts")).cast("int").alias("salt"))
     own = heads.select("leader", F.col("leader").alias("ident"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     wanted, at = materialize(spread.union(own), "wanted")
-    need = wanted.select("ident").distinct().join(ids, "ident").select("doc_id")
-    bloom = need.mapInArrow(_bloom_parts, "k int, bits binary").repartition(1, "k").mapInArrow(_bloom_or, "k int, bits binary").first()
-    packed = bytes(bloom["bits"]) if bloom else pa.compress(bytes(1 << (BLOOM_BITS - 3)), codec="zstd", asbytes=True)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _texts(it, packed), "ident long, text string")
+    texts = _texts_of(docs, wanted.select("ident"), ids)
     full = wanted.join(texts, "ident").repartition(parts, "leader", "salt").sortWithinPartitions("leader", "salt", F.col("ident") != F.col("leader"))
     links, uri = materialize(full.select("leader", "ident", "text").mapInArrow(_verify, "src long, dst long").distinct(), "links")
     drop(docs.sparkSession, at)
@@ -304,7 +368,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Copies collapse first: equal sets are one class, and links are sought between classes only.
     In each bucket of a signature the smallest class is compared with all others, so a bucket of m
     costs m - 1 pairs; what thereby falls into one component needs no more comparisons. After a
-    second such round, all pairs left between different components of a bucket are compared."""
+    second such round, the pairs left between different components are compared: of small buckets
+    as rows, and the sets of larger ones, grouped by the signatures they share, in blocks. Sets that
+    are alike but not near enough to link can't be told apart more cheaply and exactly; such a group
+    costs time by its square, but no rows and no memory."""
     spark = docs.sparkSession
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     facts, at_facts = materialize(known.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_facts, "doc_id long, n long, ident long, text_hash long, slice int, counts binary"), "facts")
@@ -331,13 +398,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     for last in (False, True):
         b = buckets.join(labels, F.col("ident") == F.col("node"), "left").select("sig", "ident", "n", "place", F.coalesce("component", "ident").alias("component"))
         crossing = b.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-        left, at_left = materialize(b.join(crossing, "sig"), "open")
+        left, at_left = materialize(b.join(crossing, "sig").dropDuplicates(["sig", "ident"]), "open")
         if left.isEmpty():
             drop(spark, at_left)
             break
         if last:
-            x, y = left.toDF("sig", "leader", "n1", "p1", "c1"), left
+            many = left.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("ident").alias("first")).select("sig", "k", "first")
+            y = left.join(many.where(F.col("k") <= FEW), "sig")
+            x = y.select("sig", *(F.col(a).alias(b) for a, b in (("ident", "leader"), ("n", "n1"), ("place", "p1"), ("component", "c1"))))
             pairs = x.join(y, "sig").where("leader < ident AND c1 <> component").where(ALLOWED).select("leader", "ident").distinct()
+            near = left.join(many.where(F.col("k") > FEW), "sig").select(F.col("first").alias("src"), F.col("ident").alias("dst")).distinct()
+            grp = connected_components(near).select(F.col("node").alias("ident"), F.col("component").alias("grp"))
+            members = left.select("ident", "component").distinct().join(grp, "ident")
+            links = links.union(_dense_links(known, members, ids))
         else:
             pairs = against(left, F.max)
         links = links.union(_links(known, pairs, ids))
