@@ -82,7 +82,7 @@ class Encoder:
     its pieces in a row. Texts are split and their pieces hashed (64 bits) a batch at a time in
     numpy; the library encodes the pieces not seen before. They are kept up to a bound, then anew."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -108,15 +108,16 @@ class Encoder:
 
     def _learn(self, hashes: list[int], pieces: list[bytes]) -> None:
         # pieces of a blank and a word stay apart when joined: encoded as one text, their ids begin where an id begins with a blank
-        plain = [k for k, p in enumerate(pieces) if p[:1] == b" " and len(p) > 1 and b" " not in p[1:] and p[1:2] not in b"\t\n\r"]
+        plain = [k for k, p in enumerate(pieces) if p[0] == 32 and len(p) > 1 and p[1] > 32]
         for k in range(0, len(plain), 4000):
             part = plain[k : k + 4000]
-            flat = np.array(self.tok.encode(b"".join(pieces[x] for x in part).decode(), add_special_tokens=False).ids, dtype=np.uint32)
+            flat = np.array(self.tok.encode_batch_fast([b"".join(pieces[x] for x in part).decode()], add_special_tokens=False)[0].ids, dtype=np.uint32)
             begin = np.flatnonzero(self.leads[flat])
             if len(begin) != len(part):
                 raise ValueError("pieces and ids don't match")
             self._add([hashes[x] for x in part], flat, np.diff(begin, append=len(flat)))
-        rest = sorted({*range(len(pieces))} - {*plain})
+        taken = set(plain)
+        rest = [k for k in range(len(pieces)) if k not in taken]
         got = [e.ids for e in self.tok.encode_batch_fast([pieces[x].decode() for x in rest], add_special_tokens=False)]
         self._add([hashes[x] for x in rest], np.fromiter((x for g in got for x in g), dtype=np.uint32), np.array([len(g) for g in got], dtype=np.int64))
 
@@ -192,8 +193,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, bounds: np.ndarray) -
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "n", "ids"])
 
     for whole in batches:
-        for k in range(0, whole.num_rows, 500):
-            b = whole.slice(k, 500)
+        for k in range(0, whole.num_rows, 800):
+            b = whole.slice(k, 800)
             doc = b.column("doc_id")
             part = np.where(np.asarray(doc.is_valid()), np.searchsorted(bounds, np.asarray(doc.fill_null(0), dtype=np.int64), side="right"), 0)
             ids = [np.append(x, np.uint32(END)) for x in enc([t or "" for t in b.column("text").to_pylist()])]
