@@ -42,8 +42,9 @@ RANGE_BYTES = 24 << 20
 FEW, BLOCK = 24, 400
 #: size: the smaller set has enough tokens. Place: what two sets share lies before a shared token in
 #: both, is it, or lies behind it in both; that must reach the overlap that the sizes ask for
-ALLOWED = f"""100 * least(n, n1) >= {PERCENT} * greatest(n, n1) AND (place < 0 OR p1 < 0 OR
-    {100 + PERCENT} * (least(place, p1) + 1 + least(n - place, n1 - p1) - 1) >= {PERCENT} * (n + n1))"""
+ALLOWED = f"""100 * least(facts >> 32, facts1 >> 32) >= {PERCENT} * greatest(facts >> 32, facts1 >> 32)
+    AND (facts & 4294967295 = 0 OR facts1 & 4294967295 = 0 OR {100 + PERCENT} * (least(facts & 4294967295, facts1 & 4294967295)
+    + least((facts >> 32) - (facts & 4294967295), (facts1 >> 32) - (facts1 & 4294967295))) >= {PERCENT} * ((facts >> 32) + (facts1 >> 32)))"""
 
 
 def _sets(texts: pa.Array) -> list[np.ndarray]:
@@ -108,11 +109,14 @@ def signatures(s: np.ndarray, counts: np.ndarray, rare: int) -> tuple[np.ndarray
     order = np.lexsort((s, c))
     s, c = s[order], c[order]
     k = int(np.searchsorted(c, rare, side="right"))
-    if k >= lose:
-        return hashing.mix(s[:lose]), np.arange(lose)
-    out = [hashing.mix(s[:k])]
+    few = min(k, lose)  # if rare tokens suffice, they are the prefix; else all of them are in it
     often = s[k:]
+    out, place = [], []
     for band in range(max(needed(n), 2).bit_length() - 1, (100 * n // PERCENT).bit_length()):
+        out.append(hashing.mix(s[:few] + _U(band * 0x9E3779B97F4A7C15 % 2**64)))
+        place.append(np.arange(few))
+        if k >= lose:
+            continue
         groups = max(1, (1 << band) // 4)
         g = (hashing.mix(often ^ _U(band + 1)) % _U(groups)).astype(np.int64)
         _, at = np.unique(g, return_index=True)
@@ -127,10 +131,8 @@ def signatures(s: np.ndarray, counts: np.ndarray, rare: int) -> tuple[np.ndarray
             same = g[step:] == g[:-step]
             a, b = part[:-step][same], part[step:][same]
             out.append(hashing.mix(hashing.mix(a + _U(band + 1)) + hashing.mix(b ^ _U(0xA24BAED4963EE407))))
-    out = np.concatenate(out)
-    place = np.full(len(out), -1)
-    place[:k] = np.arange(k)
-    return out, place
+            place.append(np.full(len(a), -1))
+    return np.concatenate(out), np.concatenate(place)
 
 
 _ASK = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("twice", pa.binary())])
@@ -146,12 +148,12 @@ def _signed(batches: Iterator[pa.RecordBatch], uri: str, parts: int, counts: np.
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush() -> pa.RecordBatch:
-        sig, ident, n, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        sig, ident, facts = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         keys, inverse, times = np.unique(sig, return_inverse=True, return_counts=True)
-        cols = [inverse.astype("<u4"), ident.astype("<i8"), n.astype("<i4"), place.astype("<i4")]
+        cols = [inverse.astype("<u4"), ident.astype("<i8"), facts.astype("<i8")]
         packed = [hashing.pack_sorted(keys), *(pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in cols)]
-        store.put(f"sigs-{chunk}", [struct.pack("<6Q", len(sig), *map(len, packed)), *packed])
+        store.put(f"sigs-{chunk}", [struct.pack("<5Q", len(sig), *map(len, packed)), *packed])
         cut = np.searchsorted(keys, hashing.edges(parts)).tolist() + [len(keys)]
         return pa.RecordBatch.from_pylist([{"part": p, "chunk": chunk, "keys": hashing.pack_sorted(keys[i:j]), "twice": np.packbits(times[i:j] > 1).tobytes()} for p, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j], schema=_ASK)
 
@@ -163,7 +165,7 @@ def _signed(batches: Iterator[pa.RecordBatch], uri: str, parts: int, counts: np.
             if len(seen) < 200_000:  # only saves work: what is sent twice is told apart later
                 seen.add(i)
             sig, place = signatures(s, counts, rare)
-            held.append((sig, np.full(len(sig), i), np.full(len(sig), len(s)), place))
+            held.append((sig, np.full(len(sig), i), len(s) << 32 | place + 1))
             size += len(sig)
         if size >= 1_000_000:
             yield flush()
@@ -187,11 +189,11 @@ def _kept(batches: Iterator[pa.RecordBatch], uri: str, parts: int) -> Iterator[p
     store = Store(uri)
     for (chunk,), rows in hashing.grouped(batches, ["chunk"]):
         raw = store.get(f"sigs-{chunk}")
-        n, *sizes = struct.unpack("<6Q", raw[:48])
-        ends = np.cumsum(sizes) + 48
+        n, *sizes = struct.unpack("<5Q", raw[:40])
+        ends = np.cumsum(sizes) + 40
         parts_of = [raw[e - k : e] for e, k in zip(ends.tolist(), sizes, strict=True)]
         keys = hashing.unpack_sorted(parts_of[0])
-        inverse, ident, size, place = (np.frombuffer(pa.decompress(x, decompressed_size=n * np.dtype(t).itemsize, codec="zstd", asbytes=True), t) for x, t in zip(parts_of[1:], ("<u4", "<i8", "<i4", "<i4"), strict=True))
+        inverse, ident, facts = (np.frombuffer(pa.decompress(x, decompressed_size=n * np.dtype(t).itemsize, codec="zstd", asbytes=True), t) for x, t in zip(parts_of[1:], ("<u4", "<i8", "<i8"), strict=True))
         cut = np.searchsorted(keys, hashing.edges(parts)).tolist() + [len(keys)]
         mask = np.zeros(len(keys), dtype=bool)
         for r in rows:
@@ -200,11 +202,13 @@ def _kept(batches: Iterator[pa.RecordBatch], uri: str, parts: int) -> Iterator[p
         keep = np.flatnonzero(mask[inverse])
         for i in range(0, len(keep), 50_000):
             k = keep[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[inverse[k]].view(np.int64)), pa.array(ident[k]), pa.array(size[k]), pa.array(place[k])], names=["sig", "ident", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[inverse[k]].view(np.int64)), pa.array(ident[k]), pa.array(facts[k])], names=["sig", "ident", "facts"])
 
 
 def shared_signatures(docs: DataFrame, counts, rare: int) -> DataFrame:
-    """``sig, ident, n, place`` of the signatures that more than one set has, or nearly only those.
+    """``sig, ident, facts`` of the signatures that more than one set has, or nearly only those.
+
+    facts holds the set's size (high half) and the place of the token in the order, from 1, or 0.
 
     Most signatures have no partner. They are told apart by chunks asking ranges of keys, with their
     distinct signatures as packed arrays, so what is shuffled is some 6 bytes a signature and not a
@@ -216,7 +220,7 @@ def shared_signatures(docs: DataFrame, counts, rare: int) -> DataFrame:
     Store(uri).create()
     asked = docs.select("text").mapInArrow(lambda it: _signed(it, uri, parts, counts.value, rare), "part int, chunk long, keys binary, twice binary")
     told = asked.repartition(tasks, "part").sortWithinPartitions("part", "chunk").mapInArrow(_shared, "chunk long, part int, shared binary")
-    out, _ = materialize(told.repartition(tasks, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(lambda it: _kept(it, uri, parts), "sig long, ident long, n int, place int"), "shared")
+    out, _ = materialize(told.repartition(tasks, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(lambda it: _kept(it, uri, parts), "sig long, ident long, facts long"), "shared")
     drop(spark, uri)
     return out
 
@@ -387,36 +391,40 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     buckets = shared_signatures(known, table, rare)
     ids = rows.where("n > 1 AND doc_id IS NOT NULL").groupBy("ident").agg(F.min("doc_id").alias("doc_id"))
 
-    def against(members: DataFrame, pick) -> DataFrame:
-        """Pairs of each bucket's leader and the others, of which size and place allow a link."""
-        head = members.groupBy("sig").agg(pick(F.struct("ident", "n", "place", "component")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        head = head.select("sig", *(F.col(f"m.{a}").alias(b) for a, b in (("ident", "leader"), ("n", "n1"), ("place", "p1"), ("component", "c1"))))
-        return members.join(head, "sig").where("ident <> leader AND component <> c1").where(ALLOWED).select("leader", "ident").distinct()
-
-    links = _links(known, against(buckets.withColumn("component", F.col("ident")), F.min), ids)
-    labels, at_labels = materialize(connected_components(links), "labels")
-    for last in (False, True):
-        b = buckets.join(labels, F.col("ident") == F.col("node"), "left").select("sig", "ident", "n", "place", F.coalesce("component", "ident").alias("component"))
-        crossing = b.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-        left, at_left = materialize(b.join(crossing, "sig").dropDuplicates(["sig", "ident"]), "open")
-        if left.isEmpty():
-            drop(spark, at_left)
-            break
-        if last:
-            many = left.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("ident").alias("first")).select("sig", "k", "first")
-            y = left.join(many.where(F.col("k") <= FEW), "sig")
-            x = y.select("sig", *(F.col(a).alias(b) for a, b in (("ident", "leader"), ("n", "n1"), ("place", "p1"), ("component", "c1"))))
+    def against_leader(members: DataFrame, pick, component: str) -> tuple[DataFrame, str]:
+        """Each bucket's members but its leader, with the leader; where that is all there is to compare
+        in the bucket, only those that size and place allow to link with it."""
+        head = members.groupBy("sig").agg(pick("facts", "ident").alias("facts1"), pick(component, "ident").alias("c1"), pick("ident", "ident").alias("leader"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        rows = members.join(head, "sig").where("ident <> leader").withColumn("ask", F.expr(f"{component} <> c1 AND {ALLOWED}"))
+        return materialize(rows.where("ask OR k > 2").select("sig", "ident", "facts", "leader", "ask", "k"), "against")
+
+    labels, at_labels, links, left = None, None, None, buckets
+    for pick in (F.min_by, F.max_by, None):
+        if labels is not None:  # what a bucket has left: members in more than one component
+            b = left.join(labels, F.col("ident") == F.col("node"), "left").select("sig", "ident", "facts", F.coalesce("component", "ident").alias("component"))
+            crossing = b.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
+            left, at_left = materialize(b.join(crossing, "sig").dropDuplicates(["sig", "ident"]), "open")
+            drop(spark, at_against)
+            if left.isEmpty():
+                drop(spark, at_left)
+                break
+        if pick:
+            rows_, at_against = against_leader(left, pick, "ident" if labels is None else "component")
+            new_links = _links(known, rows_.where("ask").select("leader", "ident").distinct(), ids)
+            left = rows_.where("k > 2").select("sig", "ident", "facts")  # the leader is done with
+        else:
+            many = left.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("ident").alias("first"))
+            y = left.join(many.where(F.col("k") <= FEW).select("sig"), "sig")
+            x = y.select("sig", *(F.col(a).alias(b) for a, b in (("ident", "leader"), ("facts", "facts1"), ("component", "c1"))))
             pairs = x.join(y, "sig").where("leader < ident AND c1 <> component").where(ALLOWED).select("leader", "ident").distinct()
-            near = left.join(many.where(F.col("k") > FEW), "sig").select(F.col("first").alias("src"), F.col("ident").alias("dst")).distinct()
+            near = left.join(many.where(F.col("k") > FEW).select("sig", "first"), "sig").select(F.col("first").alias("src"), F.col("ident").alias("dst")).distinct()
             grp = connected_components(near).select(F.col("node").alias("ident"), F.col("component").alias("grp"))
             members = left.select("ident", "component").distinct().join(grp, "ident")
-            links = links.union(_dense_links(known, members, ids))
-        else:
-            pairs = against(left, F.max)
-        links = links.union(_links(known, pairs, ids))
-        new, at_new = materialize(connected_components(links), "labels")
-        drop(spark, at_labels, at_left)
-        labels, at_labels = new, at_new
+            new_links = _links(known, pairs, ids).union(_dense_links(known, members, ids))
+        if labels is not None:
+            drop(spark, at_left, at_labels)
+        links = new_links if links is None else links.union(new_links)
+        labels, at_labels = materialize(connected_components(links), "labels")
     linked = rows.where("n > 0 AND doc_id IS NOT NULL").join(labels, F.col("ident") == F.col("node"), "left").select("doc_id", "ident", F.coalesce("component", "ident").alias("c"))
     low = linked.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     classes = linked.groupBy("ident").agg(F.first("c").alias("c")).join(low, "c").select(F.col("ident").alias("i"), "component_id")
