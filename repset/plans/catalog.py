@@ -1,6 +1,405 @@
-"""Registry of the library's own queries and their oracle SQL."""
+"""The library's own queries on the driver's tables, and the same in DuckDB SQL where it can say it.
+
+Stand-ins: items are documents, segments their lines or conversation turns, quality is labels (times
+100), locations are sources and hosts, hits are events, pair tables come from sketches of documents.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from repset.operators import adjust, filters, greedy, linkage, pairs, ranges, score, segments, sketch
+from repset.operators.components import connected_components
+
+#: words in a shingle, hashes in a sketch, and the distance of primary clusters
+K, S, CUT = 5, 64, 0.1
+MINUTES = {"ANIn": 0.33, "gANI": 0.1, "ANImf": 0.5, "skani": 0.00667}
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Shared SQL. Shingles, sketches, pairs, components.
+_SH = f"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS w FROM documents),
+ g AS (SELECT doc_id, array_to_string(w[i : i + {K - 1}], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(w) - {K - 1})) AS i FROM w WHERE len(w) >= {K})),
+ sh AS (SELECT DISTINCT doc_id, substr(md5(g), 1, 15) AS h FROM g)"""
+_SK = _SH + f""",
+ sk AS (SELECT * FROM (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS r FROM sh) WHERE r <= {S}),
+ cn AS (SELECT doc_id, max(r) AS n FROM sk GROUP BY 1),
+ hit AS (SELECT x.doc_id AS item1, y.doc_id AS item2, x.r + y.r - row_number() OVER (PARTITION BY x.doc_id, y.doc_id ORDER BY h) AS place FROM sk x JOIN sk y USING (h) WHERE x.doc_id < y.doc_id),
+ pr AS (SELECT item1, item2, count(*) FILTER (place <= {S}) AS shared, least({S}, a.n + b.n - count(*)) AS size FROM hit JOIN cn a ON a.doc_id = item1 JOIN cn b ON b.doc_id = item2 GROUP BY item1, item2, a.n, b.n HAVING count(*) FILTER (place <= {S}) > 0),
+ pd AS (SELECT *, shared::DOUBLE / size AS j, least(1.0, -ln(2 * (shared::DOUBLE / size) / (1 + shared::DOUBLE / size)) / {K}) AS dist FROM pr)"""
+_CC = _SK + f""",
+ ed AS (SELECT item1 AS a, item2 AS b FROM pd WHERE dist <= {CUT} UNION SELECT item2, item1 FROM pd WHERE dist <= {CUT}),
+ rc AS (SELECT a AS node, a AS seen FROM ed UNION SELECT rc.node, ed.b FROM rc JOIN ed ON ed.a = rc.seen),
+ lo AS (SELECT node, min(seen) AS low FROM rc GROUP BY 1),
+ cl AS (SELECT doc_id AS item, least(doc_id, coalesce(low, doc_id)) AS cluster FROM documents LEFT JOIN lo ON node = doc_id)"""
+_CO = _CC + f""",
+ bl AS (SELECT item, cluster AS block FROM cl WHERE cluster IN (SELECT cluster FROM cl GROUP BY 1 HAVING count(*) > 1)),
+ nn AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+ sp AS (SELECT b1.block, x.doc_id AS query, y.doc_id AS reference, count(*) AS shared FROM sh x JOIN bl b1 ON b1.item = x.doc_id JOIN sh y USING (h) JOIN bl b2 ON b2.item = y.doc_id AND b2.block = b1.block GROUP BY 1, 2, 3),
+ pc AS (SELECT block, query, reference, shared, pow(shared::DOUBLE / q.n, 1.0 / {K}) AS ani, greatest(shared::DOUBLE / q.n, shared::DOUBLE / r.n) AS coverage FROM sp JOIN nn q ON q.doc_id = query JOIN nn r ON r.doc_id = reference)"""
+
+
+def _shingled(spark, d):
+    return sketch.shingles(t(spark, d, "documents"), "doc_id", "text", K)
+
+
+def _sketch(spark, d):
+    return sketch.bottom(_shingled(spark, d), "doc_id", S)
+
+
+def _pairs(spark, d):
+    return sketch.sketch_pairs(_sketch(spark, d), "doc_id", S, K)
+
+
+def _clusters(spark, d):
+    links = connected_components(_pairs(spark, d).where(F.round("dist", 12) <= CUT), "item1", "item2")
+    items = t(spark, d, "documents").select(F.col("doc_id").alias("item"))
+    return items.join(links, F.col("item") == F.col("node"), "left").select("item", F.coalesce("component", "item").alias("cluster"))
+
+
+def _blocks(spark, d):
+    c = _clusters(spark, d)
+    return c.join(c.groupBy("cluster").count().where("count > 1"), "cluster").select("item", F.col("cluster").alias("block"))
+
+
+def _containment(spark, d):
+    return sketch.containment(_shingled(spark, d), "doc_id", _blocks(spark, d).withColumnRenamed("item", "doc_id"), K)
+
+
+@query("SELECT page_id, split_part(url, '/', -1) AS name FROM pages")
+def load_items(spark, d):
+    return t(spark, d, "pages").select("page_id", segments.basename(F.col("url")).alias("name"))
+
+
+@query("SELECT doc_id, (i - 1)::INT AS idx, length(trim(l[i], ' '))::BIGINT AS len FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
+def segment_lengths(spark, d):
+    return segments.lines(t(spark, d, "documents"), "doc_id", "text")
+
+
+_N50 = """, m AS (SELECT {id}, len, sum(len) OVER (PARTITION BY {id} ORDER BY len DESC) AS run, sum(len) OVER (PARTITION BY {id}) AS total FROM s WHERE len > 0)
+ SELECT {id}, max(total)::BIGINT AS total, max(CASE WHEN 2 * run > total THEN len END)::BIGINT AS n50 FROM m GROUP BY {id}"""
+
+
+@query("WITH s AS (SELECT doc_id, length(trim(unnest(string_split(text, chr(10))), ' ')) AS len FROM documents)" + _N50.format(id="doc_id"))
+def item_info_n50(spark, d):
+    return segments.n50(segments.lines(t(spark, d, "documents"), "doc_id", "text"), "doc_id", "len")
+
+
+@query("WITH s AS (SELECT conv_id, length(text) AS len FROM conversations)" + _N50.format(id="conv_id"))
+def conversation_n50(spark, d):
+    return segments.n50(t(spark, d, "conversations").select("conv_id", F.length("text").cast("long").alias("len")), "conv_id", "len")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE n_chars >= 500")
+def filter_length(spark, d):
+    return filters.by_length(t(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", 500)
+
+
+def _quality(spark, d):
+    return t(spark, d, "labels").select("doc_id", (F.col("quality") * 100.0).alias("completeness"), (F.col("toxic") * 100.0).alias("contamination"))
+
+
+@query("SELECT doc_id, source FROM documents SEMI JOIN (SELECT * FROM labels WHERE quality * 100 >= 75 AND toxic * 100 <= 25) USING (doc_id)")
+def filter_quality(spark, d):
+    return filters.by_quality(t(spark, d, "documents").select("doc_id", "source"), _quality(spark, d), "doc_id")
+
+
+@query("SELECT split_part(url, '/', 3) AS host, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1")
+def duplicate_names(spark, d):
+    return filters.repeated(t(spark, d, "pages").select(F.split("url", "/").getItem(2).alias("host")), "host")
+
+
+@query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def quality_missing_items(spark, d):
+    return t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT doc_id, coalesce(quality * 100.0, least(n_chars / 10.0, 100.0))::DOUBLE AS completeness, coalesce(toxic * 100.0, 0.0)::DOUBLE AS contamination, CASE WHEN quality IS NULL THEN 'default' ELSE 'labels' END AS origin FROM documents LEFT JOIN labels USING (doc_id)")
+def quality_source_coalesce(spark, d):
+    docs = t(spark, d, "documents")
+    default = docs.select("doc_id", F.least(F.col("n_chars") / 10.0, F.lit(100.0)).alias("completeness"), F.lit(0.0).alias("contamination"))
+    return filters.resolve(docs, "doc_id", [("labels", _quality(spark, d))], default)
+
+
+@query(f"WITH {_SK} SELECT doc_id, h, r::INT AS r FROM sk")
+def sketch_bottom_s(spark, d):
+    return _sketch(spark, d)
+
+
+@query(f"WITH {_SK} SELECT item1, item2, shared, size::BIGINT AS size, round(j, 9) AS j, round(dist, 9) AS dist FROM pd")
+def sketch_distance(spark, d):
+    return _pairs(spark, d).withColumns({"j": F.round("j", 9), "dist": F.round("dist", 9)})
+
+
+@query(f"WITH RECURSIVE {_CC} SELECT item, cluster FROM cl")
+def primary_components(spark, d):
+    return _clusters(spark, d)
+
+
+@query("SELECT doc_id, 0 AS primary_cluster FROM documents")
+def primary_skip(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.lit(0).alias("primary_cluster"))
+
+
+@query(f"WITH RECURSIVE {_CC} SELECT item, cluster || '_0' AS secondary_cluster, {CUT}::DOUBLE AS threshold, 'sketch' AS comparison_algorithm FROM cl")
+def secondary_skip(spark, d):
+    return _clusters(spark, d).select("item", F.concat("cluster", F.lit("_0")).alias("secondary_cluster"), F.lit(CUT).alias("threshold"), F.lit("sketch").alias("comparison_algorithm"))
+
+
+def _r(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in cols})
+
+
+@query(f"WITH RECURSIVE {_CO} SELECT block, query, reference, shared, round(ani, 9) AS ani, round(coverage, 9) AS coverage FROM pc")
+def secondary_pairs_containment(spark, d):
+    return _r(_containment(spark, d), "ani", "coverage")
+
+
+@query(f"WITH RECURSIVE {_CO} SELECT query, reference, round(CASE WHEN coverage <= 0.5 THEN 0 ELSE ani END, 9) AS ani FROM pc")
+def coverage_gate(spark, d):
+    return _r(pairs.coverage_gate(_containment(spark, d), 0.5), "ani").select("query", "reference", "ani")
+
+
+@query(f"WITH RECURSIVE {_CO} SELECT a.query, a.reference, round(CASE WHEN a.query = a.reference THEN 1 ELSE (a.ani + b.ani) / 2 END, 9) AS av_ani FROM pc a JOIN pc b ON a.query = b.reference AND a.reference = b.query")
+def reciprocal_mean(spark, d):
+    return _r(pairs.reciprocal(_containment(spark, d)), "av_ani").select("query", "reference", "av_ani")
+
+
+@query(f"WITH RECURSIVE {_CO} SELECT x.block, x.item AS query, y.item AS reference, round(coalesce(ani, 0), 9) AS ani FROM bl x JOIN bl y ON x.block = y.block LEFT JOIN pc ON query = x.item AND reference = y.item")
+def densify_pairs(spark, d):
+    return _r(pairs.densify(_containment(spark, d), _blocks(spark, d)), "ani").select("block", "query", "reference", "ani")
+
+
+@query(f"WITH {_SK} SELECT item1 AS query, item2 AS reference, round(j, 9) AS ani FROM pd UNION ALL SELECT item2, item1, round(j, 9) FROM pd UNION ALL SELECT doc_id, doc_id, 1.0 FROM documents")
+def pairs_mirrored_self(spark, d):
+    p = _pairs(spark, d).select(F.col("item1").alias("query"), F.col("item2").alias("reference"), F.col("j").alias("ani"), F.col("j").alias("coverage"))
+    return _r(pairs.mirror(p, t(spark, d, "documents").select(F.col("doc_id").alias("item"))), "ani").select("query", "reference", "ani")
+
+
+_COV = """WITH x AS (SELECT l_partkey AS part, l_suppkey AS supplier, sum(l_quantity) AS shared FROM lineitem GROUP BY 1, 2),
+ a AS (SELECT part, sum(shared) AS n1 FROM x GROUP BY 1), b AS (SELECT supplier, sum(shared) AS n2 FROM x GROUP BY 1) """
+
+
+def _sums(spark, d):
+    x = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).agg(F.sum("l_quantity").alias("shared"))
+    return x.join(x.groupBy("part").agg(F.sum("shared").alias("n1")), "part").join(x.groupBy("supplier").agg(F.sum("shared").alias("n2")), "supplier")
+
+
+@query(_COV + "SELECT part, supplier, round(greatest(shared / n1, shared / n2), 9) AS coverage FROM x JOIN a USING (part) JOIN b USING (supplier)")
+def coverage_larger(spark, d):
+    return _sums(spark, d).select("part", "supplier", F.round(pairs.coverage(F.col("shared"), F.col("n1"), F.col("n2")), 9).alias("coverage"))
+
+
+@query(_COV + "SELECT part, supplier, round(2 * shared / (n1 + n2), 9) AS coverage FROM x JOIN a USING (part) JOIN b USING (supplier)")
+def coverage_total(spark, d):
+    return _sums(spark, d).select("part", "supplier", F.round(pairs.coverage(F.col("shared"), F.col("n1"), F.col("n2"), "total"), 9).alias("coverage"))
+
+
+@query("SELECT l_orderkey, round(sum(100 * (1 - l_discount) * l_quantity) / sum(l_quantity), 6) AS ani, round(sum(l_quantity) / 50, 6) AS af FROM lineitem WHERE l_quantity / 50 >= 0.7 AND 100 * (1 - l_discount) >= 70 GROUP BY 1")
+def weighted_gene_ani(spark, d):
+    x = t(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").alias("n"), (100 * (1 - F.col("l_discount"))).alias("p")).where((F.col("n") / 50 >= 0.7) & (F.col("p") >= 70))
+    return x.groupBy("l_orderkey").agg(F.round(F.sum(F.col("p") * F.col("n")) / F.sum("n"), 6).alias("ani"), F.round(F.sum("n") / 50, 6).alias("af"))
+
+
+def _linkage(method):
+    def run(spark, d):
+        p = pairs.reciprocal(_containment(spark, d)).join(_blocks(spark, d).withColumnRenamed("item", "query"), "query")
+        c = linkage.cluster_blocks(p.select("block", "query", "reference", "dist"), method, 0.05)
+        return c.withColumn("low", F.expr("min(item) over (partition by block, cluster)")).select("block", "item", "low")
+
+    run.__name__ = f"linkage_{method}"
+    return run
+
+
+for _m in linkage.METHODS:
+    query()(_linkage(_m))
+ORACLES["linkage_single"] = f"""WITH RECURSIVE {_CO},
+ e AS (SELECT a.query AS x, a.reference AS y FROM pc a JOIN pc b ON a.query = b.reference AND a.reference = b.query WHERE 1 - (a.ani + b.ani) / 2 <= 0.05 OR a.query = a.reference),
+ r AS (SELECT x AS node, x AS seen FROM e UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.seen)
+ SELECT block, bl.item, (SELECT min(seen) FROM r WHERE node = bl.item) AS low FROM bl"""
+
+
+@query()
+def greedy_clusters(spark, d):
+    """Longest first; a document joins the first representative with similarity and coverage at the thresholds or above."""
+    items = _blocks(spark, d).join(t(spark, d, "documents").select(F.col("doc_id").alias("item"), F.col("n_chars").alias("length")), "item")
+    near = _containment(spark, d).where("ani >= 0.95 AND coverage >= 0.1 AND query <> reference").select("block", "query", "reference")
+    return greedy.greedy(items.select("block", "item", "length"), near)
+
+
+@query()
+def multiround_primary(spark, d):
+    """Clusters of chunks first, then of each one's longest member; members follow their representative."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("item"), "n_chars", F.floor(F.col("doc_id") / 100).alias("chunk"))
+    p = _pairs(spark, d).where(F.round("dist", 12) <= CUT)
+    chunk = lambda c: F.floor(F.col(c) / 100)
+    first = connected_components(p.where(chunk("item1") == chunk("item2")), "item1", "item2")
+    one = docs.join(first, F.col("item") == F.col("node"), "left").select("item", "n_chars", F.coalesce("component", "item").alias("sub"))
+    reps = one.groupBy("sub").agg(F.max_by("item", F.struct("n_chars", -F.col("item"))).alias("rep"))
+    among = p.join(reps.select(F.col("rep").alias("item1")), "item1", "left_semi").join(reps.select(F.col("rep").alias("item2")), "item2", "left_semi")
+    second = connected_components(among, "item1", "item2")
+    two = reps.join(second, F.col("rep") == F.col("node"), "left").select("sub", "rep", F.coalesce("component", "rep").alias("cluster"))
+    return one.join(two, "sub").select("item", "sub", "rep", "cluster")
+
+
+@query(f"""WITH {_SH},
+ bw AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS w FROM benchmark),
+ bg AS (SELECT DISTINCT item_id, substr(md5(array_to_string(w[i : i + {K - 1}], ' ')), 1, 15) AS h FROM (SELECT *, unnest(generate_series(1, len(w) - {K - 1})) AS i FROM bw WHERE len(w) >= {K})),
+ n AS (SELECT item_id, count(*) AS n FROM bg GROUP BY 1),
+ s AS (SELECT doc_id, item_id, count(*)::DOUBLE / n AS c FROM sh JOIN bg USING (h) JOIN n USING (item_id) GROUP BY doc_id, item_id, n)
+ SELECT doc_id, item_id AS best, round(c, 9) AS containment FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, item_id) AS r FROM s) WHERE r = 1""")
+def one_vs_reps(spark, d):
+    reps = sketch.shingles(t(spark, d, "benchmark"), "item_id", "text", K)
+    n = reps.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    hit = _shingled(spark, d).join(reps, "h").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared")).join(n, "item_id")
+    best = F.max_by(F.struct("item_id", (F.col("shared") / F.col("n")).alias("c")), F.struct(F.col("shared") / F.col("n"), -F.col("item_id"))).alias("b")
+    return hit.groupBy("doc_id").agg(best).select("doc_id", F.col("b.item_id").alias("best"), F.round("b.c", 9).alias("containment"))
+
+
+_OLD = "SELECT n_nationkey || '_' || n_regionkey AS old, n_regionkey // 2 * 10 + n_nationkey // 5 AS grp FROM nation"
+
+
+@query(f"""WITH m AS ({_OLD}), g AS (SELECT grp, count(DISTINCT old) AS n, array_to_string(list_sort(list_distinct(list(split_part(old, '_', 1)))), '.') || '_' || array_to_string(list_sort(list_distinct(list(split_part(old, '_', 2)))), '.') AS name FROM m GROUP BY 1),
+ k AS (SELECT name, count(*) AS k FROM g WHERE n > 1 GROUP BY 1)
+ SELECT old, CASE WHEN n > 1 THEN name || CASE WHEN coalesce(k, 1) > 1 THEN '#' || grp ELSE '' END ELSE old END AS "new" FROM m JOIN g USING (grp) LEFT JOIN k USING (name)""")
+def tertiary_names(spark, d):
+    m = t(spark, d, "nation").select(F.concat_ws("_", F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")).alias("old"), F.expr("n_regionkey div 2 * 10 + n_nationkey div 5").alias("group"))
+    return adjust.merged_names(m)
+
+
+@query("""WITH o AS (SELECT user_id AS cluster, min(event_id) AS old_item FROM events WHERE event_type <> 'click' GROUP BY 1), n AS (SELECT user_id AS cluster, min(event_id) AS new_item FROM events WHERE value > 1 GROUP BY 1)
+ SELECT cluster, old_item, new_item, CASE WHEN old_item IS NULL THEN 'new' WHEN new_item IS NULL THEN 'gone' WHEN old_item <> new_item THEN 'changed' ELSE 'same' END AS change FROM o FULL JOIN n USING (cluster)""")
+def winner_changes(spark, d):
+    e = t(spark, d, "events")
+    first = lambda x: x.groupBy("user_id").agg(F.min("event_id"))
+    return adjust.winner_changes(first(e.where("event_type <> 'click'")), first(e.where("value > 1")))
+
+
+@query("SELECT n_nationkey AS item, n_regionkey AS primary_cluster, n_regionkey || '_' || n_nationkey % 3 AS secondary_cluster FROM nation WHERE n_regionkey <> 2 AND n_regionkey || '_' || n_nationkey % 3 <> '1_1'")
+def remove_cluster(spark, d):
+    c = t(spark, d, "nation").select(F.col("n_nationkey").alias("item"), F.col("n_regionkey").alias("primary_cluster"), F.concat_ws("_", F.col("n_regionkey").cast("string"), (F.col("n_nationkey") % 3).cast("string")).alias("secondary_cluster"))
+    return adjust.remove_cluster(adjust.remove_cluster(c, "2"), "1_1")
+
+
+_SC = """n AS (WITH s AS (SELECT doc_id, length(trim(unnest(string_split(text, chr(10))), ' ')) AS len FROM documents), m AS (SELECT doc_id, len, sum(len) OVER (PARTITION BY doc_id ORDER BY len DESC) AS run, sum(len) OVER (PARTITION BY doc_id) AS total FROM s WHERE len > 0)
+   SELECT doc_id, max(total) AS length, max(CASE WHEN 2 * run > total THEN len END) AS n50 FROM m GROUP BY 1),
+ sc AS (SELECT doc_id, lang, source, quality * 100 - 5 * (toxic * 100) + 0.5 * log10(n50) - 0.95 AS score, 0.5 * log10(n50) - 0.95 AS free FROM documents JOIN labels USING (doc_id) JOIN n USING (doc_id))"""
+
+
+def _scored(spark, d, free=False):
+    info = item_info_n50(spark, d).withColumnRenamed("total", "length")
+    x = t(spark, d, "documents").select("doc_id", "lang", "source").join(_quality(spark, d), "doc_id").join(info, "doc_id")
+    x = x.withColumns({"strain_heterogeneity": F.lit(0.0), "centrality": F.lit(0.0), "extra": F.lit(0.0)})
+    return x.withColumn("score", score.score(score.Weights(), ignore_quality=free))
+
+
+@query(f"WITH {_SC} SELECT doc_id, round(score, 6) AS score FROM sc")
+def scores(spark, d):
+    return _scored(spark, d).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_SC} SELECT doc_id, round(free, 6) AS score FROM sc")
+def scores_ignore_quality(spark, d):
+    return _scored(spark, d, True).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_SC} SELECT lang, source, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r = 1")
+def winners(spark, d):
+    return score.winners(_scored(spark, d), ["lang", "source"], "doc_id").withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_SC}, m AS (SELECT source, max(score) AS m FROM sc GROUP BY 1) SELECT doc_id, source, round(CASE WHEN m > 0 THEN greatest(0, score / m) ELSE 0 END, 6) AS score FROM sc JOIN m USING (source)""")
+def normalized_scores(spark, d):
+    return _r(score.normalized(_scored(spark, d), "source", ["score"]), "score").select("doc_id", "source", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id, coalesce(toxic::DOUBLE, 0) AS extra_weight FROM documents LEFT JOIN labels USING (doc_id)")
+def extra_weights(spark, d):
+    x = t(spark, d, "labels").select("doc_id", F.col("toxic").cast("double").alias("w"))
+    return t(spark, d, "documents").join(x, "doc_id", "left").select("doc_id", F.coalesce("w", F.lit(0.0)).alias("extra_weight"))
+
+
+@query(f"WITH RECURSIVE {_CO}, m AS (SELECT reference AS item, avg(ani) AS m FROM pc WHERE query <> reference GROUP BY 1) SELECT item, cluster, round(coalesce(m, 0), 9) AS centrality FROM cl LEFT JOIN m USING (item)")
+def centrality(spark, d):
+    return _r(score.centrality(_containment(spark, d), _clusters(spark, d)), "centrality")
+
+
+@query(f"WITH RECURSIVE {_CO}, m AS (SELECT query AS item, max(ani) AS hi, min(ani) AS lo FROM pc WHERE query <> reference GROUP BY 1), k AS (SELECT cluster, count(*) AS members FROM cl GROUP BY 1) SELECT item, cluster, members, round(100 * hi, 2) AS closest, round(100 * lo, 2) AS furthest FROM cl JOIN k USING (cluster) LEFT JOIN m USING (item) WHERE item = cluster")
+def winner_report(spark, d):
+    c = _clusters(spark, d)
+    m = _containment(spark, d).where("query <> reference").groupBy(F.col("query").alias("item")).agg(F.round(100 * F.max("ani"), 2).alias("closest"), F.round(100 * F.min("ani"), 2).alias("furthest"))
+    return c.join(c.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "cluster").where("item = cluster").join(m, "item", "left").select("item", "cluster", "members", "closest", "furthest")
+
+
+@query("SELECT CASE WHEN l_tax = 0 THEN 'none' WHEN 100 * l_tax <= 5 THEN 'low' WHEN 100 * l_tax < 10 THEN 'medium' WHEN 100 * l_tax < 15 THEN 'high' ELSE 'very high' END AS contamination, CASE WHEN 2 * l_quantity = 100 THEN 'perfect' WHEN 2 * l_quantity > 90 THEN 'near' WHEN 2 * l_quantity > 70 THEN 'substantial' WHEN 2 * l_quantity > 50 THEN 'moderate' ELSE 'partial' END AS completeness, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1, 2")
+def label_counts(spark, d):
+    x = t(spark, d, "lineitem")
+    return x.groupBy(score.contamination_label(100 * F.col("l_tax")).alias("contamination"), score.completeness_label(2 * F.col("l_quantity")).alias("completeness")).agg(F.countDistinct("l_orderkey").alias("n"))
+
+
+@query(f"WITH RECURSIVE {_CC}, k AS (SELECT cluster, count(*) AS g FROM cl GROUP BY 1) " + " UNION ALL ".join(f"SELECT '{a}' AS algorithm, sum(g * g)::BIGINT AS comparisons, round(sum(g * g) * {m} / 6, 6) AS minutes FROM k" for a, m in MINUTES.items()))
+def time_estimate(spark, d):
+    g = _clusters(spark, d).groupBy("cluster").agg(F.count(F.lit(1)).alias("g")).agg(F.sum(F.col("g") * F.col("g")).alias("comparisons"))
+    rows = F.explode(F.array(*(F.struct(F.lit(a).alias("algorithm"), F.lit(m).alias("m")) for a, m in MINUTES.items()))).alias("x")
+    return g.select("comparisons", rows).select("x.algorithm", "comparisons", F.round(F.col("comparisons") * F.col("x.m") / 6, 6).alias("minutes"))
+
+
+@query("SELECT url AS scaffold, max_by(split_part(url, '/', 3), page_id) AS bin FROM pages GROUP BY 1")
+def stb(spark, d):
+    return t(spark, d, "pages").groupBy(F.col("url").alias("scaffold")).agg(F.max_by(F.split("url", "/").getItem(2), "page_id").alias("bin"))
+
+
+@query("""WITH p AS (SELECT l_partkey AS r_scaff, sum(l_quantity) AS len FROM lineitem GROUP BY 1)
+ SELECT r_scaff, l_suppkey AS q_scaff, sum(l_quantity)::BIGINT AS r_aln_length, count(*) AS alignments, round(sum(l_quantity) / len, 9) AS coverage, round((sum(l_quantity) - sum(l_quantity * l_discount)) / sum(l_quantity), 9) AS ani FROM lineitem JOIN p ON r_scaff = l_partkey GROUP BY r_scaff, l_suppkey, len""")
+def scaffold_cov_ani(spark, d):
+    x = t(spark, d, "lineitem")
+    g = x.groupBy(F.col("l_partkey").alias("r_scaff"), F.col("l_suppkey").alias("q_scaff")).agg(F.sum("l_quantity").alias("n"), F.sum(F.col("l_quantity") * F.col("l_discount")).alias("errors"), F.count(F.lit(1)).alias("alignments"))
+    g = g.join(x.groupBy(F.col("l_partkey").alias("r_scaff")).agg(F.sum("l_quantity").alias("len")), "r_scaff")
+    return g.select("r_scaff", "q_scaff", F.col("n").cast("long").alias("r_aln_length"), "alignments", F.round(F.col("n") / F.col("len"), 9).alias("coverage"), F.round((F.col("n") - F.col("errors")) / F.col("n"), 9).alias("ani"))
+
+
+@query("""WITH r AS (SELECT l_suppkey AS key, l_partkey * 10 AS s, l_partkey * 10 + l_quantity::BIGINT * 100 AS e FROM lineitem WHERE l_linenumber = 1), x AS (SELECT l_suppkey AS key, l_orderkey % 25000 AS x FROM lineitem WHERE l_linenumber = 2)
+ SELECT r.key, s AS "start", e AS "end", ((x - s) // 1000)::BIGINT AS split, count(*) AS n FROM r JOIN x ON r.key = x.key AND x >= s AND x < e GROUP BY 1, 2, 3, 4""")
+def snp_splits(spark, d):
+    x = t(spark, d, "lineitem")
+    r = x.where("l_linenumber = 1").select(F.col("l_suppkey").alias("key"), (F.col("l_partkey") * 10).alias("start"), (F.col("l_partkey") * 10 + F.col("l_quantity").cast("long") * 100).alias("end"))
+    return ranges.splits(x.where("l_linenumber = 2").select(F.col("l_suppkey").alias("key"), (F.col("l_orderkey") % 25000).alias("x")), r, 1000)
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, event_type AS taxonomy, round(100.0 * n / total, 6) AS confidence FROM (SELECT *, sum(n) OVER (PARTITION BY user_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM c) WHERE r = 1""")
+def taxonomy_max(spark, d):
+    c = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    total = c.groupBy("user_id").agg(F.sum("n").alias("total"))
+    top = ranges.first_by(c, ["user_id"], [F.desc("n"), F.col("event_type")])
+    return top.join(total, "user_id").select("user_id", F.col("event_type").alias("taxonomy"), F.round(100.0 * F.col("n") / F.col("total"), 6).alias("confidence"))
+
+
+@query("SELECT n_nationkey, concat_ws('|', n_nationkey, coalesce(r_name, 'unk'), coalesce(n_name, 'unk')) AS lineage FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey > 0")
+def lineage_string(spark, d):
+    r = t(spark, d, "region").where("r_regionkey > 0")
+    j = t(spark, d, "nation").join(r, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    return j.select("n_nationkey", F.concat_ws("|", F.col("n_nationkey").cast("string"), F.coalesce("r_name", F.lit("unk")), F.coalesce("n_name", F.lit("unk"))).alias("lineage"))
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) AS known, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS unknown")
+def set_ops(spark, d):
+    a, b = t(spark, d, "documents").select("doc_id"), t(spark, d, "labels").select("doc_id")
+    both = a.intersect(b).select(F.lit(1).alias("k")).unionByName(a.subtract(b).select(F.lit(0).alias("k")))
+    return both.agg(F.sum("k").alias("known"), F.sum(1 - F.col("k")).cast("long").alias("unknown"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -41,6 +42,12 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(uri), uri
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now, not at some later garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(spark: SparkSession, *uris: str) -> None:
     """Remove scratch tables."""
     jvm = spark.sparkContext._jvm
