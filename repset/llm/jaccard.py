@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from repset.llm import hashing
 from repset.llm.store import Store
 from repset.operators.components import connected_components
-from repset.session import drop, materialize, scratch
+from repset.session import drop, forget, materialize, scratch
 
 _U = np.uint64
 CLASS_BITS = 21
@@ -389,6 +389,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rare = int(mean + 8 * mean**0.5 + 16)
     table = spark.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
     buckets = shared_signatures(known, table, rare)
+    forget(spark)
     ids = rows.where("n > 1 AND doc_id IS NOT NULL").groupBy("ident").agg(F.min("doc_id").alias("doc_id"))
 
     def against_leader(members: DataFrame, pick, component: str) -> tuple[DataFrame, str]:
@@ -425,6 +426,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             drop(spark, at_left, at_labels)
         links = new_links if links is None else links.union(new_links)
         labels, at_labels = materialize(connected_components(links), "labels")
+        del new_links
+        forget(spark)
     linked = rows.where("n > 0 AND doc_id IS NOT NULL").join(labels, F.col("ident") == F.col("node"), "left").select("doc_id", "ident", F.coalesce("component", "ident").alias("c"))
     low = linked.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     classes = linked.groupBy("ident").agg(F.first("c").alias("c")).join(low, "c").select(F.col("ident").alias("i"), "component_id")
