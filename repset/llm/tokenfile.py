@@ -95,34 +95,50 @@ class Encoder:
         self._anew()
 
     def _anew(self) -> None:
-        self.place: dict[int, int] = {}
-        self.ids, self.off, self._off = np.zeros(1 << 16, np.uint32), [0], np.zeros(0, np.int64)
-
-    def _add(self, hashes: list[int], flat: np.ndarray, sizes: np.ndarray) -> None:
-        end = self.off[-1]
-        if end + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
-        self.ids[end : end + len(flat)] = flat
-        self.place.update(zip(hashes, range(len(self.off) - 1, len(self.off) - 1 + len(hashes)), strict=True))
-        self.off += (end + np.cumsum(sizes)).tolist()
-
-    def _learn(self, hashes: list[int], pieces: list[bytes]) -> None:
+        # sorted hashes of the pieces known, and where their ids begin and end
+        self.keys, self.begin, self.end = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        """Add pieces; ``hashes`` ascend."""
         # pieces of a blank and a word stay apart when joined: encoded as one text, their ids begin where an id begins with a blank
         plain = [k for k, p in enumerate(pieces) if p[0] == 32 and len(p) > 1 and p[1] > 32]
+        taken = set(plain)
+        rest = [k for k in range(len(pieces)) if k not in taken]
+        flats, size = [], np.zeros(len(pieces), np.int64)
         for k in range(0, len(plain), 4000):
             part = plain[k : k + 4000]
             flat = np.array(self.tok.encode_batch_fast([b"".join(pieces[x] for x in part).decode()], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            begin = np.flatnonzero(self.leads[flat])
-            if len(begin) != len(part):
+            first = np.flatnonzero(self.leads[flat])
+            if len(first) != len(part):
                 raise ValueError("pieces and ids don't match")
-            self._add([hashes[x] for x in part], flat, np.diff(begin, append=len(flat)))
-        taken = set(plain)
-        rest = [k for k in range(len(pieces)) if k not in taken]
+            flats.append(flat)
+            size[part] = np.diff(first, append=len(flat))
         got = [e.ids for e in self.tok.encode_batch_fast([pieces[x].decode() for x in rest], add_special_tokens=False)]
-        self._add([hashes[x] for x in rest], np.fromiter((x for g in got for x in g), dtype=np.uint32), np.array([len(g) for g in got], dtype=np.int64))
+        flats.append(np.fromiter((x for g in got for x in g), dtype=np.uint32))
+        size[rest] = [len(g) for g in got]
+        flat, order = np.concatenate(flats), np.array([*plain, *rest], dtype=np.int64)
+        end = np.zeros(len(pieces), np.int64)
+        end[order] = self.used + np.cumsum(size[order])
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids) // 2, len(flat)), np.uint32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        at = np.searchsorted(self.keys, hashes)
+        self.keys = np.insert(self.keys, at, hashes)
+        self.begin = np.insert(self.begin, at, (end - size).astype(np.int32))
+        self.end = np.insert(self.end, at, end.astype(np.int32))
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, known)"""
+        at = np.searchsorted(self.keys, hashes)
+        known = np.zeros(len(hashes), dtype=bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == hashes[inside]
+        return at, known
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.place) > self.keep:
+        if len(self.keys) > self.keep or self.used > 1 << 26:
             self._anew()
         cp = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
         ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
@@ -150,19 +166,13 @@ class Encoder:
         stop = np.append(byte[1:], len(raw))
         h = hash_spans(raw, byte, stop)
         distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        where = list(map(self.place.get, keys))
-        new = [k for k, x in enumerate(where) if x is None]
-        if new:
+        where, known = self._find(distinct)
+        new = np.flatnonzero(~known)
+        if len(new):
             data = raw.tobytes()
-            self._learn([keys[k] for k in new], [data[byte[at[k]] : stop[at[k]]] for k in new])
-            for k in new:
-                where[k] = self.place[keys[k]]
-        where = np.array(where, dtype=np.int64)
-        if len(self._off) != len(self.off):
-            self._off = np.array(self.off, dtype=np.int64)
-        off = self._off
-        start, n = off[where][inverse], (off[where + 1] - off[where])[inverse]
+            self._learn(distinct[new], [data[a:b] for a, b in zip(byte[at[new]].tolist(), stop[at[new]].tolist(), strict=True)])
+            where, _ = self._find(distinct)
+        start, n = self.begin[where][inverse].astype(np.int64), (self.end - self.begin)[where][inverse].astype(np.int64)
         done = np.cumsum(n)
         flat = self.ids[np.repeat(start - (done - n), n) + np.arange(done[-1] if len(done) else 0)]
         pieces = np.searchsorted(begin, np.append(first, len(cp)))
