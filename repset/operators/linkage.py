@@ -75,6 +75,44 @@ def cut(links: np.ndarray, n: int, cutoff: float) -> np.ndarray:
     return out
 
 
+def square(pdf: pd.DataFrame, most: int) -> tuple[list, np.ndarray]:
+    """(sorted items, symmetric matrix) of a block's ordered pairs; absent pairs have distance 1."""
+    names = sorted(set(pdf["query"]) | set(pdf["reference"]))
+    if len(names) > most:
+        raise ValueError(f"a block has {len(names)} items")
+    at = {x: k for k, x in enumerate(names)}
+    d = np.ones((len(names), len(names)))
+    d[pdf["query"].map(at).to_numpy(), pdf["reference"].map(at).to_numpy()] = pdf["dist"]
+    if not np.allclose(d, d.T):
+        raise ValueError("distances aren't symmetric")
+    np.fill_diagonal(d, 0)
+    return names, d
+
+
+def scaled(dist: np.ndarray, axes: int = 2) -> np.ndarray:
+    """Classical multidimensional scaling: coordinates whose distances are near ``dist``. Each axis
+    points so that its largest coordinate is positive; axes without spread are 0."""
+    n = len(dist)
+    centre = np.eye(n) - 1.0 / max(n, 1)
+    value, vector = np.linalg.eigh(-0.5 * centre @ (dist.astype(np.float64) ** 2) @ centre)
+    out = np.zeros((n, axes))
+    for k, i in enumerate(np.argsort(value)[::-1][:axes]):
+        x = vector[:, i] * np.sqrt(max(value[i], 0.0))
+        out[:, k] = x if x[np.argmax(np.abs(x))] >= 0 else -x
+    return out
+
+
+def scale_blocks(pairs: DataFrame, most: int = 5000) -> DataFrame:
+    """``block, item, x, y``: two coordinates for every item of a block; blocks as in ``cluster_blocks``."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, d = square(pdf, most)
+        at = scaled(d)
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "item": names, "x": at[:, 0], "y": at[:, 1]})
+
+    return pairs.groupBy("block").applyInPandas(one, "block long, item long, x double, y double")
+
+
 def cluster_blocks(pairs: DataFrame, method: str, cutoff: float, most: int = 5000) -> DataFrame:
     """``block, item, cluster`` from ordered pairs (block, query, reference, dist); absent pairs have distance 1.
 
@@ -83,16 +121,7 @@ def cluster_blocks(pairs: DataFrame, method: str, cutoff: float, most: int = 500
     single, complete, average and weighted linkage."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["query"]) | set(pdf["reference"]))
-        if len(names) > most:
-            raise ValueError(f"a block has {len(names)} items")
-        at = {x: k for k, x in enumerate(names)}
-        d = np.ones((len(names), len(names)))
-        q, r = pdf["query"].map(at).to_numpy(), pdf["reference"].map(at).to_numpy()
-        d[q, r] = pdf["dist"]
-        if not np.allclose(d, d.T):
-            raise ValueError("distances aren't symmetric")
-        np.fill_diagonal(d, 0)
+        names, d = square(pdf, most)
         number = cut(tree(d, method), len(names), cutoff)
         return pd.DataFrame({"block": pdf["block"].iloc[0], "item": names, "cluster": number})
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repset.operators import adjust, filters, greedy, linkage, pairs, ranges, score, segments, sketch
+from repset.operators import adjust, filters, greedy, linkage, pairs, ranges, scaffolds, score, segments, sketch, taxonomy, warn
 from repset.operators.components import connected_components
 
 #: words in a shingle, hashes in a sketch, and the distance of primary clusters
@@ -244,7 +244,17 @@ def greedy_clusters(spark, d):
     return greedy.greedy(items.select("block", "item", "length"), near)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SK},
+ ed AS (SELECT item1 AS a, item2 AS b FROM pd WHERE dist <= {CUT} UNION SELECT item2, item1 FROM pd WHERE dist <= {CUT}),
+ e1 AS (SELECT * FROM ed WHERE a // 100 = b // 100),
+ r1 AS (SELECT a AS node, a AS seen FROM e1 UNION SELECT r1.node, e1.b FROM r1 JOIN e1 ON e1.a = r1.seen),
+ l1 AS (SELECT node, min(seen) AS low FROM r1 GROUP BY 1),
+ one AS (SELECT doc_id AS item, n_chars, least(doc_id, coalesce(low, doc_id)) AS sub FROM documents LEFT JOIN l1 ON node = doc_id),
+ rp AS (SELECT sub, item AS rep FROM (SELECT *, row_number() OVER (PARTITION BY sub ORDER BY n_chars DESC, item) AS r FROM one) WHERE r = 1),
+ e2 AS (SELECT * FROM ed WHERE a IN (SELECT rep FROM rp) AND b IN (SELECT rep FROM rp)),
+ r2 AS (SELECT a AS node, a AS seen FROM e2 UNION SELECT r2.node, e2.b FROM r2 JOIN e2 ON e2.a = r2.seen),
+ l2 AS (SELECT node, min(seen) AS low FROM r2 GROUP BY 1)
+ SELECT item, one.sub, rep, least(rep, coalesce(low, rep)) AS cluster FROM one JOIN rp ON rp.sub = one.sub LEFT JOIN l2 ON node = rep""")
 def multiround_primary(spark, d):
     """Clusters of chunks first, then of each one's longest member; members follow their representative."""
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("item"), "n_chars", F.floor(F.col("doc_id") / 100).alias("chunk"))
@@ -403,3 +413,65 @@ def set_ops(spark, d):
     a, b = t(spark, d, "documents").select("doc_id"), t(spark, d, "labels").select("doc_id")
     both = a.intersect(b).select(F.lit(1).alias("k")).unionByName(a.subtract(b).select(F.lit(0).alias("k")))
     return both.agg(F.sum("k").alias("known"), F.sum(1 - F.col("k")).cast("long").alias("unknown"))
+
+
+@query(f"WITH RECURSIVE {_CO} SELECT block, CASE WHEN min(ani) = 1 THEN 0.0001 ELSE round(1 - min(ani), 9) END AS dist FROM pc WHERE query = reference GROUP BY 1")
+def self_distance(spark, d):
+    return _r(warn.self_distance(_containment(spark, d)), "dist")
+
+
+def _block_dist(spark, d):
+    p = pairs.reciprocal(_containment(spark, d)).join(_blocks(spark, d).withColumnRenamed("item", "query"), "query")
+    return p.select("block", "query", "reference", "dist")
+
+
+@query()
+def edge_warnings(spark, d):
+    return _r(warn.edges(warn.links(_block_dist(spark, d), "average"), 0.05, 2.0), "height")
+
+
+@query()
+def mds(spark, d):
+    """Two coordinates for each item of a cluster; only distances between them have a meaning."""
+    return _r(linkage.scale_blocks(_block_dist(spark, d)), "x", "y")
+
+
+@query(f"WITH {_SK} SELECT item2 AS item1, item1 AS item2, round(j, 9) AS ani FROM pd WHERE j > 0.5 AND item1 IN (SELECT doc_id FROM labels) AND item2 IN (SELECT doc_id FROM labels)")
+def winner_warnings(spark, d):
+    p = _pairs(spark, d).select(F.col("item1").alias("query"), F.col("item2").alias("reference"), F.col("j").alias("ani"))
+    return _r(warn.alike(p, t(spark, d, "labels").select(F.col("doc_id").alias("item")), 0.5), "ani")
+
+
+@query(f"WITH RECURSIVE {_CO}, m AS (SELECT 1 - dist AS similarity, ani, abs(x.n_chars - y.n_chars) AS diff FROM pd JOIN pc ON query = item1 AND reference = item2 JOIN documents x ON x.doc_id = item1 JOIN documents y ON y.doc_id = item2) SELECT count(*) AS n, round(corr(similarity, ani), 6) AS r, round(corr(diff, ani), 6) AS r_length FROM m")
+def pair_correlation(spark, d):
+    size = t(spark, d, "documents").select("doc_id", "n_chars")
+    near = _pairs(spark, d).select(F.col("item1").alias("query"), F.col("item2").alias("reference"), (1 - F.col("dist")).alias("similarity"))
+    m = near.join(_containment(spark, d).select("query", "reference", "ani"), ["query", "reference"])
+    m = m.join(size.toDF("query", "n1"), "query").join(size.toDF("reference", "n2"), "reference").withColumn("diff", F.abs(F.col("n1") - F.col("n2")))
+    return m.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("similarity", "ani"), 6).alias("r"), F.round(F.corr("diff", "ani"), 6).alias("r_length"))
+
+
+@query(f"""WITH {_SH},
+ bw AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS w FROM benchmark),
+ bg AS (SELECT DISTINCT item_id, substr(md5(array_to_string(w[i : i + {K - 1}], ' ')), 1, 15) AS h FROM (SELECT *, unnest(generate_series(1, len(w) - {K - 1})) AS i FROM bw WHERE len(w) >= {K})),
+ n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+ gone AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, item_id FROM sh JOIN bg USING (h) JOIN n USING (doc_id) GROUP BY doc_id, item_id, n HAVING count(*)::DOUBLE / n >= 0.05))
+ SELECT 'd:' || doc_id AS scaffold, doc_id IN (SELECT doc_id FROM gone) AS removed FROM documents UNION ALL SELECT 'b:' || item_id, false FROM benchmark""")
+def scaffold_dereplicate(spark, d):
+    reps = sketch.shingles(t(spark, d, "benchmark"), "item_id", "text", K)
+    n = _shingled(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    hit = _shingled(spark, d).join(reps, "h").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared")).join(n, "doc_id")
+    p = hit.select(F.concat(F.lit("d:"), "doc_id").alias("new"), F.concat(F.lit("b:"), "item_id").alias("old"), (F.col("shared") / F.col("n")).alias("coverage"), F.lit(1.0).alias("ani"))
+    s = t(spark, d, "documents").select(F.concat(F.lit("d:"), "doc_id").alias("scaffold"), F.lit("documents").alias("file"), F.lit(1).alias("priority"))
+    s = s.union(t(spark, d, "benchmark").select(F.concat(F.lit("b:"), "item_id"), F.lit("benchmark"), F.lit(0)))
+    return scaffolds.dereplicate(s, p, 0.05).select("scaffold", "removed")
+
+
+@query("""WITH h AS (SELECT user_id AS item, substr(event_type, 1, 1) AS phylum, event_type AS species FROM events WHERE value > 1),
+ c AS (SELECT item, 0 AS depth, 'phylum' AS rank, phylum AS name, count(*) AS n FROM h GROUP BY 1, 4 UNION ALL SELECT item, 1, 'species', species, count(*) FROM h GROUP BY 1, 4),
+ x AS (SELECT *, row_number() OVER (PARTITION BY item, depth ORDER BY n DESC, name) AS r, 100.0 * n / sum(CASE WHEN depth = 0 THEN n END) OVER (PARTITION BY item) AS confidence FROM c),
+ y AS (SELECT * FROM x WHERE r = 1)
+ SELECT item, rank, name, round(confidence, 6) AS confidence, depth = coalesce(max(CASE WHEN confidence >= 40 THEN depth END) OVER (PARTITION BY item), -1) AS best FROM y""")
+def taxonomy_percent(spark, d):
+    h = t(spark, d, "events").select(F.col("user_id").alias("item"), F.substring("event_type", 1, 1).alias("phylum"), F.col("event_type").alias("species"), F.col("value").alias("score"))
+    return taxonomy.by_share(h, ["phylum", "species"], 40, 1).withColumn("confidence", F.round("confidence", 6))
