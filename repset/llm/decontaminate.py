@@ -43,7 +43,8 @@ def anchors(items: DataFrame, rarity: DataFrame, window: int) -> DataFrame:
     n = F.max("p").over(Window.partitionBy("iid", "item_id")) + 1
     starts = pos.select("item_id", "iid", "width", "p", best.alias("best"), n.alias("n")).where(F.col("p") + F.col("width") <= F.col("n"))
     runs = starts.groupBy("item_id", "iid", "width", F.col("best.p").alias("a"), F.col("best.word").alias("anchor")).agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
-    runs = runs.join(w.select("item_id", "iid", "w"), ["item_id", "iid"])
+    whole = w.select(F.col("item_id").alias("id"), F.col("iid").alias("own"), "w")
+    runs = runs.join(whole, (F.col("iid") == F.col("own")) & F.col("item_id").eqNullSafe(F.col("id")))  # ids may be null
     seg = F.slice("w", F.col("lo") + 1, F.col("hi") - F.col("lo") + F.col("width"))
     return runs.select("anchor", "item_id", seg.alias("seg"), (F.col("a") - F.col("lo")).alias("at"), "width").distinct()
 

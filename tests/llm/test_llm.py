@@ -83,6 +83,14 @@ def test_large_benchmark_path(spark, docs, monkeypatch):
     assert sorted(map(str, decontaminate.decontaminate(docs, items).collect())) == want
 
 
+@pytest.mark.parametrize("bound", [32 << 20, 0])
+def test_items_without_id_count(spark, docs, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bound)
+    rows = [(None, " ".join(f"w{i}" for i in range(10, 30))), (None, "ein text"), (1, " ".join(f"w{i}" for i in range(20, 40)))]
+    got = {(r["doc_id"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.decontaminate(docs, spark.createDataFrame(rows, "item_id long, text string")).collect()}
+    assert got >= {(1, 30, 2, True), (3, 20, 1, True), (7, 2, 1, True), (8, 0, 0, False)}
+
+
 def test_interpolation(docs, none):
     got = interpolation.score_documents(docs).collect()
     train = Counter()
