@@ -172,6 +172,15 @@ def test_wrapper(spark):
     assert got == {(i, f"Body {i} & more text {i * 7}\nSecond part {i * i}") for i in range(6)} | {(90, ""), (91, ""), (92, "H\nOne two"), (92, "alone")}
 
 
+def test_wrapper_keeps_all_content():
+    page = lambda x: wrapper.text(wrapper.content(f"<html><body><nav>n</nav>{x}<footer>f</footer></body></html>"))
+    body = "a body of the page in many words " * 3
+    assert page(f"<div><p>{body}</p><article>A small card</article></div>") == f"{body.strip()}\nA small card"
+    assert page("<article><h2>One</h2>first part</article><article>second part</article>") == "One\nfirst part\nsecond part"
+    assert page(f"<main><h1>Head</h1><p>Lead</p><article>{body}</article></main>") == f"Head\nLead\n{body.strip()}"
+    assert page(f"<h1>Head</h1><article>{body}</article><p>and five words more here</p>") == f"Head\n{body.strip()}\nand five words more here"
+
+
 def test_quality(spark, docs, none):
     rng = np.random.default_rng(0)
     vocab = [f"w{i}" for i in range(400)]
