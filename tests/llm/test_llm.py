@@ -181,6 +181,22 @@ def test_wrapper_keeps_all_content():
     assert page(f"<h1>Head</h1><article>{body}</article><p>and five words more here</p>") == f"Head\n{body.strip()}\nand five words more here"
 
 
+def extracted(spark, pages):
+    rows = [(i, f"http://h.example/{i}", f"<body>{x}</body>") for i, x in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def prose(i, n=12):
+    return " ".join(f"w{i * n + k}" for k in range(n))
+
+
+def test_wrapper_template_of_any_length(spark):
+    blurb = "share this article with all of your friends and subscribe to our weekly letter " * 5
+    shared = "a passage of many words that a few articles of the host have in common"
+    pages = [f"<article><p>{prose(i)}</p>{f'<p>{shared}</p>' if i < 3 else ''}<div><p>{blurb}</p></div></article>" for i in range(12)]
+    assert extracted(spark, pages) == {i: f"{prose(i)}\n{shared}" if i < 3 else prose(i) for i in range(12)}
+
+
 def test_quality(spark, docs, none):
     rng = np.random.default_rng(0)
     vocab = [f"w{i}" for i in range(400)]
