@@ -197,6 +197,19 @@ def test_wrapper_template_of_any_length(spark):
     assert extracted(spark, pages) == {i: f"{prose(i)}\n{shared}" if i < 3 else prose(i) for i in range(12)}
 
 
+def test_wrapper_small_hosts_and_copies(spark):
+    page = lambda i: f"<div>{prose(i)}</div><div>read more about it here</div>"
+    assert extracted(spark, [page(0), page(1)]) == {0: prose(0), 1: prose(1)}
+    assert extracted(spark, [page(0)] * 5 + [page(1), page(2)]) == {i: prose(max(0, i - 4)) for i in range(7)}
+    near = [f"<p>{prose(1)}</p><p>{prose(2)}</p><p>edit {i}</p>" for i in range(2)]
+    assert extracted(spark, near) == {i: f"{prose(1)}\n{prose(2)}\nedit {i}" for i in range(2)}
+
+
+def test_wrapper_template_of_a_layout(spark):
+    pages = [f"<div class=post><p>{prose(i)}</p></div><div class=end>all rights are with the authors</div>" if i < 10 else f"<section><p>{prose(i)}</p></section>" for i in range(50)]
+    assert extracted(spark, pages) == {i: prose(i) for i in range(50)}
+
+
 def test_quality(spark, docs, none):
     rng = np.random.default_rng(0)
     vocab = [f"w{i}" for i in range(400)]
