@@ -210,6 +210,14 @@ def test_wrapper_template_of_a_layout(spark):
     assert extracted(spark, pages) == {i: prose(i) for i in range(50)}
 
 
+def test_wrapper_wide_and_deep_pages(spark):
+    end = "all rights are with us"
+    wide = ["".join(f"<div><p>{prose(300 * i + k, 5)}</p><p>{end}</p></div>" for k in range(250)) for i in range(5)]
+    assert extracted(spark, wide) == {i: "\n".join(prose(300 * i + k, 5) for k in range(250)) for i in range(5)}
+    deep = ["<div>" * 70 + f"<p>{prose(i)}</p><p>{end}</p>" + "</div>" * 70 for i in range(5)]
+    assert extracted(spark, deep) == {i: prose(i) for i in range(5)}
+
+
 def test_quality(spark, docs, none):
     rng = np.random.default_rng(0)
     vocab = [f"w{i}" for i in range(400)]
