@@ -4,20 +4,30 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from repset.operators.components import connected_components
+from repset.session import materialize
 
 METHODS = ("single", "complete", "average", "weighted", "centroid", "median", "ward")
+#: linkages whose clusters never reach beyond the connected components at the cutoff
+SPLITS = ("single", "complete", "average", "weighted")
+
 
+def tree(dist: np.ndarray, method: str, weight: np.ndarray | None = None) -> np.ndarray:
+    """Rows (left, right, height, size) by height from a square matrix of distances (Lance-Williams updates).
 
-def tree(dist: np.ndarray, method: str) -> np.ndarray:
-    """Rows (left, right, height, size) by height from a square matrix of distances (Lance-Williams updates)."""
+    A row stands for ``weight`` items at distance 0 from one another."""
     if method not in METHODS:
         raise ValueError(method)
     n = len(dist)
     squared = method in ("centroid", "median", "ward")
     d = dist.astype(np.float64) ** (2 if squared else 1)
     np.fill_diagonal(d, np.inf)
-    name, size, live = np.arange(n), np.ones(n), np.ones(n, dtype=bool)
+    name, size, live = np.arange(n), np.ones(n) if weight is None else np.array(weight, dtype=float), np.ones(n, dtype=bool)
+    if method == "ward":
+        d *= 2 * size[:, None] * size / (size[:, None] + size)
     out = []
     for step in range(n - 1):
         i, j = divmod(int(np.argmin(np.where(live[:, None] & live[None, :], d, np.inf))), n)
@@ -89,40 +99,97 @@ def square(pdf: pd.DataFrame, most: int) -> tuple[list, np.ndarray]:
     return names, d
 
 
-def scaled(dist: np.ndarray, axes: int = 2) -> np.ndarray:
+def prepared(pairs: DataFrame, most: int, cutoff: float | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """``pairs`` with a ``part`` of the block and the ``weight`` of the query; and ``members`` (block, item,
+    rep, part) of the blocks above ``most`` items, or None.
+
+    In these blocks items at distance 0 with equal distances to all others are one item ``rep``, and
+    with a ``cutoff`` parts are the connected components at it; pairs between parts are left out."""
+    pairs, _ = materialize(pairs.select(F.col("block").cast("long").alias("block"), F.col("query").cast("long").alias("query"), F.col("reference").cast("long").alias("reference"), F.col("dist").cast("double").alias("dist")), "pairs")
+    items = pairs.select("block", F.explode(F.array("query", "reference")).alias("item")).distinct()
+    big, _ = materialize(items.groupBy("block").count().where(F.col("count") > most).select("block"), "big")
+    small = pairs.withColumns({"part": F.lit(None).cast("long"), "weight": F.lit(1).cast("long")})
+    if big.isEmpty():
+        return small, None
+    far = pairs.join(F.broadcast(big), "block").where("query <> reference AND dist <> 1")
+    own = items.join(F.broadcast(big), "block").select("block", F.col("item").alias("query"), F.col("item").alias("reference"), F.lit(0.0).alias("dist"))
+    mark = [F.sum(F.xxhash64(F.lit(k), "reference", "dist").cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
+    rows = far.union(own).groupBy("block", "query").agg(F.count(F.lit(1)).alias("n"), *mark)
+    rows, _ = materialize(rows, "rows")
+    reps = rows.groupBy("block", "n", "s0", "s1").agg(F.min("query").alias("rep"), F.count(F.lit(1)).alias("weight"))
+    members = rows.join(reps, ["block", "n", "s0", "s1"]).select("block", F.col("query").alias("item"), "rep")
+    reps = reps.select("block", "rep", "weight")
+    part = F.lit(None).cast("long")
+    if cutoff is not None:
+        side = reps.select("block", "rep")
+        near = far.where(F.col("dist") <= cutoff).join(side.toDF("block", "query"), ["block", "query"], "left_semi").join(side.toDF("block", "reference"), ["block", "reference"], "left_semi")
+        found = connected_components(near.select(F.struct("block", F.col("query").alias("item")).alias("src"), F.struct("block", F.col("reference").alias("item")).alias("dst")))
+        found = found.select(F.col("node.block").alias("block"), F.col("node.item").alias("rep"), F.col("component.item").alias("component"))
+        reps, part = reps.join(found, ["block", "rep"], "left"), F.coalesce("component", "rep")
+    reps, _ = materialize(reps.select("block", "rep", "weight", part.alias("part")), "reps")
+    kept = far.join(reps.toDF("block", "query", "weight", "part"), ["block", "query"]).join(reps.drop("weight").toDF("block", "reference", "other"), ["block", "reference"]).where(F.col("part").eqNullSafe(F.col("other")))
+    kept = kept.select(*small.columns).union(reps.select("block", "rep", "rep", F.lit(0.0), "part", "weight"))
+    return small.join(F.broadcast(big), "block", "left_anti").select(*small.columns).union(kept), members.join(reps.select("block", "rep", "part"), ["block", "rep"])
+
+
+def weights(pdf: pd.DataFrame, names: list) -> np.ndarray:
+    """How many items each of ``names`` stands for."""
+    return pd.Series(names).map(dict(zip(pdf["query"], pdf["weight"]))).fillna(1).to_numpy(dtype=float)
+
+
+def scaled(dist: np.ndarray, axes: int = 2, weight: np.ndarray | None = None) -> np.ndarray:
     """Classical multidimensional scaling: coordinates whose distances are near ``dist``. Each axis
-    points so that its largest coordinate is positive; axes without spread are 0."""
+    points so that its largest coordinate is positive; axes without spread are 0. A row stands for
+    ``weight`` items at distance 0 from one another."""
     n = len(dist)
-    centre = np.eye(n) - 1.0 / max(n, 1)
-    value, vector = np.linalg.eigh(-0.5 * centre @ (dist.astype(np.float64) ** 2) @ centre)
+    w = np.ones(n) if weight is None else np.array(weight, dtype=float)
+    centre, root = np.eye(n) - w / max(w.sum(), 1), np.sqrt(w)
+    value, vector = np.linalg.eigh(-0.5 * root[:, None] * (centre @ (dist.astype(np.float64) ** 2) @ centre.T) * root)
     out = np.zeros((n, axes))
     for k, i in enumerate(np.argsort(value)[::-1][:axes]):
-        x = vector[:, i] * np.sqrt(max(value[i], 0.0))
+        x = vector[:, i] / root * np.sqrt(max(value[i], 0.0))
         out[:, k] = x if x[np.argmax(np.abs(x))] >= 0 else -x
     return out
 
 
 def scale_blocks(pairs: DataFrame, most: int = 5000) -> DataFrame:
-    """``block, item, x, y``: two coordinates for every item of a block; blocks as in ``cluster_blocks``."""
+    """``block, item, x, y``: two coordinates for every item of a block; blocks as in ``cluster_blocks``,
+    but without parts."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         names, d = square(pdf, most)
-        at = scaled(d)
+        at = scaled(d, weight=weights(pdf, names))
         return pd.DataFrame({"block": pdf["block"].iloc[0], "item": names, "x": at[:, 0], "y": at[:, 1]})
 
-    return pairs.groupBy("block").applyInPandas(one, "block long, item long, x double, y double")
+    p, members = prepared(pairs, most)
+    out = p.groupBy("block").applyInPandas(one, "block long, item long, x double, y double")
+    if members is None:
+        return out
+    each = out.withColumnRenamed("item", "rep").join(members, ["block", "rep"], "left")
+    return each.select("block", F.coalesce("item", "rep").alias("item"), "x", "y")
 
 
 def cluster_blocks(pairs: DataFrame, method: str, cutoff: float, most: int = 5000) -> DataFrame:
     """``block, item, cluster`` from ordered pairs (block, query, reference, dist); absent pairs have distance 1.
 
-    Each block is one dense matrix in one task, so blocks above ``most`` items are an error rather
-    than a silent change of method; split them first by connected components, which is exact for
-    single, complete, average and weighted linkage."""
+    A block is one dense matrix in one task. In blocks above ``most`` items, items at distance 0 are
+    one row, and for single, complete, average and weighted linkage each connected component at the
+    cutoff is a matrix of its own (none for single linkage, whose clusters these are); both are
+    exact. What is above ``most`` rows then is an error rather than a silent change of method."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         names, d = square(pdf, most)
-        number = cut(tree(d, method), len(names), cutoff)
-        return pd.DataFrame({"block": pdf["block"].iloc[0], "item": names, "cluster": number})
-
-    return pairs.groupBy("block").applyInPandas(one, "block long, item long, cluster int")
+        number = cut(tree(d, method, weights(pdf, names)), len(names), cutoff)
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "part": pdf["part"].iloc[0], "item": names, "cluster": number})
+
+    p, members = prepared(pairs, most, cutoff if method in SPLITS and cutoff < 1 else None)
+    plain = method == "single" and cutoff < 1
+    if plain:
+        p = p.where("part IS NULL")
+    out = p.groupBy("block", "part").applyInPandas(one, "block long, part long, item long, cluster int")
+    if members is None:
+        return out.drop("part")
+    whole = out.join(members.select("block", F.col("item").alias("one")).groupBy("block").agg(F.min("one").alias("one")), "block", "left_anti")
+    mine = members.withColumn("cluster", F.lit(1)) if plain else members.drop("part").join(out.withColumnRenamed("item", "rep"), ["block", "rep"])
+    number = F.dense_rank().over(Window.partitionBy("block").orderBy("part", "cluster"))
+    return whole.select("block", "item", "cluster").union(mine.select("block", "item", number.alias("cluster")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +11,17 @@ from repset.operators import linkage
 
 
 def links(pairs: DataFrame, method: str, most: int = 5000) -> DataFrame:
-    """``block, height``: the heights at which each block (block, query, reference, dist) is joined."""
+    """``block, height``: the heights at which each block (block, query, reference, dist) is joined.
+
+    In blocks above ``most`` items those at distance 0 are one row of the matrix."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, d = linkage.square(pdf, most)
-        return pd.DataFrame({"block": pdf["block"].iloc[0], "height": linkage.tree(d, method)[:, 2]})
+        names, d = linkage.square(pdf, most)
+        w = linkage.weights(pdf, names)
+        height = np.concatenate([np.zeros(int(w.sum()) - len(w)), linkage.tree(d, method, w)[:, 2]])
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "height": height})
 
-    return pairs.groupBy("block").applyInPandas(one, "block long, height double")
+    return linkage.prepared(pairs, most)[0].groupBy("block").applyInPandas(one, "block long, height double")
 
 
 def edges(heights: DataFrame, cutoff: float, within: float = 0.25) -> DataFrame:

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from repset.operators import adjust, filters, greedy, linkage, pairs, score, segments, sketch
+from repset.operators import adjust, filters, greedy, linkage, pairs, score, segments, sketch, warn
 from repset.operators.components import connected_components
 
 # golden distances of five items: two near, one near them, one far, one apart
@@ -51,6 +51,34 @@ def test_single_blocks_equal_whole(method):
         assert all((whole[i] == whole[j]) == (seen[i] == seen[j]) for i in range(n) for j in range(n))
 
 
+# places on a line: copies at 0 and 0.3, near ones, one apart; 9 and 10 are a block of their own
+LINE = {1: 0.0, 2: 0.0, 3: 0.0, 4: 0.3, 5: 0.3, 6: 0.33, 7: 0.6, 8: 0.62}
+
+
+def _line(spark):
+    rows = [(1, a, b, abs(LINE[a] - LINE[b])) for a in LINE for b in LINE] + [(2, 9, 10, 0.01), (2, 10, 9, 0.01)]
+    return spark.createDataFrame(rows, "block long, query long, reference long, dist double")
+
+
+@pytest.mark.parametrize("method", linkage.METHODS)
+def test_large_blocks_equal_whole(spark, method):
+    groups = lambda df: {frozenset(g) for g in df.groupBy("block", "cluster").agg({"item": "collect_list"}).toPandas().iloc[:, 2].map(tuple)}
+    most = 2 if method in linkage.SPLITS else 5
+    for cutoff in (0.0, 0.05, 0.2) if method not in linkage.SPLITS else (0.0, 0.05):
+        whole = groups(linkage.cluster_blocks(_line(spark), method, cutoff))
+        assert groups(linkage.cluster_blocks(_line(spark), method, cutoff, most)) == whole
+    assert groups(linkage.cluster_blocks(_line(spark), "single", 0.4, 2)) == {frozenset(LINE), frozenset((9, 10))}
+
+
+def test_large_blocks_scaled_and_joined(spark):
+    at = lambda most: {(r["block"], r["item"]): (abs(r["x"]), abs(r["y"])) for r in linkage.scale_blocks(_line(spark), most).collect()}
+    few, whole = at(5), at(5000)
+    assert few.keys() == whole.keys() and all(np.allclose(few[k], whole[k], atol=1e-6) for k in whole)
+    for method in linkage.METHODS:
+        h = [sorted((r["block"], r["height"]) for r in warn.links(_line(spark), method, most).collect()) for most in (5, 5000)]
+        assert len(h[0]) == 8 and np.allclose(h[0], h[1], atol=1e-7)
+
+
 def test_filters(spark):
     items = spark.createDataFrame([("a",), ("b",), ("c",)], "item string")
     q = spark.createDataFrame([("a", 80.0, 30.0), ("b", 75.0, 25.0), ("c", float("nan"), 0.0)], "item string, completeness double, contamination double")
