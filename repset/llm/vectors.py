@@ -102,18 +102,22 @@ def _indexed(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
             yield _rows(at, b.column("vec_id").to_pylist(), [c.tobytes() for c in code], [v.tobytes() for v in x], False)
 
 
-def _asked(batches: Iterator[pa.RecordBatch], model, chunks: dict[int, int], blocks: int) -> Iterator[pa.RecordBatch]:
-    """Each query to every chunk of the lists nearest to it."""
+def _asked(batches: Iterator[pa.RecordBatch], model, sizes: dict[int, int], blocks: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Each query to every chunk of the lists nearest to it: as many as the model probes, and on until
+    they hold k vectors besides the query itself."""
     m = model.value
+    held = np.array([sizes.get(i, 0) for i in range(len(m.coarse))])
+    chunks = {i: -(-n // CHUNK) for i, n in sizes.items()}
     for whole in batches:
         for i in range(0, whole.num_rows, 200):
             b = whole.slice(i, 200)
             q = _matrix(b.column("embedding"))
-            near = np.argsort(-(q @ m.coarse.T), axis=1, kind="stable")[:, : m.probe]
-            out = [(int(at), v, x.tobytes(), k, v % (20 * blocks) // 20) for v, x, row in zip(b.column("vec_id").to_pylist(), q, near, strict=True) for at in row for k in range(chunks.get(int(at), 0))]
+            near = np.argsort(-(q @ m.coarse.T), axis=1, kind="stable")
+            probe = np.maximum(m.probe, (held[near].cumsum(axis=1) <= k).sum(axis=1) + 1)
+            out = [(int(at), v, x.tobytes(), c, v % (20 * blocks) // 20) for v, x, row, n in zip(b.column("vec_id").to_pylist(), q, near, probe, strict=True) for at in row[:n] for c in range(chunks.get(int(at), 0))]
             if out:
-                at, v, x, k, block = zip(*out, strict=True)
-                yield _rows(at, v, [None] * len(v), x, True, list(k), list(block))
+                at, v, x, c, block = zip(*out, strict=True)
+                yield _rows(at, v, [None] * len(v), x, True, list(c), list(block))
 
 
 _HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -200,12 +204,12 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     model = spark.sparkContext.broadcast(Model(_matrix(sample), n))
     index, _ = materialize(kept.select("vec_id", "embedding").mapInArrow(lambda it: _indexed(it, model), _ROW_DDL), "index")
     # one row a list, MOST_LISTS at most
-    chunks = {r["list"]: -(-r["count"] // CHUNK) for r in index.groupBy("list").count().collect()}
+    sizes = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}
     blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    per = spark.createDataFrame(sorted(chunks.items()), "l int, c int")
+    per = spark.createDataFrame(sorted((i, -(-n // CHUNK)) for i, n in sizes.items()), "l int, c int")
     placed = index.join(F.broadcast(per), F.col("list") == F.col("l")).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("c")).cast("int"))
     placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*_ROW.names)
-    asked = v.where(F.col("vec_id") % every == 0).mapInArrow(lambda it: _asked(it, model, chunks, blocks), _ROW_DDL)
+    asked = v.where(F.col("vec_id") % every == 0).mapInArrow(lambda it: _asked(it, model, sizes, blocks, k), _ROW_DDL)
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     both = placed.union(asked).repartition(tasks, "list", "chunk", "block").sortWithinPartitions("list", "chunk", "block", "is_query", "vec_id")
     hits = both.mapInArrow(lambda it: _searched(it, model, k), "query_id long, vec_id long, score double")

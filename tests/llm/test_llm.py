@@ -165,6 +165,14 @@ def test_vectors(spark):
     assert vectors.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_small_lists(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TARGET", 0.0)  # one list is probed
+    x = np.random.default_rng(1).normal(size=(2000, 4))
+    x[:40] += np.array([400.0, 0, 0, 0]) * (1 + np.arange(40)[:, None])  # outliers in lists of their own
+    got = vectors.search(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"))
+    assert got.groupBy("query_id").count().where("count = 20").count() == 100
+
+
 def test_wrapper(spark):
     page = lambda i: f"<html><head><title>t</title><script>x='</p>'</script></head><body><div class='site-header'>Menu</div><nav>n{i}</nav><div><p>Back to all</p><p>Body {i} &amp; more<br>text {i * 7}<p>Second   part {i * i}</div><div id=comments>c{i}</div><form>f</form><footer>x{i}</footer>"
     rows = [(i, f"http://h.example/{i}", page(i)) for i in range(6)] + [(90, None, None), (91, "bad", ""), (92, "http://o/1", "<article><header><h1>H</h1>by me</header><p>One<!-- c --> two<aside>no</aside></article><p>out"), (92, "http://o/1", "<p>alone")]
