@@ -29,11 +29,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id. Documents without words or
-    id stay; of repeated rows (same id and text) one stays."""
-    out, _ = materialize(jaccard.jaccard_components(docs), "groups")
-    kept = _decided(docs, out.where("component_id <> doc_id").select("doc_id", "text_hash").distinct(), "left_anti").select(*docs.columns)
-    twice = out.where("component_id = doc_id AND n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").drop("count")
+    """Of each group of near copies the document with the smallest id, and of several texts with that
+    id the one with the smallest hash. Documents without words or id stay; of repeated rows (same id
+    and text) one stays."""
+    out, _ = materialize(jaccard.grouped(docs), "groups")
+    first = out.where("component_id = doc_id AND n_shingles > 0")
+    mixed = first.groupBy("group").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high")
+    gone = out.where("component_id <> doc_id").select("doc_id", "text_hash").union(first.join(mixed, "group").where("text_hash <> low").select("doc_id", "text_hash"))
+    kept = _decided(docs, gone.distinct(), "left_anti").select(*docs.columns)
+    twice = first.groupBy("doc_id", "text_hash").count().where("count > 1").drop("count")
     if twice.isEmpty():
         return kept
     marked = _decided(kept, twice, "left")

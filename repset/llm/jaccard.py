@@ -376,6 +376,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     as rows, and the sets of larger ones, grouped by the signatures they share, in blocks. Sets that
     are alike but not near enough to link can't be told apart more cheaply and exactly; such a group
     costs time by its square, but no rows and no memory."""
+    return grouped(docs).drop("group")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """``jaccard_components`` and a ``group``, which differs between components that have the same
+    smallest doc_id; null for what takes no part in links."""
     spark = docs.sparkSession
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     facts, at_facts = materialize(known.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_facts, "doc_id long, n long, ident long, text_hash long, slice int, counts binary"), "facts")
@@ -430,9 +436,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         forget(spark)
     linked = rows.where("n > 0 AND doc_id IS NOT NULL").join(labels, F.col("ident") == F.col("node"), "left").select("doc_id", "ident", F.coalesce("component", "ident").alias("c"))
     low = linked.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    classes = linked.groupBy("ident").agg(F.first("c").alias("c")).join(low, "c").select(F.col("ident").alias("i"), "component_id")
+    classes = linked.groupBy("ident").agg(F.first("c").alias("c")).join(low, "c").select(F.col("ident").alias("i"), "component_id", "c")
     out = rows.join(classes, (F.col("ident") == F.col("i")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    has_id = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(has_id, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(has_id, F.col("c")).alias("group"))
 
 
 ORACLE = """

@@ -36,6 +36,15 @@ def test_jaccard(docs, none):
     assert jaccard.jaccard_components(none).count() == 0
 
 
+def test_pipeline_keeps_one_of_texts_with_one_id(spark):
+    import corpus_pipeline
+
+    rows = [(5, A), (5, B), (5, B), (6, A), (5, prose(9)), (9, prose(20)), (9, prose(30)), (None, A)]
+    kept = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), None).collect()
+    got = Counter((r["doc_id"], "A" if r["text"] in (A, B) and r["doc_id"] else r["text"]) for r in kept)
+    assert got == Counter([(5, "A"), (5, prose(9)), (9, prose(20)), (9, prose(30)), (None, A)])
+
+
 def test_signatures_lose_no_pair():
     rng = np.random.default_rng(3)
     counts = np.ones(1 << jaccard.CLASS_BITS, dtype=np.int64)
