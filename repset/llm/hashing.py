@@ -112,13 +112,6 @@ def shingles(words: np.ndarray, first: np.ndarray, size: int = 4) -> list[np.nda
     return out
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
-    """Slices of batches, so that what is held for one stays small."""
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
-
-
 def pack_sorted(x: np.ndarray) -> bytes:
     """Ascending 64-bit keys as compressed byte planes of their differences."""
     planes = np.diff(x.astype(_U), prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()

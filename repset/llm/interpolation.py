@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from repset.llm import hashing
 from repset.llm.store import Store
+from repset.llm.worker import bounded, pieces, tidy
 from repset.session import materialize, scratch
 
 _U = np.uint64
@@ -64,6 +65,7 @@ def _counts(at: np.ndarray, size: int, which: np.ndarray) -> np.ndarray:
 _BLOCK = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("train", pa.binary()), ("tune", pa.binary())])
 
 
+@tidy
 def _chunks(batches: Iterator[pa.RecordBatch], uri: str, parts: int) -> Iterator[pa.RecordBatch]:
     """Store each chunk's token stream; yield its key blocks."""
     from pyspark import TaskContext
@@ -99,15 +101,13 @@ def _chunks(batches: Iterator[pa.RecordBatch], uri: str, parts: int) -> Iterator
             yield pa.RecordBatch.from_pylist(rows, schema=_BLOCK)
 
     held, size, k = [], 0, 0
-    for whole in batches:
-        for i in range(0, whole.num_rows, 200):
-            b = whole.slice(i, 200)
-            held.append(b)
-            raw, _ = hashing.buffers(b.column("text"))
-            size += len(raw)
-            if size >= CHUNK_BYTES:
-                yield from flush(held, base | k)
-                held, size, k = [], 0, k + 1
+    for b in pieces(batches):
+        held.append(b)
+        raw, _ = hashing.buffers(b.column("text"))
+        size += len(raw)
+        if size >= CHUNK_BYTES:
+            yield from flush(held, base | k)
+            held, size, k = [], 0, k + 1
     if held:
         yield from flush(held, base | k)
 
@@ -130,6 +130,7 @@ def _load(raw: bytes) -> list[np.ndarray]:
 _REPLY = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("train", pa.binary()), ("tune", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("n_tune", pa.int64())])
 
 
+@tidy
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (kind, part), rows in hashing.grouped(batches, ["kind", "part"]):
         keys = [hashing.unpack_sorted(r["keys"]) for r in rows]
@@ -178,6 +179,7 @@ def _probabilities(c: np.ndarray, before: np.ndarray, pair: np.ndarray, n: int)
     return bucket, pair / np.maximum(before, 1), c / max(n, 1)
 
 
+@tidy
 def _bins(batches: Iterator[pa.RecordBatch], uri: str, n: int, v: int) -> Iterator[pa.RecordBatch]:
     """How many tuning tokens lie in each cell of (bucket, bigram bin, unigram bin), by counts without the tuning part."""
     store = Store(uri)
@@ -216,6 +218,7 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray, rounds: int = 50) -> np
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+@tidy
 def _scores(batches: Iterator[pa.RecordBatch], uri: str, n: int, v: int, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
     store = Store(uri)
     for (chunk,), rows in hashing.grouped(batches, ["chunk"]):
@@ -241,6 +244,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     Null and wordless texts are the end alone. A null id counts as the empty string. Repeated rows
     count and are scored each. Without training tokens score and base_score are 0."""
     spark = docs.sparkSession
+    bounded(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-int(size) // RANGE_BYTES))

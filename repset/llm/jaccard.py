@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from repset.llm import hashing
 from repset.llm.store import Store
+from repset.llm.worker import bounded, pieces, tidy
 from repset.operators.components import connected_components
 from repset.session import drop, forget, materialize, scratch
 
@@ -63,10 +64,11 @@ def _identity(s: np.ndarray) -> int:
 _FACTS = ["doc_id", "n", "ident", "text_hash", "slice", "counts"]
 
 
+@tidy
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its set's size and identity; at the end, the partition's counts by token class."""
     counts = np.zeros(1 << CLASS_BITS, dtype=np.int64)
-    for b in hashing.pieces(batches):
+    for b in pieces(batches):
         sets = _sets(b.column("text"))
         every = np.concatenate(sets)
         counts += np.bincount((every >> _U(64 - CLASS_BITS)).astype(np.int64), minlength=1 << CLASS_BITS)
@@ -87,6 +89,7 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(b, decompressed_size=8 * n, codec="zstd", asbytes=True), dtype="<i8")
 
 
+@tidy
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for b in batches:
@@ -139,6 +142,7 @@ _ASK = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binar
 _REPLY = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("shared", pa.binary())])
 
 
+@tidy
 def _signed(batches: Iterator[pa.RecordBatch], uri: str, parts: int, counts: np.ndarray, rare: int) -> Iterator[pa.RecordBatch]:
     """Store a chunk's signatures; yield its distinct ones, by range, to ask which others have too."""
     from pyspark import TaskContext
@@ -158,7 +162,7 @@ def _signed(batches: Iterator[pa.RecordBatch], uri: str, parts: int, counts: np.
         return pa.RecordBatch.from_pylist([{"part": p, "chunk": chunk, "keys": hashing.pack_sorted(keys[i:j]), "twice": np.packbits(times[i:j] > 1).tobytes()} for p, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j], schema=_ASK)
 
     size = 0
-    for b in hashing.pieces(batches):
+    for b in pieces(batches):
         for s in _sets(b.column("text")):
             if len(s) < 2 or (i := _identity(s)) in seen:
                 continue
@@ -174,6 +178,7 @@ def _signed(batches: Iterator[pa.RecordBatch], uri: str, parts: int, counts: np.
         yield flush()
 
 
+@tidy
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by part: tell each chunk which of its signatures stand in more than one set."""
     for (part,), rows in hashing.grouped(batches, ["part"]):
@@ -185,6 +190,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([{"chunk": r["chunk"], "part": part, "shared": np.packbits(more[e - len(k) : e]).tobytes()} for r, k, e in zip(rows, keys, ends.tolist(), strict=True)], schema=_REPLY)
 
 
+@tidy
 def _kept(batches: Iterator[pa.RecordBatch], uri: str, parts: int) -> Iterator[pa.RecordBatch]:
     store = Store(uri)
     for (chunk,), rows in hashing.grouped(batches, ["chunk"]):
@@ -230,6 +236,7 @@ def _slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> _U(64 - BLOOM_BITS)).astype(np.int64), (h & _U((1 << BLOOM_BITS) - 1)).astype(np.int64)
 
 
+@tidy
 def _bloom_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(1 << BLOOM_BITS, dtype=bool)
     for b in batches:
@@ -239,6 +246,7 @@ def _bloom_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([pa.compress(np.packbits(bits).tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["k", "bits"])
 
 
+@tidy
 def _bloom_or(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = None
     for b in batches:
@@ -249,10 +257,11 @@ def _bloom_or(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([pa.compress(bits.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["k", "bits"])
 
 
+@tidy
 def _texts(batches: Iterator[pa.RecordBatch], packed: bytes) -> Iterator[pa.RecordBatch]:
     """Identity and text of the documents that the filter lets through."""
     bits = np.unpackbits(np.frombuffer(pa.decompress(packed, decompressed_size=1 << (BLOOM_BITS - 3), codec="zstd", asbytes=True), dtype=np.uint8)).view(bool)
-    for b in hashing.pieces(batches):
+    for b in pieces(batches):
         b = b.filter(b.column("doc_id").is_valid())
         a, c = _slots(np.asarray(b.column("doc_id"), dtype=np.int64))
         b = b.filter(pa.array(bits[a] & bits[c]))
@@ -260,10 +269,11 @@ def _texts(batches: Iterator[pa.RecordBatch], packed: bytes) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array([_identity(s) for s in _sets(b.column("text"))], pa.int64()), b.column("text")], names=["ident", "text"])
 
 
+@tidy
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by (leader, salt), the leader's own first: one set is held at a time."""
     lead, mine = None, None
-    for b in hashing.pieces(batches):
+    for b in pieces(batches):
         sets = _sets(b.column("text"))
         src, dst = [], []
         for u, v, s in zip(b.column("leader").to_pylist(), b.column("ident").to_pylist(), sets, strict=True):
@@ -298,6 +308,7 @@ def overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@tidy
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by (grp, i, j): block i against block j of a group, pairs of one component left out."""
     for (_, i, j), rows in hashing.grouped(batches, ["grp", "i", "j"]):
@@ -383,6 +394,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     """``jaccard_components`` and a ``group``, which differs between components that have the same
     smallest doc_id; null for what takes no part in links."""
     spark = docs.sparkSession
+    bounded(spark)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     facts, at_facts = materialize(known.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_facts, "doc_id long, n long, ident long, text_hash long, slice int, counts binary"), "facts")
     rows = facts.where("slice IS NULL").select("doc_id", "n", "ident", "text_hash")

@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repset.llm.worker import bounded, pieces, tidy
+
 BITS = 16
 ORDERS = (1, 2, 3)
 #: most languages: the broadcast matrix is 2^BITS * MOST_LANGS * 4 bytes at most
@@ -47,16 +49,11 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield doc[ok], ((h[ok] * _MUL[2]) >> np.uint32(32 - BITS)).astype(np.int64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    for whole in batches:
-        for i in range(0, whole.num_rows, 300):
-            yield whole.slice(i, 300)
-
-
+@tidy
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
-    for b in _slices(batches):
+    for b in pieces(batches):
         rows = [(t or "", lang) for d, t, lang in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True) if lang is not None and not held_out(d)]
         names = sorted({lang for _, lang in rows})
         index = {x: k for k, x in enumerate(names)}
@@ -75,6 +72,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["lang", "slice", "counts", "docs"])
 
 
+@tidy
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[tuple, list] = {}
     for b in batches:
@@ -106,9 +104,10 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     return langs, logp.astype(np.float32), np.log(np.maximum(n, 1) / max(n.sum(), 1))
 
 
+@tidy
 def _predicted(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     langs, logp, prior = model.value
-    for b in _slices(batches):
+    for b in pieces(batches):
         ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
         known = [bool(langs) and _LETTER.search(t) is not None for t in texts]
         pred, score = ["und"] * len(texts), [0.0] * len(texts)
@@ -133,6 +132,7 @@ def identify(docs: DataFrame) -> DataFrame:
     that posterior; ``und`` with score 0 if the text is null or has no letter, or nothing was
     learned. The whole text counts, lower-cased. Only training reads lang. A null id counts as the
     empty string; repeated rows count and get a row each."""
+    bounded(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return d.mapInArrow(lambda it: _predicted(it, model), "doc_id long, held_out boolean, lang_pred string, score double")

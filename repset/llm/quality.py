@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repset.llm import hashing
+from repset.llm.worker import bounded, pieces, tidy
 from repset.session import materialize
 
 _U = np.uint64
@@ -95,6 +96,7 @@ def _unz(b: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(b, decompressed_size=4 * n, codec="zstd", asbytes=True), "<u4")
 
 
+@tidy
 def _counted(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Document counts of features by label, summed over some million features at a time."""
     edges = np.array([(p << 64) // parts for p in range(parts)], dtype=_U)
@@ -108,17 +110,15 @@ def _counted(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_pylist([{"part": p, "keys": keys[i:j].tobytes()} | {c: _z(x[i:j]) for c, x in zip(_COUNTS, counts, strict=True)} for p, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j], schema=_BLOCK)
 
     held, size = [], 0
-    for whole in batches:
-        for i in range(0, whole.num_rows, 300):
-            b = whole.slice(i, 300)
-            q, t = (np.array([-1 if x is None else int(x) for x in b.column(c).to_pylist()]) for c in ("quality", "toxic"))
-            rows, h = _present(*features(b.column("text")))
-            flags = np.stack([q == 0, q == 1, t == 1, t == 0])
-            held.append((h, flags[:, rows]))
-            size += len(h)
-            if size > 3_000_000:
-                yield from flush(held)
-                held, size = [], 0
+    for b in pieces(batches):
+        q, t = (np.array([-1 if x is None else int(x) for x in b.column(c).to_pylist()]) for c in ("quality", "toxic"))
+        rows, h = _present(*features(b.column("text")))
+        flags = np.stack([q == 0, q == 1, t == 1, t == 0])
+        held.append((h, flags[:, rows]))
+        size += len(h)
+        if size > 3_000_000:
+            yield from flush(held)
+            held, size = [], 0
     if held:
         yield from flush(held)
 
@@ -132,6 +132,7 @@ def _g2(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return 2 * out
 
 
+@tidy
 def _selected(batches: Iterator[pa.RecordBatch], n: dict[str, int]) -> Iterator[pa.RecordBatch]:
     """Rows come by part: merge its blocks and keep the features that are evidence."""
 
@@ -159,14 +160,13 @@ def _selected(batches: Iterator[pa.RecordBatch], n: dict[str, int]) -> Iterator[
         yield from flush(held)
 
 
+@tidy
 def _marked(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """Which of each target's features a labelled document has, as packed indices."""
-    for whole in batches:
-        for i in range(0, whole.num_rows, 300):
-            b = whole.slice(i, 300)
-            cols = [_hits(*features(b.column("text")), model.value[t][0]) for t in TARGETS]
-            packed = [pa.array([at[rows == k].astype("<i4").tobytes() for k in range(b.num_rows)], pa.binary()) for rows, at in cols]
-            yield pa.RecordBatch.from_arrays([b.column("quality"), b.column("toxic"), *packed], names=["quality", "toxic", "low_hits", "toxic_hits"])
+    for b in pieces(batches):
+        cols = [_hits(*features(b.column("text")), model.value[t][0]) for t in TARGETS]
+        packed = [pa.array([at[rows == k].astype("<i4").tobytes() for k in range(b.num_rows)], pa.binary()) for rows, at in cols]
+        yield pa.RecordBatch.from_arrays([b.column("quality"), b.column("toxic"), *packed], names=["quality", "toxic", "low_hits", "toxic_hits"])
 
 
 def _hits(rows: np.ndarray, h: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,18 +216,17 @@ def fit(packed: list[bytes], y: np.ndarray, size: int, rounds: int = 400) -> np.
     return w * scale
 
 
+@tidy
 def _weighed(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for i in range(0, whole.num_rows, 300):
-            b = whole.slice(i, 300)
-            rows, h = features(b.column("text"))
-            sums = []
-            for t in TARGETS:
-                keys, w = model.value[t]
-                of, at = _hits(rows, h, keys)
-                s = np.bincount(of, weights=w[at], minlength=b.num_rows) + w[len(keys)]
-                sums.append(pa.array(s))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "text_hash", "source")), *sums], names=["doc_id", "text_hash", "source", "s_low", "s_toxic"])
+    for b in pieces(batches):
+        rows, h = features(b.column("text"))
+        sums = []
+        for t in TARGETS:
+            keys, w = model.value[t]
+            of, at = _hits(rows, h, keys)
+            s = np.bincount(of, weights=w[at], minlength=b.num_rows) + w[len(keys)]
+            sums.append(pa.array(s))
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "text_hash", "source")), *sums], names=["doc_id", "text_hash", "source", "s_low", "s_toxic"])
 
 
 def _logistic(s: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[float, float]:
@@ -264,6 +263,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Documents with several label rows count with the largest of each label; a null label doesn't
     count. A target without labels of both kinds rejects nothing. Rows repeat as they come."""
     spark = docs.sparkSession
+    bounded(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
     y = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("y_id")).agg(F.max("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     y, _ = materialize(y, "labels")
@@ -289,6 +289,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     some = some.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < limit).select("text", "quality", "toxic")
     sample = some.mapInArrow(lambda it: _marked(it, sent), "quality int, toxic int, low_hits binary, toxic_hits binary")
     sample = sample.toPandas()
+    sent.destroy()
     for t in TARGETS:
         keys, w = model[t]
         y_t = 1 - sample["quality"] if t == "low" else sample["toxic"]
@@ -302,6 +303,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sums = sums.withColumns({"host": F.get(parts_of, F.lit(0)), "path": F.concat_ws("/", F.slice(parts_of, 1, 2))})
     x = sums.join(y, F.col("doc_id") == F.col("y_id"), "left").withColumns({"y_low": 1 - F.col("quality"), "y_toxic": F.col("toxic")}).drop("y_id", "quality", "toxic")
     x, _ = materialize(x, "sums")
+    sent.destroy()
     for t in TARGETS:
         grade = F.round(F.greatest(F.lit(-200), F.least(F.lit(200), F.col(f"s_{t}"))) * 4).cast("int")
         cells = x.where(spare & F.col(f"y_{t}").isNotNull()).groupBy(grade.alias("g")).agg(F.sum(f"y_{t}").alias("pos"), F.count(F.lit(1)).alias("n")).toPandas()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from repset.llm.hashing import hash_spans
 from repset.llm.store import Store
+from repset.llm.worker import SLICE_BYTES, bounded, pieces, tidy
 from repset.session import drop, materialize, scratch
 
 _U = np.uint64
@@ -22,9 +25,15 @@ LIMIT = 18
 EVERY = 128
 #: ids in a block, about; a document is never split
 BLOCK = 1 << 20
-#: rows of documents a file, about
-FILE_ROWS = 5000
+#: bytes of text a file, about; more where that would give over MOST_FILES files
+FILE_BYTES, MOST_FILES = 16 << 20, 100_000
+#: rows looked at for each file, to find where files begin and end
+PER_FILE = 64
+#: bytes of pieces and ids that an encoder keeps
+KEEP_BYTES = 32 << 20
 END = 0
+#: stands for a document without id in the order of files
+_NONE = -(1 << 63)
 MAGIC = b"RSTOK1\n\0"
 #: fixed values: the public pattern by which the byte-level tokenizer splits text before merging is
 #: 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
@@ -32,6 +41,8 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: our splitting is done within these characters; a text with any other goes to the library whole
 _PLAIN = regex.compile("[\x09\x0a\x0d\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e]")
 _LETTER, _DIGIT, _SPACE, _OTHER = 1, 2, 3, 4
+#: between these two characters, a blank and the word after it, a piece always begins
+_CUT = re.compile(r"(?<=\S)(?= [A-Za-z])")
 
 
 def _classes() -> np.ndarray:
@@ -82,7 +93,8 @@ class Encoder:
     its pieces in a row. Texts are split and their pieces hashed (64 bits) a batch at a time in
     numpy; the library encodes the pieces not seen before. They are kept up to a bound, then anew."""
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = KEEP_BYTES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -138,7 +150,7 @@ class Encoder:
         return at, known
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.keys) > self.keep or self.used > 1 << 26:
+        if 16 * len(self.keys) + 4 * self.used > self.keep:
             self._anew()
         cp = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
         ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
@@ -192,29 +204,51 @@ def encoder(path: str) -> Encoder:
     return _KEPT[path]
 
 
+def _long(enc: Encoder, text: str, most: int = SLICE_BYTES // 8) -> np.ndarray:
+    """ids of one text, encoded in stretches of about ``most`` characters that end where a piece does."""
+    out, at = [], 0
+    while at < len(text):
+        cut = _CUT.search(text, at + most) if at + most < len(text) else None
+        end = cut.start() if cut else len(text)
+        out += enc([text[at:end]])
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+
+def _parts(doc: np.ndarray, tie: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of ``bounds``, ascending rows of (doc_id, tie), are not above each (doc, tie)."""
+    out = np.searchsorted(bounds[:, 0], doc, side="left")
+    end = np.searchsorted(bounds[:, 0], doc, side="right")
+    for i in np.flatnonzero(end > out):
+        out[i] += np.searchsorted(bounds[out[i] : end[i], 1], tie[i], side="right")
+    return out
+
+
+@tidy
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(part, doc_id, n, ids) of every row; at the end a row of counts without part."""
+    """(part, doc_id, tie, n, ids) of every row; at the end a row of counts without part."""
     enc = encoder(path)
     kind = np.dtype("<u2") if enc.size <= 1 << 16 else np.dtype("<u4")
     counts = np.zeros(enc.size, dtype=np.int64)
     rows = 0
 
-    def batch(part: list, doc: pa.Array, n: list, ids: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "n", "ids"])
-
-    for whole in batches:
-        for k in range(0, whole.num_rows, 800):
-            b = whole.slice(k, 800)
-            doc = b.column("doc_id")
-            part = np.where(np.asarray(doc.is_valid()), np.searchsorted(bounds, np.asarray(doc.fill_null(0), dtype=np.int64), side="right"), 0)
-            ids = [np.append(x, np.uint32(END)) for x in enc([t or "" for t in b.column("text").to_pylist()])]
-            counts += np.bincount(np.concatenate(ids), minlength=enc.size)
-            rows += len(ids)
-            yield batch(part.tolist(), doc, [len(x) for x in ids], [pa.compress(x.astype(kind).tobytes(), codec="zstd", asbytes=True) for x in ids])
+    def batch(part: list, doc: pa.Array, tie: pa.Array, n: list, ids: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, tie, pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "tie", "n", "ids"])
+
+    for b in pieces(batches, 800):
+        doc, tie = b.column("doc_id"), b.column("tie")
+        part = _parts(np.asarray(doc.fill_null(_NONE), dtype=np.int64), np.asarray(tie, dtype=np.int64), bounds)
+        texts = [t or "" for t in b.column("text").to_pylist()]
+        ids = [np.append(x, np.uint32(END)) for x in (enc(texts) if len(texts) > 1 else [_long(enc, texts[0])])]
+        for x in ids:
+            counts += np.bincount(x, minlength=enc.size)
+        rows += len(ids)
+        yield batch(part.tolist(), doc, tie, [len(x) for x in ids], [pa.compress(x.astype(kind).tobytes(), codec="zstd", asbytes=True) for x in ids])
     if rows:
-        yield batch([None], pa.nulls(1, pa.int64()), [0], [counts.astype("<i8").tobytes()])
+        yield batch([None], pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), [0], [counts.astype("<i8").tobytes()])
 
 
+@tidy
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for b in batches:
@@ -348,6 +382,7 @@ def read_block(raw: bytes, n: int, n_marks: int, table: np.ndarray) -> tuple[lis
     return [int(d) if h else None for d, h in zip(doc, has, strict=True)], ids, unpack(bits, start, held, table)
 
 
+@tidy
 def _packed(batches: Iterator[pa.RecordBatch], length: np.ndarray) -> Iterator[pa.RecordBatch]:
     code = codes(length)
     kind = np.dtype("<u2") if len(length) <= 1 << 16 else np.dtype("<u4")
@@ -359,12 +394,13 @@ def _packed(batches: Iterator[pa.RecordBatch], length: np.ndarray) -> Iterator[p
             bits.append(p)
             marks.append(m.tobytes())
             crc.append(zlib.crc32(p))
-        yield pa.RecordBatch.from_arrays([b.column("part"), b.column("doc_id"), b.column("n"), pa.array(crc, pa.int64()), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())], names=["part", "doc_id", "n", "crc", "bits", "marks"])
+        yield pa.RecordBatch.from_arrays([b.column("part"), b.column("doc_id"), b.column("tie"), b.column("n"), pa.array(crc, pa.int64()), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())], names=["part", "doc_id", "tie", "n", "crc", "bits", "marks"])
 
 
 _MANIFEST = pa.schema([("part", pa.int32()), ("name", pa.string()), ("ids", pa.int64()), ("docs", pa.int64()), ("bytes", pa.int64())])
 
 
+@tidy
 def _files(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
     """Rows come by (part, doc_id): one file a part, blocks written as they fill."""
     store = Store(uri)
@@ -392,27 +428,41 @@ def _files(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "ids": total, "docs": docs, "bytes": size}], schema=_MANIFEST)
 
 
+def _bounds(d: DataFrame, rows: int, parts: int) -> np.ndarray:
+    """(doc_id, tie) where the files after the first begin, from a sample of some PER_FILE rows a file,
+    chosen by hash. Rows with one id, or with none, are dealt over files by the hash of their text."""
+    if parts < 2:
+        return np.zeros((0, 2), np.int64)
+    some = int(1_000_000 * min(1.0, PER_FILE * parts / max(rows, 1)))
+    seen = d.where(F.pmod(F.xxhash64("doc_id", "tie", F.lit("bounds")), F.lit(1_000_000)) < some).select(F.coalesce("doc_id", F.lit(_NONE)).alias("d"), "tie").toPandas()
+    seen = seen.sort_values(["d", "tie"]).to_numpy(np.int64)
+    at = np.arange(1, parts) * len(seen) // parts
+    return np.unique(seen[at], axis=0) if len(seen) else np.zeros((0, 2), np.int64)
+
+
 def write_token_files(docs: DataFrame, uri: str, path: str) -> DataFrame:
     """Encode, count, code and write; returns the manifest (part, name, ids, docs, bytes), one row a file."""
     spark = docs.sparkSession
     Store(uri).create()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = max(1, -(-d.count() // FILE_ROWS))
-    bounds = np.array(d.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else [], dtype=np.float64)
-    bounds = np.unique(bounds.astype(np.int64))
-    ids, at = materialize(d.mapInArrow(lambda it: _encoded(it, path, bounds), "part int, doc_id long, n long, ids binary"), "ids")
+    rows, size = d.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    parts = min(max(1, -(-int(size or 0) // FILE_BYTES)), MOST_FILES)
+    d = d.withColumn("tie", F.xxhash64("text"))
+    bounds = _bounds(d, rows, parts)
+    ids, at = materialize(d.mapInArrow(lambda it: _encoded(it, path, bounds), "part int, doc_id long, tie long, n long, ids binary"), "ids")
     total = ids.where("part IS NULL").select("ids").repartition(1, F.lit(0)).mapInArrow(_summed, "ids binary").first()
     counts = np.frombuffer(bytes(total["ids"]), "<i8") if total else np.zeros(1, np.int64)
     length = code_lengths(counts)
     Store(uri).put("codebook", [length.tobytes()])
-    shuffled = ids.where("part IS NOT NULL").mapInArrow(lambda it: _packed(it, length), "part int, doc_id long, n long, crc long, bits binary, marks binary")
+    shuffled = ids.where("part IS NOT NULL").mapInArrow(lambda it: _packed(it, length), "part int, doc_id long, tie long, n long, crc long, bits binary, marks binary")
     n = max(1, min(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    shuffled = shuffled.repartition(n, "part").sortWithinPartitions("part", "doc_id", "n", "crc")
+    shuffled = shuffled.repartition(n, "part").sortWithinPartitions("part", "doc_id", "tie", "n", "crc")
     manifest, _ = materialize(shuffled.mapInArrow(lambda it: _files(it, uri), "part int, name string, ids long, docs long, bytes long"), "manifest")
     drop(spark, at)
     return manifest
 
 
+@tidy
 def _decoded(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
     store = Store(uri)
     table = decode_table(np.frombuffer(store.get("codebook"), np.uint8))
@@ -444,7 +494,9 @@ def token_files(docs: DataFrame, path: str, uri: str | None = None) -> DataFrame
 
     Each text's ids are those of the tokenizer at ``path`` without special tokens, and an end id 0.
     Null text is empty: the end id alone. Documents without id come before all others; rows with
-    equal ids are ordered by length and code. No rows give no files."""
+    equal ids are ordered by a hash of their text. A very long text is encoded in stretches. Other
+    columns are left out. No rows give no files."""
     spark = docs.sparkSession
+    bounded(spark)
     uri = uri or scratch(spark, "tokens")
     return read_token_files(spark, uri, write_token_files(docs, uri, path))

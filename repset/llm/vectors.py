@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from repset.llm.worker import bounded, tidy
 from repset.session import materialize
 
 #: vectors that centroids and codebooks are fitted on; every vector is indexed
@@ -94,6 +95,7 @@ def _rows(lists, ids, codes, vecs, query: bool, chunk=None, block=None) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(lists, np.int32)), pa.array(zero if chunk is None else chunk, pa.int32()), pa.array(zero if block is None else block, pa.int32()), pa.array(np.full(n, query)), pa.array(ids, pa.int64()), pa.array(codes, pa.binary()), pa.array(vecs, pa.binary())], schema=_ROW)
 
 
+@tidy
 def _indexed(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
@@ -102,6 +104,7 @@ def _indexed(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
             yield _rows(at, b.column("vec_id").to_pylist(), [c.tobytes() for c in code], [v.tobytes() for v in x], False)
 
 
+@tidy
 def _asked(batches: Iterator[pa.RecordBatch], model, sizes: dict[int, int], blocks: int, k: int) -> Iterator[pa.RecordBatch]:
     """Each query to every chunk of the lists nearest to it: as many as the model probes, and on until
     they hold k vectors besides the query itself."""
@@ -123,6 +126,7 @@ def _asked(batches: Iterator[pa.RecordBatch], model, sizes: dict[int, int], bloc
 _HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
+@tidy
 def _searched(batches: Iterator[pa.RecordBatch], model, k: int) -> Iterator[pa.RecordBatch]:
     """Rows come by (list, chunk, block): the vectors, by id, and then the queries."""
     m = model.value
@@ -191,6 +195,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     of another length than most (ties: the shorter). Repeated rows count once. A query with fewer
     candidates gets them all; an empty table gives an empty result."""
     spark = vectors.sparkSession
+    bounded(spark)
     v = usable(vectors)
     length = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repset.llm.store import Store
+from repset.llm.worker import bounded, tidy
 from repset.session import materialize, scratch
 
 #: payloads below this many bytes are never revisits
@@ -66,6 +67,7 @@ def _member(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
+@tidy
 def _write(batches: Iterator[pa.RecordBatch], uri: str, date: str) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -128,6 +130,7 @@ def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         raise ValueError("the archive is cut off")
 
 
+@tidy
 def _read(batches: Iterator[pa.RecordBatch], uri: str) -> Iterator[pa.RecordBatch]:
     store = Store(uri)
     kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -165,6 +168,7 @@ def archive_pages(pages: DataFrame, uri: str | None = None) -> DataFrame:
     null url has no target header. A page without id can be a revisit but not an original. Repeats
     of an original's own row (same id and payload) are responses too. No rows give no files."""
     spark = pages.sparkSession
+    bounded(spark)
     uri = uri or scratch(spark, "warc")
     manifest = write_archives(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), uri)
     return read_archives(spark, uri, manifest)
