@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyarrow import fs as pafs
 
@@ -29,6 +30,25 @@ class Store:
         self._fs.move(tmp, f"{self._root}/{name}")
         return n
 
+    @contextlib.contextmanager
+    def writer(self, name: str) -> Iterator:
+        """A stream to ``name``; the file appears when the block ends well."""
+        tmp = f"{self._root}/_{uuid.uuid4().hex}.tmp"
+        try:
+            with self._fs.open_output_stream(tmp) as out:
+                yield out
+            self._fs.move(tmp, f"{self._root}/{name}")
+        except BaseException:
+            with contextlib.suppress(OSError):
+                self._fs.delete_file(tmp)
+            raise
+
+    def read(self, name: str, at: int, size: int) -> bytes:
+        """``size`` bytes of a file from ``at`` on."""
+        with self._fs.open_input_file(f"{self._root}/{name}") as f:
+            f.seek(at)
+            return f.read(size)
+
     def open(self, name: str):
         return self._fs.open_input_stream(f"{self._root}/{name}", compression=None)
 
