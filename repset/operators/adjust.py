@@ -12,6 +12,22 @@ def remove_cluster(clusters: DataFrame, name: str) -> DataFrame:
     return clusters.where(~gone)
 
 
+def replace_block(clusters: DataFrame, block: int, again: DataFrame) -> DataFrame:
+    """Clusters (item, primary_cluster, secondary_cluster, ...) with those of one primary cluster replaced by ``again``
+    (item, cluster): names ``<block>_<cluster>``. Items of the block that ``again`` lacks are an error."""
+    old, new = clusters.where(F.col("primary_cluster") == block), again.select("item", F.col("cluster").cast("string").alias("__new"))
+    lost = old.join(new, "item", "left_anti").select("item").limit(10).collect()
+    if lost:
+        raise ValueError(f"items without a new cluster: {[r[0] for r in lost]}")
+    changed = old.join(new, "item").withColumn("secondary_cluster", F.concat_ws("_", F.lit(str(block)), "__new")).select(*clusters.columns)
+    return clusters.where(F.col("primary_cluster") != block).unionByName(changed)
+
+
+def in_order(clusters: DataFrame, column: str = "secondary_cluster") -> DataFrame:
+    """Sorted by primary and secondary number of the cluster's name."""
+    return clusters.orderBy(F.split(column, "_").getItem(0).cast("double") + F.split(column, "_").getItem(1).cast("double") / 100, column)
+
+
 def winner_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """``cluster, old_item, new_item, change`` with change one of new, gone, changed, same."""
     j = old.toDF("cluster", "old_item").join(new.toDF("cluster", "new_item"), "cluster", "full")

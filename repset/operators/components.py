@@ -26,13 +26,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Neighbourhoods are never gathered: each round is a grouped minimum (combined map-side) and an
     equi-join that AQE can split, so a hub with a third of all edges stays spread out. Each round
-    ends in a table of the shared folder. Edges with a null end and self-loops are left out; nodes
+    ends in a table of the shared folder; rounds grow with the logarithm of the longest path, and
+    more than ``max_rounds`` are an error. Edges with a null end and self-loops are left out; nodes
     without another edge don't appear."""
     spark = edges.sparkSession
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct()
     e, uri = materialize(e, "cc")
     mark = None
-    for _ in range(max_rounds):
+    for k in range(max_rounds + 1):
+        if k == max_rounds:
+            raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
         nxt, new = materialize(_small_star(_large_star(e)).distinct(), "cc")
         drop(spark, uri)
         e, uri = nxt, new

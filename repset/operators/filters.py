@@ -46,6 +46,41 @@ def require_quality(items: DataFrame, quality: DataFrame, item: str) -> DataFram
     return quality.withColumns({c: F.col(c).cast("double") for c in ("completeness", "contamination")})
 
 
+def base_names(quality: DataFrame, item: str) -> DataFrame:
+    """Items of a quality table as base names."""
+    return quality.withColumn(item, F.element_at(F.split(F.col(item).cast("string"), "/"), -1))
+
+
+def suspicious(quality: DataFrame) -> DataFrame:
+    """``column, message`` of quality columns all of whose values are at most 1 and some above 0, as if they were fractions."""
+    out = []
+    for c in ("completeness", "contamination"):
+        most = quality.agg(F.max(F.col(c).cast("double")).alias("m")).where("m > 0 AND m <= 1")
+        out.append(most.select(F.lit(c).alias("column"), F.format_string(f"{c} is %.3f at most; percent are expected", "m").alias("message")))
+    return out[0].union(out[1])
+
+
+def tool_quality(table: DataFrame) -> DataFrame:
+    """``item, completeness, contamination, strain_heterogeneity`` of a quality tool's own table."""
+    names = {"Bin Id": "item", "Completeness": "completeness", "Contamination": "contamination", "Strain heterogeneity": "strain_heterogeneity"}
+    return table.select(*(F.col(f"`{a}`").cast("string" if b == "item" else "double").alias(b) for a, b in names.items()))
+
+
+def with_sizes(quality: DataFrame, info: DataFrame, item: str, fill: bool = False) -> DataFrame:
+    """``quality`` with ``length`` and ``n50`` from ``info`` (item, length, n50): replaced, or with ``fill`` only
+    the columns that it lacks."""
+    wanted = [c for c in ("length", "n50") if not fill or c not in quality.columns]
+    if not wanted:
+        return quality
+    return quality.drop(*wanted).join(info.select(item, *wanted), item, "left")
+
+
+def in_groups(items: DataFrame, item: str, size: int = 2000) -> DataFrame:
+    """``items`` with a ``group`` of about ``size`` rows each, by hash, for tools that take so many at a time."""
+    n = max(1, -(-items.count() // size))
+    return items.withColumn("group", F.pmod(F.xxhash64(item), F.lit(n)).cast("int"))
+
+
 def resolve(items: DataFrame, item: str, sources: list[tuple[str, DataFrame]], default: DataFrame) -> DataFrame:
     """Quality of each item from the first source that has it, else the default; with the source's name."""
     out = None

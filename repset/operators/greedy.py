@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from repset.session import drop, materialize
 
 
 def greedy(items: DataFrame, near: DataFrame) -> DataFrame:
@@ -11,23 +13,36 @@ def greedy(items: DataFrame, near: DataFrame) -> DataFrame:
 
     ``items``: block, item, length; ``near``: ordered pairs (block, query, reference) that pass the
     similarity and coverage thresholds (both inclusive). Items go by length, longest first, then by
-    id; an item joins the earliest representative among its partners. One block is one task; it
-    holds the thresholded pairs only."""
-
-    def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        order = left.sort_values(["length", "item"], ascending=[False, True])["item"].tolist()
-        partners = right.groupby("query")["reference"].apply(set).to_dict() if len(right) else {}
-        number: dict[int, int] = {}
-        rows = []
-        for x in order:
-            found = sorted((number[r], r) for r in partners.get(x, ()) if r in number)
-            if found:
-                rows.append((x, found[0][1], found[0][0], False))
-            else:
-                number[x] = len(number) + 1
-                rows.append((x, x, number[x], True))
-        out = pd.DataFrame(rows, columns=["item", "representative", "number", "is_representative"])
-        out.insert(0, "block", key[0])
-        return out
-
-    return items.groupBy("block").cogroup(near.groupBy("block")).applyInPandas(one, "block long, item long, representative long, number int, is_representative boolean")
+    id; an item joins the earliest representative among its partners.
+
+    What goes in turn is decided here in rounds, each for all items whose earlier partners are
+    decided: an item without open earlier partners represents itself, and what is near it doesn't. A
+    round is two equi-joins over the open pairs, so no block is ever in one task; rounds grow with
+    the longest chain of ever later partners."""
+    items, at_items = materialize(items.select("block", "item", "length"), "items")
+    one, two = (items.select("block", F.col("item").alias(c), F.struct(-F.col("length"), F.col("item")).alias(f"o_{c}")) for c in ("query", "reference"))
+    e = near.join(one, ["block", "query"]).join(two, ["block", "reference"]).where("o_reference < o_query").select("block", "query", "reference").distinct()
+    e, at = materialize(e, "links")
+    earlier, at_earlier, out, spent = e, at, None, []
+    while not e.isEmpty():
+        first = e.select("block", "reference").distinct().join(e.select("block", F.col("query").alias("reference")).distinct(), ["block", "reference"], "left_anti")
+        gone, where = materialize(e.join(first, ["block", "reference"]).select("block", "query").distinct(), "joined")
+        out, spent = gone if out is None else out.union(gone), [*spent, where]
+        left, nxt = materialize(e.join(gone, ["block", "query"], "left_anti").join(gone.withColumnRenamed("query", "reference"), ["block", "reference"], "left_anti"), "links")
+        if at != at_earlier:
+            drop(items.sparkSession, at)
+        e, at = left, nxt
+    reps = items if out is None else items.join(out.withColumnRenamed("query", "item"), ["block", "item"], "left_anti")
+    number = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("length"), "item"))
+    reps, at_reps = materialize(reps.select("block", "item", number.alias("number")), "representatives")
+    best = earlier.join(reps.withColumnRenamed("item", "reference"), ["block", "reference"]).groupBy("block", F.col("query").alias("item")).agg(F.min(F.struct("number", "reference")).alias("b"))
+    joined = best.join(reps, ["block", "item"], "left_anti").select("block", "item", F.col("b.reference").alias("representative"), F.col("b.number").alias("number"), F.lit(False).alias("is_representative"))
+    done, _ = materialize(joined.union(reps.select("block", "item", "item", "number", F.lit(True))), "greedy")
+    drop(items.sparkSession, at_items, at_reps, at_earlier, *spent, *([at] if at != at_earlier else []))
+    return done
+
+
+def names(clusters: DataFrame) -> DataFrame:
+    """``item, primary_cluster, secondary_cluster, cluster_method, greedy_representative``: blocks and numbers as names ``p_j``, j from 1."""
+    name = F.concat_ws("_", F.col("block").cast("string"), F.col("number").cast("string"))
+    return clusters.select("item", F.col("block").alias("primary_cluster"), name.alias("secondary_cluster"), F.lit("greedy").alias("cluster_method"), F.col("is_representative").alias("greedy_representative"))

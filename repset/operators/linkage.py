@@ -18,7 +18,8 @@ SPLITS = ("single", "complete", "average", "weighted")
 def tree(dist: np.ndarray, method: str, weight: np.ndarray | None = None) -> np.ndarray:
     """Rows (left, right, height, size) by height from a square matrix of distances (Lance-Williams updates).
 
-    A row stands for ``weight`` items at distance 0 from one another."""
+    A row stands for ``weight`` items at distance 0 from one another. Of equal distances the first
+    in the matrix is joined first."""
     if method not in METHODS:
         raise ValueError(method)
     n = len(dist)
@@ -29,10 +30,13 @@ def tree(dist: np.ndarray, method: str, weight: np.ndarray | None = None) -> np.
     if method == "ward":
         d *= 2 * size[:, None] * size / (size[:, None] + size)
     out = []
+    # of each row the smallest distance and where; one merge changes one row and column, and the rows that pointed there
+    low, where = (d.min(axis=1), d.argmin(axis=1)) if n > 1 else (d[0], np.zeros(1, int)) if n else (d, d)
     for step in range(n - 1):
-        i, j = divmod(int(np.argmin(np.where(live[:, None] & live[None, :], d, np.inf))), n)
+        i = int(np.argmin(low))
+        j = int(where[i])
         i, j = min(i, j), max(i, j)
-        h, a, b = d[i, j], d[i], d[j]
+        h, a, b = d[i, j], d[i].copy(), d[j].copy()
         ni, nj = size[i], size[j]
         if method == "single":
             new = np.minimum(a, b)
@@ -50,10 +54,20 @@ def tree(dist: np.ndarray, method: str, weight: np.ndarray | None = None) -> np.
             new = ((ni + size) * a + (nj + size) * b - size * h) / (ni + nj + size)
         x, y = sorted((int(name[i]), int(name[j])))
         out.append((x, y, float(np.sqrt(max(h, 0)) if squared else h), int(ni + nj)))
+        new[~live] = np.inf
         d[i], d[:, i] = new, new
-        d[i, i] = np.inf
+        d[i, i] = d[i, j] = d[j, i] = np.inf
+        d[j], d[:, j] = np.inf, np.inf
         live[j] = False
+        low[j] = np.inf
         name[i], size[i] = n + step, ni + nj
+        lost = np.flatnonzero(live & ((where == i) | (where == j)))
+        for k in {i, *lost.tolist()}:
+            where[k] = int(np.argmin(d[k]))
+            low[k] = d[k, where[k]]
+        nearer = live & ((new < low) | ((new == low) & (i < where)))
+        nearer[i] = False
+        low[nearer], where[nearer] = new[nearer], i
     return np.array(out, dtype=np.float64).reshape(-1, 4)
 
 
@@ -137,6 +151,38 @@ def weights(pdf: pd.DataFrame, names: list) -> np.ndarray:
     return pd.Series(names).map(dict(zip(pdf["query"], pdf["weight"]))).fillna(1).to_numpy(dtype=float)
 
 
+def link_table(pairs: DataFrame, method: str, most: int = 5000) -> DataFrame:
+    """``block, step, left, right, height, size``: the tree of each block (block, query, reference, dist); nodes are
+    numbered from 0: first the items in order, then the joins."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, d = square(pdf, most)
+        t = tree(d, method)
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "step": np.arange(len(t)), "left": t[:, 0].astype(int), "right": t[:, 1].astype(int), "height": t[:, 2], "size": t[:, 3].astype(int)})
+
+    p = pairs.selectExpr("bigint(block) AS block", "bigint(query) AS query", "bigint(reference) AS reference", "double(dist) AS dist")
+    return p.groupBy("block").applyInPandas(one, "block long, step long, left long, right long, height double, size long")
+
+
+def leaf_order(pairs: DataFrame, method: str, most: int = 5000) -> DataFrame:
+    """``block, place, item``: the items of each block in the order in which its tree is drawn, left before right."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, d = square(pdf, most)
+        t, n = tree(d, method), len(names)
+        out, todo = [], [2 * n - 2]
+        while todo:
+            k = todo.pop()
+            if k < n:
+                out.append(names[k])
+            else:
+                todo += [int(t[k - n][1]), int(t[k - n][0])]
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "place": np.arange(n), "item": out})
+
+    p = pairs.selectExpr("bigint(block) AS block", "bigint(query) AS query", "bigint(reference) AS reference", "double(dist) AS dist")
+    return p.groupBy("block").applyInPandas(one, "block long, place long, item long")
+
+
 def scaled(dist: np.ndarray, axes: int = 2, weight: np.ndarray | None = None) -> np.ndarray:
     """Classical multidimensional scaling: coordinates whose distances are near ``dist``. Each axis
     points so that its largest coordinate is positive; axes without spread are 0. A row stands for

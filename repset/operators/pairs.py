@@ -32,6 +32,43 @@ def densify(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     return full.select("block", "query", "reference", F.coalesce("ani", F.lit(0.0)).alias("ani"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
+def restrict(pairs: DataFrame, items: DataFrame, one: str = "query", two: str = "reference") -> DataFrame:
+    """Pairs both ends of which are among ``items`` (item)."""
+    for side in (one, two):
+        pairs = pairs.join(items.select(F.col("item").alias(side)).distinct(), side, "left_semi")
+    return pairs
+
+
+def aligned(totals: DataFrame, lengths: DataFrame, method: str = "larger") -> DataFrame:
+    """``query, reference, alignment_length, similarity_errors, ani, query_length, reference_length,
+    query_coverage, reference_coverage, coverage`` from totals (query, reference, alignment_length,
+    similarity_errors) and lengths (item, length); similarity 0 without aligned length."""
+    p = totals.join(lengths.select(F.col("item").alias("query"), F.col("length").alias("query_length")), "query")
+    p = p.join(lengths.select(F.col("item").alias("reference"), F.col("length").alias("reference_length")), "reference")
+    n = F.col("alignment_length")
+    ani = F.when(n > 0, (n - F.col("similarity_errors")) / n).otherwise(0.0)
+    both = coverage(n, F.col("query_length"), F.col("reference_length"), method)
+    return p.select("query", "reference", "alignment_length", "similarity_errors", ani.alias("ani"), "query_length", "reference_length", (n / F.col("query_length")).alias("query_coverage"), (n / F.col("reference_length")).alias("reference_coverage"), both.alias("coverage"))
+
+
+def with_self(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """``query, reference, ani, coverage`` and a row of ones for each item with itself."""
+    own = items.select("item").distinct()
+    return pairs.where("query <> reference").select("query", "reference", "ani", "coverage").union(own.select("item", "item", F.lit(1.0), F.lit(1.0)))
+
+
+def correlated(sketched: DataFrame, compared: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """Pairs that have a similarity by sketches (item1, item2, dist) above 0 and another one (query,
+    reference, ani): ``query, reference, similarity, ani``; with ``clusters`` (item, cluster) those within one."""
+    s = sketched.where("dist < 1").select(F.col("item1").alias("query"), F.col("item2").alias("reference"), (1 - F.col("dist")).alias("similarity"))
+    out = s.join(compared.select("query", "reference", "ani"), ["query", "reference"])
+    if clusters is not None:
+        for side in ("query", "reference"):
+            out = out.join(clusters.select(F.col("item").alias(side), F.col("cluster").alias(f"c_{side}")), side)
+        out = out.where("c_query = c_reference").drop("c_query", "c_reference")
+    return out
+
+
 def coverage(shared, len1, len2, method: str = "larger"):
     """``larger``: of the longer share of either; ``total``: twice the shared over both lengths."""
     if method == "larger":

@@ -16,11 +16,19 @@ def snp_rows(snps: DataFrame) -> DataFrame:
 
 
 def split_ani(splits: DataFrame) -> DataFrame:
-    """``length`` and ``ani`` of splits (start, end, n)."""
-    length = F.col("end") - F.col("start")
+    """``length`` and ``ani`` of splits (split_start, split_end, n), each by its own length."""
+    length = F.col("split_end") - F.col("split_start")
     return splits.withColumns({"length": length, "ani": F.when(length > 0, (length - F.col("n")) / length)})
 
 
+def coverage_ani(alignments: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``r_scaff, q_scaff, r_aln_length, alignments, coverage, ani`` of alignments (r_scaff, q_scaff, length, errors): the aligned
+    share of the first scaffold (lengths: scaffold, length), and the share of it that is the same."""
+    g = alignments.groupBy("r_scaff", "q_scaff").agg(F.sum("length").alias("n"), F.sum("errors").alias("errors"), F.count(F.lit(1)).alias("alignments"))
+    g = g.join(lengths.select(F.col("scaffold").alias("r_scaff"), F.col("length").alias("whole")), "r_scaff")
+    return g.select("r_scaff", "q_scaff", F.col("n").cast("long").alias("r_aln_length"), "alignments", (F.col("n") / F.col("whole")).alias("coverage"), ((F.col("n") - F.col("errors")) / F.col("n")).alias("ani"))
+
+
 def dereplicate(scaffolds: DataFrame, pairs: DataFrame, least_coverage: float = 0.5, least_ani: float = 0.95, ignore_same: bool = False) -> DataFrame:
     """``scaffolds`` (scaffold, file, priority) with ``removed``: a scaffold goes if it is alike enough
     to one that stays from a file of smaller priority (pairs: new, old, coverage, ani; both limits

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,69 @@ def centrality(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     return clusters.join(mean, "item", "left").select("item", "cluster", F.coalesce("m", F.lit(0.0)).alias("centrality"))
 
 
+def strain_known(quality: DataFrame) -> bool:
+    """Whether strain heterogeneity counts: not if it is missing or NaN in any row."""
+    if "strain_heterogeneity" not in quality.columns:
+        return False
+    x = F.col("strain_heterogeneity").cast("double")
+    return quality.where(x.isNull() | F.isnan(x)).isEmpty()
+
+
+def scored(table: DataFrame, w: Weights, s_ani: float = 0.95, ignore_quality: bool = False, strain: bool | None = None) -> DataFrame:
+    """``table`` with its ``score``; missing strain, centrality and extra columns count as 0, and strain
+    heterogeneity counts for no row if it is missing in any (``strain`` says so if it is known already)."""
+    strain = strain_known(table) if strain is None and not ignore_quality else bool(strain)
+    lacking = {c: F.lit(0.0) for c in ("completeness", "contamination", "strain_heterogeneity", "centrality", "extra") if c not in table.columns}
+    return table.withColumns(lacking).withColumn("score", score(w, s_ani, strain, ignore_quality))
+
+
+def scratch_centrality(sketches: DataFrame, item: str, clusters: DataFrame, s: int, k: int) -> DataFrame:
+    """``item, cluster, centrality`` by similarities of sketches (item, hs) inside each cluster (item, cluster); for
+    clusterings that have no pairs of all members. Pairs meet by cluster, so only those are made."""
+    from repset.operators.sketch import compared_within
+
+    many = clusters.join(clusters.groupBy("cluster").count().where("count > 1").select("cluster"), "cluster")
+    p = compared_within(sketches, item, many.withColumnRenamed("cluster", "block"), s, k)
+    both = p.select(F.col("item1").alias("query"), F.col("item2").alias("reference"), (1 - F.col("dist")).alias("ani"))
+    return centrality(both.union(both.select("reference", "query", "ani")), clusters)
+
+
+def report(best: DataFrame, clusters: DataFrame, pairs: DataFrame, quality: DataFrame | None = None, taxa: DataFrame | None = None) -> DataFrame:
+    """``cluster, item, score, members, closest, furthest`` of winners (cluster, item, score): similarities in
+    percent from the winner to its cluster's other members (pairs: query, reference, ani), ``NA`` without any. With
+    ``quality`` (item, completeness, contamination, ...) its columns and labels, with ``taxa`` (item, name,
+    confidence) the name of the largest confidence."""
+    n = clusters.groupBy("cluster").agg(F.countDistinct("item").alias("members"))
+    inside = pairs.where("query <> reference").join(clusters.toDF("query", "cluster"), "query").join(clusters.toDF("reference", "c2"), "reference").where("cluster = c2")
+    d = inside.groupBy(F.col("query").alias("item")).agg(F.max("ani").alias("hi"), F.min("ani").alias("lo"))
+    out = best.join(n, "cluster").join(d, "item", "left")
+    text = lambda c: F.coalesce(F.format_string("%.2f", F.round(100 * F.col(c), 2)), F.lit("NA"))
+    out = out.select("cluster", "item", "score", "members", F.when(F.col("hi").isNull(), "NA").otherwise(text("hi")).alias("closest"), F.when(F.col("lo").isNull(), "NA").otherwise(text("lo")).alias("furthest"))
+    if quality is not None:
+        q = quality.withColumns({"completeness_label": completeness_label(F.col("completeness")), "contamination_label": contamination_label(F.col("contamination"))})
+        out = out.join(q, "item", "left")
+    if taxa is not None:
+        out = out.join(taxa.groupBy("item").agg(F.max_by("name", F.struct("confidence", "name")).alias("taxonomy")), "item", "left")
+    return out
+
+
+def with_extra(items: DataFrame, extra: DataFrame, item: str) -> DataFrame:
+    """``item, extra``: the extra weight (item, extra) of every item, 0 without one; of several the largest."""
+    e = extra.groupBy(item).agg(F.max("extra").alias("extra"))
+    return items.select(item).join(e, item, "left").select(item, F.coalesce("extra", F.lit(0.0)).alias("extra"))
+
+
+def by_score(best: DataFrame, item: str) -> DataFrame:
+    """Winners, best first; ties by item."""
+    return best.orderBy(F.desc("score"), item)
+
+
+def melted(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``keys, variable, value``: a row for each of ``columns``."""
+    return df.select(*keys, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(keys, columns, "variable", "value")
+
+
+#: fixed values: upper ends of the grades of completeness and contamination
 def completeness_label(c: Column) -> Column:
     return F.when(c == 100, "perfect").when(c > 90, "near").when(c > 70, "substantial").when(c > 50, "moderate").otherwise("partial")
 
@@ -50,6 +113,9 @@ def contamination_label(c: Column) -> Column:
 
 
 def normalized(df: DataFrame, cluster: str, columns: list[str]) -> DataFrame:
-    """Columns over their cluster's maximum, not below 0; 0 where that isn't positive."""
-    most = {c: F.max(c).over(Window.partitionBy(cluster)) for c in columns}
-    return df.withColumns({c: F.when(m > 0, F.greatest(F.lit(0.0), F.col(c) / m)).otherwise(0.0) for c, m in most.items()})
+    """Columns over their cluster's maximum, not below 0; 0 where that isn't positive. Maxima are grouped
+    (combined before the shuffle), so a large cluster isn't one task."""
+    most = df.groupBy(F.col(cluster).alias("__c")).agg(*(F.max(c).alias(f"__{c}") for c in columns))
+    j = df.join(most, F.col(cluster).eqNullSafe(F.col("__c")))
+    out = {c: F.when(F.col(f"__{c}") > 0, F.greatest(F.lit(0.0), F.col(c) / F.col(f"__{c}"))).otherwise(0.0) for c in columns}
+    return j.withColumns(out).select(*df.columns)

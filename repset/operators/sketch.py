@@ -1,22 +1,78 @@
-"""Bottom-s sketches of shingles and distances by them."""
+"""Bottom-s sketches of word shingles and of canonical k-mers, and distances by them.
+
+Hashes are made, made distinct and cut inside the row of their item, so that a sketch needs no
+shuffle. Items must be distinct rows (``filters.require_unique``)."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repset.session import materialize
+
+#: items that share a hash from which its pairs aren't made before rarer hashes were tried
+HOT = 1000
+#: hot hashes up to which they are broadcast; beyond, joined by shuffle
+BROADCAST_HASHES = 200_000
+#: bases of a sequence that are cut into k-mers at a time
+STRETCH = 100_000
+
+
+def _hash(gram: Column) -> Column:
+    return F.substring(F.md5(gram), 1, 15)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once a row, however often the body names it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
+def hashes(items: DataFrame, item: str, text: str, k: int) -> DataFrame:
+    """``item, hs``: the distinct hashes of ``k`` words in a row, ascending (texts split at blanks and line
+    ends). Texts of fewer words, and null ones, give no row."""
+    words = F.filter(F.split(text, "[ \\n]+"), lambda x: x != "")
+    grams = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: _hash(F.concat_ws(" ", *(F.get(w, i + n) for n in range(k)))))
+    some = items.where(F.size(words) >= k)
+    return some.select(item, _let(words, lambda w: F.sort_array(F.array_distinct(grams(w)))).alias("hs"))
+
+
+def each(hashed: DataFrame, item: str) -> DataFrame:
+    """``item, h``: a row for each hash."""
+    # outer, or else a filter on the size of the array would make it twice
+    return hashed.select(item, F.explode_outer("hs").alias("h"))
+
+
+def cut(hashed: DataFrame, item: str, s: int) -> DataFrame:
+    """``item, hs``: the ``s`` smallest hashes of each item."""
+    return hashed.select(item, F.slice("hs", 1, s).alias("hs"))
 
-def shingles(items: DataFrame, item: str, text: str, k: int) -> DataFrame:
-    """``item, h``: the distinct hashes of ``k`` words in a row (texts split at blanks and line ends)."""
-    w = items.select(item, F.filter(F.split(text, "[ \\n]+"), lambda x: x != "").alias("w")).where(F.size("w") >= k)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice("w", i, k), " "))
-    return w.select(item, F.explode(grams).alias("g")).select(item, F.substring(F.md5("g"), 1, 15).alias("h")).distinct()
 
+def ranked(sketch: DataFrame, item: str) -> DataFrame:
+    """``item, h, r``: a row for each hash of a sketch, with its rank from 1."""
+    return sketch.select(item, F.posexplode_outer("hs").alias("r", "h")).select(item, "h", (F.col("r") + 1).alias("r"))
 
-def bottom(shingled: DataFrame, item: str, s: int) -> DataFrame:
-    """The ``s`` smallest hashes of each item, with their rank. The rank's limit is pushed below the shuffle."""
+
+def kmers(sequences: DataFrame, item: str, sequence: str, k: int = 21, only: str | None = "ACGT") -> DataFrame:
+    """``item, hs``: hashes of the canonical k-mers (the smaller of a k-mer and its reverse complement) of
+    each stretch of a sequence; an item has a row for each stretch. Lower-case bases count as upper
+    case; k-mers with other letters than ``only`` are left out, None keeps all."""
+    s = sequences.select(item, F.translate(sequence, "acgt", "ACGT").alias("s")).where(F.length("s") >= k)
+    part = s.select(item, "s", F.explode_outer(F.sequence(F.lit(1), F.greatest(F.length("s") - (k - 1), F.lit(1)), F.lit(STRETCH))).alias("at"))
+    grams = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - (k - 1), F.lit(1))), lambda i: x.substr(i, F.lit(k)))
+    known = (lambda g: F.filter(g, lambda x: F.translate(x, only, "") == "")) if only else lambda g: g
+    canonical = lambda g: F.transform(g, lambda x: _hash(F.least(x, F.translate(F.reverse(x), "ACGT", "TGCA"))))
+    return part.select(item, _let(F.expr(f"substr(s, at, {STRETCH + k - 1})"), lambda x: F.sort_array(F.array_distinct(canonical(known(grams(x)))))).alias("hs"))
+
+
+def merged(parts: DataFrame, item: str, s: int) -> DataFrame:
+    """``item, hs``: one sketch of the ``s`` smallest distinct hashes for each item from those of its parts.
+    Parts send ``s`` hashes at most, and the limit of the rank is pushed below the shuffle."""
+    rows = each(cut(parts, item, s), item).distinct()
     rank = F.row_number().over(Window.partitionBy(item).orderBy("h"))
-    return shingled.withColumn("r", rank).where(F.col("r") <= s)
+    few = rows.withColumn("r", rank).where(F.col("r") <= s)
+    return few.groupBy(item).agg(F.sort_array(F.collect_list("h")).alias("hs"))
 
 
 def distance(j: Column, k: int) -> Column:
@@ -24,32 +80,88 @@ def distance(j: Column, k: int) -> Column:
     return F.when(j > 0, F.least(F.lit(1.0), -F.log(2 * j / (1 + j)) / k)).otherwise(1.0)
 
 
+def _compared(pairs: DataFrame, s: int, k: int) -> DataFrame:
+    """Pairs (item1, hs1, item2, hs2) by the s smallest hashes of the union."""
+    u = pairs.withColumn("u", F.slice(F.sort_array(F.array_union("hs1", "hs2")), 1, s))
+    shared = F.size(F.array_intersect("u", F.array_intersect("hs1", "hs2"))).cast("long")
+    p = u.select("item1", "item2", shared.alias("shared"), F.size("u").cast("long").alias("size"))
+    j = F.col("shared") / F.col("size")
+    return p.where("shared > 0").select("item1", "item2", "shared", "size", j.alias("j"), distance(j, k).alias("dist"))
+
+
 def sketch_pairs(sketch: DataFrame, item: str, s: int, k: int) -> DataFrame:
-    """``item1 < item2, shared, size, j, dist`` of pairs that share a hash.
-
-    j is taken over the s smallest hashes of the union: an item's hash of rank r stands at place
-    r + (the other's rank) - (shared so far) there, so a shared hash counts if that is within s.
-    Pairs without a shared hash have distance 1 and are never made."""
-    n = sketch.groupBy(item).agg(F.max("r").alias("n"))
-    x = sketch.select(F.col(item).alias("item1"), "h", F.col("r").alias("r1"))
-    y = sketch.select(F.col(item).alias("item2"), "h", F.col("r").alias("r2"))
+    """``item1 < item2, shared, size, j, dist`` of all pairs that share a hash, from sketches (item, hs).
+
+    j is taken over the s smallest hashes of the union: a hash of ranks r1 and r2 stands at place
+    r1 + r2 - (shared so far) there, so a shared hash counts if that is within s. Pairs without a
+    shared hash have distance 1 and are never made. What is asked for grows by the square of the
+    items that share a hash; ``near_pairs`` makes only those within a distance."""
+    n = sketch.select(item, F.size("hs").cast("long").alias("n"))
+    rows = ranked(sketch, item)
+    x = rows.select(F.col(item).alias("item1"), "h", F.col("r").alias("r1"))
+    y = rows.select(F.col(item).alias("item2"), "h", F.col("r").alias("r2"))
     hit = x.join(y, "h").where("item1 < item2")
     order = Window.partitionBy("item1", "item2").orderBy("h")
     hit = hit.withColumn("place", F.col("r1") + F.col("r2") - F.row_number().over(order))
-    pairs = hit.where(F.col("place") <= s).groupBy("item1", "item2").agg(F.count(F.lit(1)).alias("shared"), F.count(F.lit(1)).alias("m"))
-    total = hit.groupBy("item1", "item2").agg(F.count(F.lit(1)).alias("both"))
-    pairs = pairs.drop("m").join(total, ["item1", "item2"]).join(n.toDF("item1", "n1"), "item1").join(n.toDF("item2", "n2"), "item2")
-    size = F.least(F.lit(s), F.col("n1") + F.col("n2") - F.col("both"))
+    pairs = hit.groupBy("item1", "item2").agg(F.count_if(F.col("place") <= s).alias("shared"), F.count(F.lit(1)).alias("both")).where("shared > 0")
+    pairs = pairs.join(n.toDF("item1", "n1"), "item1").join(n.toDF("item2", "n2"), "item2")
+    size = F.least(F.lit(s).cast("long"), F.col("n1") + F.col("n2") - F.col("both"))
     j = F.col("shared") / size
-    return pairs.select("item1", "item2", "shared", size.cast("long").alias("size"), j.alias("j"), distance(j, k).alias("dist"))
+    return pairs.select("item1", "item2", "shared", size.alias("size"), j.alias("j"), distance(j, k).alias("dist"))
+
 
+def near_pairs(sketch: DataFrame, item: str, s: int, k: int, most: float) -> DataFrame:
+    """``sketch_pairs`` with dist <= ``most``, found by prefixes.
 
-def containment(shingled: DataFrame, item: str, blocks: DataFrame, k: int) -> DataFrame:
-    """Ordered pairs inside a block with the share of the query's shingles: ``query, reference, shared, ani, coverage``."""
-    s = shingled.join(blocks, item)
-    n = shingled.groupBy(item).agg(F.count(F.lit(1)).alias("n"))
-    x, y = s.select(F.col(item).alias("query"), "block", "h"), s.select(F.col(item).alias("reference"), "block", "h")
-    pairs = x.join(y, ["block", "h"]).groupBy("block", "query", "reference").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = pairs.join(n.toDF("query", "nq"), "query").join(n.toDF("reference", "nr"), "reference")
+    Such a pair shares at least t of the larger sketch, so of n hashes in one global order the first
+    n - ceil(t n) + 1 must hold a shared one. Hashes that more than HOT items have come last in that
+    order: what a third of all items have makes no pairs unless items have little else."""
+    sketch, _ = materialize(sketch.select(F.col(item).alias("item"), "hs"), "sketches")
+    e = math.exp(-k * (most + 1e-9))
+    t = e / (2 - e)
+    prefix = (F.size("hs") - F.ceil(F.size("hs") * t) + 1).cast("int")
+    hot, _ = materialize(each(sketch, "item").groupBy("h").count().where(F.col("count") > HOT).select("h"), "hot")
+    n_hot = hot.count()
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= BROADCAST_HASHES else hot
+        flagged = sketch.select("item", prefix.alias("n"), F.explode("hs").alias("h")).join(hot.withColumn("hot", F.lit(1)), "h", "left")
+        rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("hot", F.lit(0)), "h"))
+        rows = flagged.withColumn("r", rank).where("r <= n").select("item", "h")
+    else:
+        rows = sketch.select("item", F.explode(F.slice("hs", 1, F.greatest(prefix, F.lit(1)))).alias("h"))
+    found = rows.toDF("item1", "h").join(rows.toDF("item2", "h"), "h").where("item1 < item2").select("item1", "item2").distinct()
+    found, _ = materialize(found, "candidates")
+    full = found.join(sketch.toDF("item1", "hs1"), "item1").join(sketch.toDF("item2", "hs2"), "item2")
+    return _compared(full, s, k).where(F.round("dist", 12) <= most)
+
+
+def compared_within(sketch: DataFrame, item: str, blocks: DataFrame, s: int, k: int) -> DataFrame:
+    """``sketch_pairs`` of sketches (item, hs) inside the same block (item, block)."""
+    m = sketch.select(F.col(item).alias("item"), "hs").join(blocks, "item")
+    pairs = m.toDF("item1", "hs1", "block").join(m.toDF("item2", "hs2", "block"), "block").where("item1 < item2")
+    return _compared(pairs, s, k)
+
+
+def containment(hashed: DataFrame, item: str, blocks: DataFrame, k: int) -> DataFrame:
+    """Ordered pairs inside a block (item, block) with the share of the query's hashes (item, hs): ``block,
+    query, reference, shared, ani, coverage``. Only items of blocks send their hashes."""
+    s = hashed.join(blocks, item).select(F.col(item).alias("item"), "block", "hs")
+    n = s.select("item", "block", F.size("hs").alias("n"))
+    h = s.select("item", "block", F.explode("hs").alias("h"))
+    pairs = h.toDF("query", "block", "h").join(h.toDF("reference", "block", "h"), ["block", "h"]).groupBy("block", "query", "reference").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = pairs.join(n.toDF("query", "block", "nq"), ["block", "query"]).join(n.toDF("reference", "block", "nr"), ["block", "reference"])
     c = F.col("shared") / F.col("nq")
     return pairs.select("block", "query", "reference", "shared", F.pow(c, F.lit(1.0 / k)).alias("ani"), F.greatest(c, F.col("shared") / F.col("nr")).alias("coverage"))
+
+
+def best_reference(hashed: DataFrame, item: str, references: DataFrame, reference: str) -> DataFrame:
+    """``item, best, containment``: of the references (reference, hs) the one most of whose hashes an item
+    has; ties go to the smaller. References are broadcast while they have at most 5 BROADCAST_HASHES hashes."""
+    refs = each(references, reference).toDF("reference", "h")
+    refs, _ = materialize(refs, "references")
+    n = refs.groupBy("reference").agg(F.count(F.lit(1)).alias("n"))
+    side = F.broadcast(refs) if refs.count() <= 5 * BROADCAST_HASHES else refs
+    hit = each(hashed, item).join(side, "h").groupBy(item, "reference").agg(F.count(F.lit(1)).alias("shared")).join(n, "reference")
+    c = F.col("shared") / F.col("n")
+    best = F.max_by(F.struct("reference", c.alias("c")), F.struct(c, -F.col("reference"))).alias("b")
+    return hit.groupBy(item).agg(best).select(item, F.col("b.reference").alias("best"), F.col("b.c").alias("containment"))

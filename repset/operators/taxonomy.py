@@ -27,6 +27,24 @@ def by_share(hits: DataFrame, ranks: list[str], least: float, least_score: float
     return top.join(best, "item", "left").select("item", "rank", "name", "confidence", F.coalesce(F.col("depth") == F.col("b"), F.lit(False)).alias("best"))
 
 
+def by_mode(hits: DataFrame, ranks: list[str]) -> DataFrame:
+    """``item, rank, name, confidence, best``: of each rank (columns of ``hits``, one row a gene) the most
+    frequent name, in percent of all the item's rows; ``best`` marks the highest confidence (ties: the
+    rank listed first, the smaller name)."""
+    total = hits.groupBy("item").agg(F.count(F.lit(1)).alias("total"))
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("depth"), F.lit(r).alias("rank"), F.col(r).alias("name")) for k, r in enumerate(ranks)))).alias("c")
+    n = hits.select("item", cells).where("c.name IS NOT NULL").groupBy("item", "c.depth", "c.rank", "c.name").agg(F.count(F.lit(1)).alias("n"))
+    top = first_by(n, ["item", "depth"], [F.desc("n"), F.col("name")]).join(total, "item").withColumn("confidence", 100.0 * F.col("n") / F.col("total"))
+    best = top.groupBy("item").agg(F.max_by("depth", F.struct("confidence", -F.col("depth"))).alias("b"))
+    return top.join(best, "item").select("item", "rank", "name", "confidence", (F.col("depth") == F.col("b")).alias("best"))
+
+
+def lineage(items: DataFrame, item: str, ranks: list[str], unknown: str = "unk") -> DataFrame:
+    """``item, lineage``: the names of ``ranks`` joined by bars, after the item itself."""
+    parts = [F.col(item).cast("string"), *(F.coalesce(F.col(r).cast("string"), F.lit(unknown)) for r in ranks)]
+    return items.select(item, F.concat_ws("|", *parts).alias("lineage"))
+
+
 def attach(items: DataFrame, taxa: DataFrame, item: str) -> DataFrame:
     """Items with the ``name`` of their best row as ``taxonomy``; each must have exactly one."""
     best = taxa.where("best").groupBy("item").agg(F.min("name").alias("taxonomy"), F.count(F.lit(1)).alias("k"))

@@ -42,6 +42,12 @@ def alike(pairs: DataFrame, chosen: DataFrame, similarity: float = 0.98, coverag
     return p.groupBy(F.greatest("query", "reference").alias("item1"), F.least("query", "reference").alias("item2")).agg(F.max("ani").alias("ani"))
 
 
+def high_self(pairs: DataFrame, cutoff: float) -> DataFrame:
+    """``block, dist, message`` of blocks in which an item differs from itself by more than the cutoff of clusters."""
+    d = self_distance(pairs).where(F.col("dist") > cutoff)
+    return d.withColumn("message", F.format_string("block %s: high self comparison (%.4f)", F.col("block").cast("string"), "dist"))
+
+
 def self_distance(pairs: DataFrame, least: float = 1e-4) -> DataFrame:
     """``block, dist``: 1 minus the lowest similarity of an item with itself; ``least`` where that is 0."""
     own = pairs.where("query = reference").groupBy("block").agg((1 - F.min("ani")).alias("d"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from repset.operators import adjust, filters, greedy, linkage, pairs, ranges, scaffolds, score, segments, sketch, taxonomy, warn
 from repset.operators.components import connected_components
+from repset.session import materialize
+from repset.sources import fasta, tables
 
 #: words in a shingle, hashes in a sketch, and the distance of primary clusters
 K, S, CUT = 5, 64, 0.1
@@ -56,31 +58,43 @@ _CO = _CC + f""",
  pc AS (SELECT block, query, reference, shared, pow(shared::DOUBLE / q.n, 1.0 / {K}) AS ani, greatest(shared::DOUBLE / q.n, shared::DOUBLE / r.n) AS coverage FROM sp JOIN nn q ON q.doc_id = query JOIN nn r ON r.doc_id = reference)"""
 
 
-def _shingled(spark, d):
-    return sketch.shingles(t(spark, d, "documents"), "doc_id", "text", K)
+def _hashes(spark, d):
+    return sketch.hashes(t(spark, d, "documents"), "doc_id", "text", K)
 
 
 def _sketch(spark, d):
-    return sketch.bottom(_shingled(spark, d), "doc_id", S)
+    return sketch.cut(_hashes(spark, d), "doc_id", S)
 
 
 def _pairs(spark, d):
-    return sketch.sketch_pairs(_sketch(spark, d), "doc_id", S, K)
+    return sketch.sketch_pairs(materialize(_sketch(spark, d), "sketches")[0], "doc_id", S, K)
+
+
+def _near(spark, d):
+    return sketch.near_pairs(_sketch(spark, d), "doc_id", S, K, CUT)
 
 
 def _clusters(spark, d):
-    links = connected_components(_pairs(spark, d).where(F.round("dist", 12) <= CUT), "item1", "item2")
+    links = connected_components(_near(spark, d), "item1", "item2")
     items = t(spark, d, "documents").select(F.col("doc_id").alias("item"))
-    return items.join(links, F.col("item") == F.col("node"), "left").select("item", F.coalesce("component", "item").alias("cluster"))
+    c = items.join(links, F.col("item") == F.col("node"), "left").select("item", F.coalesce("component", "item").alias("cluster"))
+    return materialize(c, "clusters")[0]
 
 
-def _blocks(spark, d):
-    c = _clusters(spark, d)
+def _blocks_of(c: DataFrame) -> DataFrame:
     return c.join(c.groupBy("cluster").count().where("count > 1"), "cluster").select("item", F.col("cluster").alias("block"))
 
 
+def _contained(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clusters, blocks, pairs by containment), each made once."""
+    c = _clusters(spark, d)
+    b, _ = materialize(_blocks_of(c), "blocks")
+    p, _ = materialize(sketch.containment(_hashes(spark, d), "doc_id", b.withColumnRenamed("item", "doc_id"), K), "contained")
+    return c, b, p
+
+
 def _containment(spark, d):
-    return sketch.containment(_shingled(spark, d), "doc_id", _blocks(spark, d).withColumnRenamed("item", "doc_id"), K)
+    return _contained(spark, d)[2]
 
 
 @query("SELECT page_id, split_part(url, '/', -1) AS name FROM pages")
@@ -140,7 +154,7 @@ def quality_source_coalesce(spark, d):
 
 @query(f"WITH {_SK} SELECT doc_id, h, r::INT AS r FROM sk")
 def sketch_bottom_s(spark, d):
-    return _sketch(spark, d)
+    return sketch.ranked(_sketch(spark, d), "doc_id")
 
 
 @query(f"WITH {_SK} SELECT item1, item2, shared, size::BIGINT AS size, round(j, 9) AS j, round(dist, 9) AS dist FROM pd")
@@ -184,7 +198,8 @@ def reciprocal_mean(spark, d):
 
 @query(f"WITH RECURSIVE {_CO} SELECT x.block, x.item AS query, y.item AS reference, round(coalesce(ani, 0), 9) AS ani FROM bl x JOIN bl y ON x.block = y.block LEFT JOIN pc ON query = x.item AND reference = y.item")
 def densify_pairs(spark, d):
-    return _r(pairs.densify(_containment(spark, d), _blocks(spark, d)), "ani").select("block", "query", "reference", "ani")
+    _, b, p = _contained(spark, d)
+    return _r(pairs.densify(p, b), "ani").select("block", "query", "reference", "ani")
 
 
 @query(f"WITH {_SK} SELECT item1 AS query, item2 AS reference, round(j, 9) AS ani FROM pd UNION ALL SELECT item2, item1, round(j, 9) FROM pd UNION ALL SELECT doc_id, doc_id, 1.0 FROM documents")
@@ -212,16 +227,16 @@ def coverage_total(spark, d):
     return _sums(spark, d).select("part", "supplier", F.round(pairs.coverage(F.col("shared"), F.col("n1"), F.col("n2"), "total"), 9).alias("coverage"))
 
 
-@query("SELECT l_orderkey, round(sum(100 * (1 - l_discount) * l_quantity) / sum(l_quantity), 6) AS ani, round(sum(l_quantity) / 50, 6) AS af FROM lineitem WHERE l_quantity / 50 >= 0.7 AND 100 * (1 - l_discount) >= 70 GROUP BY 1")
+@query("SELECT l_orderkey AS query, l_linestatus AS reference, round(sum(100 * (1 - l_discount) * l_quantity) / sum(l_quantity), 6) AS ani, round(sum(l_quantity) / (50 * count(*)), 6) AS af FROM lineitem WHERE l_quantity / 50 >= 0.7 AND 100 * (1 - l_discount) >= 70 GROUP BY 1, 2")
 def weighted_gene_ani(spark, d):
-    x = t(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").alias("n"), (100 * (1 - F.col("l_discount"))).alias("p")).where((F.col("n") / 50 >= 0.7) & (F.col("p") >= 70))
-    return x.groupBy("l_orderkey").agg(F.round(F.sum(F.col("p") * F.col("n")) / F.sum("n"), 6).alias("ani"), F.round(F.sum("n") / 50, 6).alias("af"))
+    x = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("query"), F.col("l_linestatus").alias("reference"), F.col("l_quantity").alias("al_len"), F.lit(50).alias("qry_len"), F.lit(60).alias("sbj_len"), (100 * (1 - F.col("l_discount"))).alias("percent"))
+    got = tables.gene_hits(x)
+    return got.select("query", "reference", F.round("ani", 6).alias("ani"), F.round("af", 6).alias("af"))
 
 
 def _linkage(method):
     def run(spark, d):
-        p = pairs.reciprocal(_containment(spark, d)).join(_blocks(spark, d).withColumnRenamed("item", "query"), "query")
-        c = linkage.cluster_blocks(p.select("block", "query", "reference", "dist"), method, 0.05)
+        c = linkage.cluster_blocks(_block_dist(spark, d), method, 0.05)
         return c.withColumn("low", F.expr("min(item) over (partition by block, cluster)")).select("block", "item", "low")
 
     run.__name__ = f"linkage_{method}"
@@ -236,11 +251,21 @@ ORACLES["linkage_single"] = f"""WITH RECURSIVE {_CO},
  SELECT block, bl.item, (SELECT min(seen) FROM r WHERE node = bl.item) AS low FROM bl"""
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CO},
+ o AS (SELECT block, item, n_chars, row_number() OVER (PARTITION BY block ORDER BY n_chars DESC, item) AS k FROM bl JOIN documents ON doc_id = item),
+ pt AS (SELECT block, query AS item, list(reference) AS near FROM pc WHERE ani >= 0.95 AND coverage >= 0.1 AND query <> reference GROUP BY 1, 2),
+ ok AS (SELECT o.block, o.item, k, coalesce(near, []) AS near FROM o LEFT JOIN pt ON pt.block = o.block AND pt.item = o.item),
+ st AS (SELECT block, 0::BIGINT AS k, []::BIGINT[] AS reps FROM (SELECT DISTINCT block FROM bl)
+  UNION ALL SELECT st.block, ok.k, CASE WHEN len(list_intersect(reps, near)) > 0 THEN reps ELSE list_append(reps, item) END FROM st JOIN ok ON ok.block = st.block AND ok.k = st.k + 1),
+ fin AS (SELECT block, arg_max(reps, k) AS reps FROM st GROUP BY 1),
+ rp AS (SELECT block, unnest(reps) AS rep, unnest(generate_series(1, len(reps))) AS number FROM fin),
+ x AS (SELECT ok.block, ok.item, rep, number, row_number() OVER (PARTITION BY ok.block, ok.item ORDER BY (rep = ok.item) DESC, number) AS r FROM ok JOIN rp ON rp.block = ok.block AND (rep = ok.item OR list_contains(near, rep)))
+ SELECT block, item, rep AS representative, number::INT AS number, rep = item AS is_representative FROM x WHERE r = 1""")
 def greedy_clusters(spark, d):
     """Longest first; a document joins the first representative with similarity and coverage at the thresholds or above."""
-    items = _blocks(spark, d).join(t(spark, d, "documents").select(F.col("doc_id").alias("item"), F.col("n_chars").alias("length")), "item")
-    near = _containment(spark, d).where("ani >= 0.95 AND coverage >= 0.1 AND query <> reference").select("block", "query", "reference")
+    _, b, p = _contained(spark, d)
+    items = b.join(t(spark, d, "documents").select(F.col("doc_id").alias("item"), F.col("n_chars").alias("length")), "item")
+    near = p.where("ani >= 0.95 AND coverage >= 0.1 AND query <> reference").select("block", "query", "reference")
     return greedy.greedy(items.select("block", "item", "length"), near)
 
 
@@ -258,7 +283,7 @@ def greedy_clusters(spark, d):
 def multiround_primary(spark, d):
     """Clusters of chunks first, then of each one's longest member; members follow their representative."""
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("item"), "n_chars", F.floor(F.col("doc_id") / 100).alias("chunk"))
-    p = _pairs(spark, d).where(F.round("dist", 12) <= CUT)
+    p, _ = materialize(_near(spark, d), "near")
     chunk = lambda c: F.floor(F.col(c) / 100)
     first = connected_components(p.where(chunk("item1") == chunk("item2")), "item1", "item2")
     one = docs.join(first, F.col("item") == F.col("node"), "left").select("item", "n_chars", F.coalesce("component", "item").alias("sub"))
@@ -276,11 +301,8 @@ def multiround_primary(spark, d):
  s AS (SELECT doc_id, item_id, count(*)::DOUBLE / n AS c FROM sh JOIN bg USING (h) JOIN n USING (item_id) GROUP BY doc_id, item_id, n)
  SELECT doc_id, item_id AS best, round(c, 9) AS containment FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, item_id) AS r FROM s) WHERE r = 1""")
 def one_vs_reps(spark, d):
-    reps = sketch.shingles(t(spark, d, "benchmark"), "item_id", "text", K)
-    n = reps.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    hit = _shingled(spark, d).join(reps, "h").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared")).join(n, "item_id")
-    best = F.max_by(F.struct("item_id", (F.col("shared") / F.col("n")).alias("c")), F.struct(F.col("shared") / F.col("n"), -F.col("item_id"))).alias("b")
-    return hit.groupBy("doc_id").agg(best).select("doc_id", F.col("b.item_id").alias("best"), F.round("b.c", 9).alias("containment"))
+    reps = sketch.hashes(t(spark, d, "benchmark"), "item_id", "text", K)
+    return _r(sketch.best_reference(_hashes(spark, d), "doc_id", reps, "item_id"), "containment")
 
 
 _OLD = "SELECT n_nationkey || '_' || n_regionkey AS old, n_regionkey // 2 * 10 + n_nationkey // 5 AS grp FROM nation"
@@ -310,14 +332,20 @@ def remove_cluster(spark, d):
 
 _SC = """n AS (WITH s AS (SELECT doc_id, length(trim(unnest(string_split(text, chr(10))), ' ')) AS len FROM documents), m AS (SELECT doc_id, len, sum(len) OVER (PARTITION BY doc_id ORDER BY len DESC) AS run, sum(len) OVER (PARTITION BY doc_id) AS total FROM s WHERE len > 0)
    SELECT doc_id, max(total) AS length, max(CASE WHEN 2 * run > total THEN len END) AS n50 FROM m GROUP BY 1),
- sc AS (SELECT doc_id, lang, source, quality * 100 - 5 * (toxic * 100) + 0.5 * log10(n50) - 0.95 AS score, 0.5 * log10(n50) - 0.95 AS free FROM documents JOIN labels USING (doc_id) JOIN n USING (doc_id))"""
+ sc AS (SELECT doc_id, lang, source, n50, length, coalesce(quality * 100.0, least(n_chars / 10.0, 100.0)) - 5 * coalesce(toxic * 100.0, 0.0) + coalesce(toxic * 100.0, 0.0) * (doc_id % 101) / 100 + 0.5 * log10(n50) + (doc_id % 7 / 7.0 - 0.95) + coalesce(toxic::DOUBLE, 0) AS score,
+   0.5 * log10(n50) + (doc_id % 7 / 7.0 - 0.95) + coalesce(toxic::DOUBLE, 0) AS free FROM documents LEFT JOIN labels USING (doc_id) JOIN n USING (doc_id))"""
+
+
+def _extra(spark, d):
+    return score.with_extra(t(spark, d, "documents"), t(spark, d, "labels").select("doc_id", F.col("toxic").cast("double").alias("extra")), "doc_id")
 
 
 def _scored(spark, d, free=False):
+    """All documents with a line, by labels or, without one, by the default quality."""
     info = item_info_n50(spark, d).withColumnRenamed("total", "length")
-    x = t(spark, d, "documents").select("doc_id", "lang", "source").join(_quality(spark, d), "doc_id").join(info, "doc_id")
-    x = x.withColumns({"strain_heterogeneity": F.lit(0.0), "centrality": F.lit(0.0), "extra": F.lit(0.0)})
-    return x.withColumn("score", score.score(score.Weights(), ignore_quality=free))
+    x = t(spark, d, "documents").select("doc_id", "lang", "source").join(quality_source_coalesce(spark, d).drop("origin"), "doc_id").join(info, "doc_id").join(_extra(spark, d), "doc_id")
+    x = x.withColumns({"strain_heterogeneity": (F.col("doc_id") % 101).cast("double"), "centrality": F.col("doc_id") % 7 / 7})
+    return score.scored(x, score.Weights(), ignore_quality=free, strain=True)
 
 
 @query(f"WITH {_SC} SELECT doc_id, round(score, 6) AS score FROM sc")
@@ -340,22 +368,51 @@ def normalized_scores(spark, d):
     return _r(score.normalized(_scored(spark, d), "source", ["score"]), "score").select("doc_id", "source", F.round("score", 6).alias("score"))
 
 
-@query("SELECT doc_id, coalesce(toxic::DOUBLE, 0) AS extra_weight FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT doc_id, coalesce(toxic::DOUBLE, 0) AS extra FROM documents LEFT JOIN labels USING (doc_id)")
 def extra_weights(spark, d):
-    x = t(spark, d, "labels").select("doc_id", F.col("toxic").cast("double").alias("w"))
-    return t(spark, d, "documents").join(x, "doc_id", "left").select("doc_id", F.coalesce("w", F.lit(0.0)).alias("extra_weight"))
+    return _extra(spark, d)
+
+
+@query(f"WITH {_SC} SELECT doc_id, unnest(['length', 'n50', 'score']) AS variable, round(unnest([length::DOUBLE, n50::DOUBLE, score]), 6) AS value FROM sc")
+def score_melt(spark, d):
+    return _r(score.melted(_scored(spark, d), ["doc_id"], ["length", "n50", "score"]), "value").withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {_SC} SELECT doc_id, lang, source, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r = 1 ORDER BY score DESC, doc_id")
+def winners_by_score(spark, d):
+    return score.by_score(winners(spark, d), "doc_id")
+
+
+@query("WITH s AS (SELECT doc_id, length(trim(unnest(string_split(text, chr(10))), ' ')) AS len FROM documents), i AS (SELECT * FROM (" + "WITH m AS (SELECT doc_id, len, sum(len) OVER (PARTITION BY doc_id ORDER BY len DESC) AS run, sum(len) OVER (PARTITION BY doc_id) AS total FROM s WHERE len > 0) SELECT doc_id, max(total)::BIGINT AS length, max(CASE WHEN 2 * run > total THEN len END)::BIGINT AS n50 FROM m GROUP BY doc_id" + ")) SELECT doc_id, quality * 100.0 AS completeness, toxic * 100.0 AS contamination, length, n50 FROM labels LEFT JOIN i USING (doc_id)")
+def quality_with_sizes(spark, d):
+    info = item_info_n50(spark, d).withColumnRenamed("total", "length")
+    return filters.with_sizes(_quality(spark, d), info, "doc_id", fill=True)
+
+
+@query("SELECT l_orderkey || '.' || l_linenumber AS item, l_quantity::DOUBLE AS completeness, (l_tax * 100)::DOUBLE AS contamination, (l_discount * 100)::DOUBLE AS strain_heterogeneity FROM lineitem")
+def tool_quality(spark, d):
+    x = t(spark, d, "lineitem").select(F.concat_ws(".", "l_orderkey", "l_linenumber").alias("Bin Id"), F.col("l_quantity").alias("Completeness"), (F.col("l_tax") * 100).alias("Contamination"), (F.col("l_discount") * 100).alias("Strain heterogeneity"), F.lit(1).alias("Marker lineage"))
+    return filters.tool_quality(x)
+
+
+@query("SELECT 'completeness' AS \"column\", printf('completeness is %.3f at most; percent are expected', max(quality)::DOUBLE) AS message FROM labels HAVING max(quality) BETWEEN 0.000001 AND 1 UNION ALL SELECT 'contamination', printf('contamination is %.3f at most; percent are expected', max(toxic)::DOUBLE) FROM labels HAVING max(toxic) BETWEEN 0.000001 AND 1")
+def quality_warnings(spark, d):
+    return filters.suspicious(t(spark, d, "labels").select("doc_id", F.col("quality").alias("completeness"), F.col("toxic").alias("contamination")))
 
 
 @query(f"WITH RECURSIVE {_CO}, m AS (SELECT reference AS item, avg(ani) AS m FROM pc WHERE query <> reference GROUP BY 1) SELECT item, cluster, round(coalesce(m, 0), 9) AS centrality FROM cl LEFT JOIN m USING (item)")
 def centrality(spark, d):
-    return _r(score.centrality(_containment(spark, d), _clusters(spark, d)), "centrality")
+    c, _, p = _contained(spark, d)
+    return _r(score.centrality(p, c), "centrality")
 
 
-@query(f"WITH RECURSIVE {_CO}, m AS (SELECT query AS item, max(ani) AS hi, min(ani) AS lo FROM pc WHERE query <> reference GROUP BY 1), k AS (SELECT cluster, count(*) AS members FROM cl GROUP BY 1) SELECT item, cluster, members, round(100 * hi, 2) AS closest, round(100 * lo, 2) AS furthest FROM cl JOIN k USING (cluster) LEFT JOIN m USING (item) WHERE item = cluster")
+@query(f"""WITH RECURSIVE {_CO}, w AS (SELECT cluster, item, n_chars::DOUBLE AS score FROM (SELECT cluster, item, n_chars, row_number() OVER (PARTITION BY cluster ORDER BY n_chars DESC, item) AS r FROM cl JOIN documents ON doc_id = item) WHERE r = 1),
+ m AS (SELECT query AS item, max(ani) AS hi, min(ani) AS lo FROM pc WHERE query <> reference GROUP BY 1), k AS (SELECT cluster, count(*) AS members FROM cl GROUP BY 1)
+ SELECT item, cluster, w.score, members, CASE WHEN hi IS NULL THEN 'NA' ELSE printf('%.2f', round(100 * hi, 2)) END AS closest, CASE WHEN lo IS NULL THEN 'NA' ELSE printf('%.2f', round(100 * lo, 2)) END AS furthest FROM w JOIN k USING (cluster) LEFT JOIN m USING (item)""")
 def winner_report(spark, d):
-    c = _clusters(spark, d)
-    m = _containment(spark, d).where("query <> reference").groupBy(F.col("query").alias("item")).agg(F.round(100 * F.max("ani"), 2).alias("closest"), F.round(100 * F.min("ani"), 2).alias("furthest"))
-    return c.join(c.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "cluster").where("item = cluster").join(m, "item", "left").select("item", "cluster", "members", "closest", "furthest")
+    c, _, p = _contained(spark, d)
+    best = score.winners(c.join(t(spark, d, "documents").select(F.col("doc_id").alias("item"), F.col("n_chars").cast("double").alias("score")), "item"), ["cluster"], "item")
+    return score.report(best, c, p).select("item", "cluster", "score", "members", "closest", "furthest")
 
 
 @query("SELECT CASE WHEN l_tax = 0 THEN 'none' WHEN 100 * l_tax <= 5 THEN 'low' WHEN 100 * l_tax < 10 THEN 'medium' WHEN 100 * l_tax < 15 THEN 'high' ELSE 'very high' END AS contamination, CASE WHEN 2 * l_quantity = 100 THEN 'perfect' WHEN 2 * l_quantity > 90 THEN 'near' WHEN 2 * l_quantity > 70 THEN 'substantial' WHEN 2 * l_quantity > 50 THEN 'moderate' ELSE 'partial' END AS completeness, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1, 2")
@@ -373,39 +430,55 @@ def time_estimate(spark, d):
 
 @query("SELECT url AS scaffold, max_by(split_part(url, '/', 3), page_id) AS bin FROM pages GROUP BY 1")
 def stb(spark, d):
-    return t(spark, d, "pages").groupBy(F.col("url").alias("scaffold")).agg(F.max_by(F.split("url", "/").getItem(2), "page_id").alias("bin"))
+    return fasta.last_bins(t(spark, d, "pages").select(F.col("url").alias("scaffold"), F.split("url", "/").getItem(2).alias("bin"), F.col("page_id").alias("place")))
 
 
 @query("""WITH p AS (SELECT l_partkey AS r_scaff, sum(l_quantity) AS len FROM lineitem GROUP BY 1)
  SELECT r_scaff, l_suppkey AS q_scaff, sum(l_quantity)::BIGINT AS r_aln_length, count(*) AS alignments, round(sum(l_quantity) / len, 9) AS coverage, round((sum(l_quantity) - sum(l_quantity * l_discount)) / sum(l_quantity), 9) AS ani FROM lineitem JOIN p ON r_scaff = l_partkey GROUP BY r_scaff, l_suppkey, len""")
 def scaffold_cov_ani(spark, d):
-    x = t(spark, d, "lineitem")
-    g = x.groupBy(F.col("l_partkey").alias("r_scaff"), F.col("l_suppkey").alias("q_scaff")).agg(F.sum("l_quantity").alias("n"), F.sum(F.col("l_quantity") * F.col("l_discount")).alias("errors"), F.count(F.lit(1)).alias("alignments"))
-    g = g.join(x.groupBy(F.col("l_partkey").alias("r_scaff")).agg(F.sum("l_quantity").alias("len")), "r_scaff")
-    return g.select("r_scaff", "q_scaff", F.col("n").cast("long").alias("r_aln_length"), "alignments", F.round(F.col("n") / F.col("len"), 9).alias("coverage"), F.round((F.col("n") - F.col("errors")) / F.col("n"), 9).alias("ani"))
+    x = t(spark, d, "lineitem").select(F.col("l_partkey").alias("r_scaff"), F.col("l_suppkey").alias("q_scaff"), F.col("l_quantity").alias("length"), (F.col("l_quantity") * F.col("l_discount")).alias("errors"))
+    return _r(scaffolds.coverage_ani(x, x.groupBy(F.col("r_scaff").alias("scaffold")).agg(F.sum("length").alias("length"))), "coverage", "ani")
+
+
+@query("""WITH x AS (SELECT 'p' || l_partkey AS query, 's' || l_suppkey AS reference, sum(l_quantity)::BIGINT AS alignment_length, round(sum(l_quantity * l_discount))::BIGINT AS similarity_errors FROM lineitem GROUP BY 1, 2),
+ q AS (SELECT query, sum(alignment_length)::BIGINT AS query_length FROM x GROUP BY 1), r AS (SELECT reference, sum(alignment_length)::BIGINT AS reference_length FROM x GROUP BY 1)
+ SELECT query, reference, alignment_length, similarity_errors, round((alignment_length - similarity_errors)::DOUBLE / alignment_length, 9) AS ani, query_length, reference_length, round(alignment_length::DOUBLE / query_length, 9) AS query_coverage, round(alignment_length::DOUBLE / reference_length, 9) AS reference_coverage, round(2 * alignment_length::DOUBLE / (query_length + reference_length), 9) AS coverage FROM x JOIN q USING (query) JOIN r USING (reference)""")
+def aligned_pairs(spark, d):
+    x = t(spark, d, "lineitem").groupBy(F.concat(F.lit("p"), "l_partkey").alias("query"), F.concat(F.lit("s"), "l_suppkey").alias("reference")).agg(F.sum("l_quantity").cast("long").alias("alignment_length"), F.round(F.sum(F.col("l_quantity") * F.col("l_discount"))).cast("long").alias("similarity_errors"))
+    sums = [x.groupBy(F.col(c).alias("item")).agg(F.sum("alignment_length").alias("length")) for c in ("query", "reference")]
+    return _r(pairs.aligned(x, sums[0].union(sums[1]), "total"), "ani", "query_coverage", "reference_coverage", "coverage")
 
 
-@query("""WITH r AS (SELECT l_suppkey AS key, l_partkey * 10 AS s, l_partkey * 10 + l_quantity::BIGINT * 100 AS e FROM lineitem WHERE l_linenumber = 1), x AS (SELECT l_suppkey AS key, l_orderkey % 25000 AS x FROM lineitem WHERE l_linenumber = 2)
- SELECT r.key, s AS "start", e AS "end", ((x - s) // 1000)::BIGINT AS split, count(*) AS n FROM r JOIN x ON r.key = x.key AND x >= s AND x < e GROUP BY 1, 2, 3, 4""")
+@query("""WITH r AS (SELECT l_suppkey AS key, l_partkey * 10 AS s, l_partkey * 10 + l_quantity::BIGINT * 100 AS e FROM lineitem), x AS (SELECT l_suppkey AS key, l_orderkey % 25000 AS x FROM lineitem),
+ c AS (SELECT DISTINCT key, s, e FROM r), n AS (SELECT c.key, s, e, ((x - s) // 1000)::BIGINT AS split, count(*) AS n FROM c JOIN x ON c.key = x.key AND x >= s AND x < e GROUP BY 1, 2, 3, 4)
+ SELECT key, s AS "start", e AS "end", split, n, least(s + split * 1000 + 1000, e) - (s + split * 1000) AS length, round(((least(s + split * 1000 + 1000, e) - (s + split * 1000)) - n) / (least(s + split * 1000 + 1000, e) - (s + split * 1000)), 9) AS ani FROM n""")
 def snp_splits(spark, d):
+    """Positions by split of the ranges that hold them, and each split's similarity over its own length."""
     x = t(spark, d, "lineitem")
-    r = x.where("l_linenumber = 1").select(F.col("l_suppkey").alias("key"), (F.col("l_partkey") * 10).alias("start"), (F.col("l_partkey") * 10 + F.col("l_quantity").cast("long") * 100).alias("end"))
-    return ranges.splits(x.where("l_linenumber = 2").select(F.col("l_suppkey").alias("key"), (F.col("l_orderkey") % 25000).alias("x")), r, 1000)
+    r = x.select(F.col("l_suppkey").alias("key"), (F.col("l_partkey") * 10).alias("start"), (F.col("l_partkey") * 10 + F.col("l_quantity").cast("long") * 100).alias("end")).distinct()
+    got = scaffolds.split_ani(ranges.splits(x.select(F.col("l_suppkey").alias("key"), (F.col("l_orderkey") % 25000).alias("x")), r, 1000))
+    return _r(got, "ani").select("key", "start", "end", "split", "n", "length", "ani")
 
 
 @query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, event_type AS taxonomy, round(100.0 * n / total, 6) AS confidence FROM (SELECT *, sum(n) OVER (PARTITION BY user_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM c) WHERE r = 1""")
 def taxonomy_max(spark, d):
-    c = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    total = c.groupBy("user_id").agg(F.sum("n").alias("total"))
-    top = ranges.first_by(c, ["user_id"], [F.desc("n"), F.col("event_type")])
-    return top.join(total, "user_id").select("user_id", F.col("event_type").alias("taxonomy"), F.round(100.0 * F.col("n") / F.col("total"), 6).alias("confidence"))
+    h = t(spark, d, "events").select(F.col("user_id").alias("item"), "event_type")
+    return taxonomy.by_mode(h, ["event_type"]).select(F.col("item").alias("user_id"), F.col("name").alias("taxonomy"), F.round("confidence", 6).alias("confidence"))
 
 
-@query("SELECT n_nationkey, concat_ws('|', n_nationkey, coalesce(r_name, 'unk'), coalesce(n_name, 'unk')) AS lineage FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey > 0")
+@query("""WITH h AS (SELECT user_id AS item, substr(event_type, 1, 1) AS genus, event_type AS species FROM events), k AS (SELECT item, count(*) AS total FROM h GROUP BY 1),
+ c AS (SELECT item, 0 AS depth, 'species' AS rank, species AS name, count(*) AS n FROM h GROUP BY 1, 4 UNION ALL SELECT item, 1, 'genus', genus, count(*) FROM h GROUP BY 1, 4),
+ x AS (SELECT item, depth, rank, name, round(100.0 * n / total, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY item, depth ORDER BY n DESC, name) AS r FROM c) JOIN k USING (item) WHERE r = 1)
+ SELECT item, rank, name, confidence, row_number() OVER (PARTITION BY item ORDER BY confidence DESC, depth) = 1 AS best FROM x""")
+def taxonomy_mode(spark, d):
+    h = t(spark, d, "events").select(F.col("user_id").alias("item"), F.substring("event_type", 1, 1).alias("genus"), F.col("event_type").alias("species"))
+    return taxonomy.by_mode(h, ["species", "genus"]).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("SELECT n_nationkey, concat_ws('|', n_nationkey, coalesce(r_name, 'unk'), coalesce(n_name, 'unk')) AS lineage FROM nation LEFT JOIN region ON r_regionkey = n_regionkey")
 def lineage_string(spark, d):
-    r = t(spark, d, "region").where("r_regionkey > 0")
-    j = t(spark, d, "nation").join(r, F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    return j.select("n_nationkey", F.concat_ws("|", F.col("n_nationkey").cast("string"), F.coalesce("r_name", F.lit("unk")), F.coalesce("n_name", F.lit("unk"))).alias("lineage"))
+    j = t(spark, d, "nation").join(t(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    return taxonomy.lineage(j, "n_nationkey", ["r_name", "n_name"])
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) AS known, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS unknown")
@@ -421,8 +494,8 @@ def self_distance(spark, d):
 
 
 def _block_dist(spark, d):
-    p = pairs.reciprocal(_containment(spark, d)).join(_blocks(spark, d).withColumnRenamed("item", "query"), "query")
-    return p.select("block", "query", "reference", "dist")
+    _, b, p = _contained(spark, d)
+    return pairs.reciprocal(p).join(b.withColumnRenamed("item", "query"), "query").select("block", "query", "reference", "dist")
 
 
 @query()
@@ -442,11 +515,10 @@ def winner_warnings(spark, d):
     return _r(warn.alike(p, t(spark, d, "labels").select(F.col("doc_id").alias("item")), 0.5), "ani")
 
 
-@query(f"WITH RECURSIVE {_CO}, m AS (SELECT 1 - dist AS similarity, ani, abs(x.n_chars - y.n_chars) AS diff FROM pd JOIN pc ON query = item1 AND reference = item2 JOIN documents x ON x.doc_id = item1 JOIN documents y ON y.doc_id = item2) SELECT count(*) AS n, round(corr(similarity, ani), 6) AS r, round(corr(diff, ani), 6) AS r_length FROM m")
+@query(f"WITH RECURSIVE {_CO}, m AS (SELECT 1 - dist AS similarity, ani, abs(x.n_chars - y.n_chars) AS diff FROM pd JOIN pc ON query = item1 AND reference = item2 JOIN documents x ON x.doc_id = item1 JOIN documents y ON y.doc_id = item2 WHERE dist < 1) SELECT count(*) AS n, round(corr(similarity, ani), 6) AS r, round(corr(diff, ani), 6) AS r_length FROM m")
 def pair_correlation(spark, d):
     size = t(spark, d, "documents").select("doc_id", "n_chars")
-    near = _pairs(spark, d).select(F.col("item1").alias("query"), F.col("item2").alias("reference"), (1 - F.col("dist")).alias("similarity"))
-    m = near.join(_containment(spark, d).select("query", "reference", "ani"), ["query", "reference"])
+    m = pairs.correlated(_pairs(spark, d), _containment(spark, d))
     m = m.join(size.toDF("query", "n1"), "query").join(size.toDF("reference", "n2"), "reference").withColumn("diff", F.abs(F.col("n1") - F.col("n2")))
     return m.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("similarity", "ani"), 6).alias("r"), F.round(F.corr("diff", "ani"), 6).alias("r_length"))
 
@@ -458,9 +530,9 @@ def pair_correlation(spark, d):
  gone AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, item_id FROM sh JOIN bg USING (h) JOIN n USING (doc_id) GROUP BY doc_id, item_id, n HAVING count(*)::DOUBLE / n >= 0.05))
  SELECT 'd:' || doc_id AS scaffold, doc_id IN (SELECT doc_id FROM gone) AS removed FROM documents UNION ALL SELECT 'b:' || item_id, false FROM benchmark""")
 def scaffold_dereplicate(spark, d):
-    reps = sketch.shingles(t(spark, d, "benchmark"), "item_id", "text", K)
-    n = _shingled(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    hit = _shingled(spark, d).join(reps, "h").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared")).join(n, "doc_id")
+    reps = sketch.each(sketch.hashes(t(spark, d, "benchmark"), "item_id", "text", K), "item_id")
+    h = _hashes(spark, d)
+    hit = sketch.each(h, "doc_id").join(reps, "h").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared")).join(h.select("doc_id", F.size("hs").alias("n")), "doc_id")
     p = hit.select(F.concat(F.lit("d:"), "doc_id").alias("new"), F.concat(F.lit("b:"), "item_id").alias("old"), (F.col("shared") / F.col("n")).alias("coverage"), F.lit(1.0).alias("ani"))
     s = t(spark, d, "documents").select(F.concat(F.lit("d:"), "doc_id").alias("scaffold"), F.lit("documents").alias("file"), F.lit(1).alias("priority"))
     s = s.union(t(spark, d, "benchmark").select(F.concat(F.lit("b:"), "item_id"), F.lit("benchmark"), F.lit(0)))
@@ -475,3 +547,61 @@ def scaffold_dereplicate(spark, d):
 def taxonomy_percent(spark, d):
     h = t(spark, d, "events").select(F.col("user_id").alias("item"), F.substring("event_type", 1, 1).alias("phylum"), F.col("event_type").alias("species"), F.col("value").alias("score"))
     return taxonomy.by_share(h, ["phylum", "species"], 40, 1).withColumn("confidence", F.round("confidence", 6))
+
+
+_KM = """g AS (SELECT item_id, translate(substr(text, i::INT, 21), 'acgt', 'ACGT') AS g FROM (SELECT item_id, text, unnest(generate_series(1, length(text) - 20)) AS i FROM benchmark WHERE length(text) >= 21)),
+ h AS (SELECT DISTINCT item_id, substr(md5(least(g, translate(reverse(g), 'ACGT', 'TGCA'))), 1, 15) AS h FROM g)"""
+
+
+@query(f"WITH {_KM} SELECT item_id, h, r::INT AS r FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY h) AS r FROM h) WHERE r <= {S}")
+def sketch_kmers(spark, d):
+    """Canonical 21-mers of characters; a benchmark text stands for a record, and all its letters count."""
+    parts = sketch.kmers(t(spark, d, "benchmark"), "item_id", "text", 21, only=None)
+    return sketch.ranked(sketch.merged(parts, "item_id", S), "item_id")
+
+
+@query(f"""WITH RECURSIVE {_CC}, bl AS (SELECT item, cluster AS block FROM cl WHERE cluster IN (SELECT cluster FROM cl GROUP BY 1 HAVING count(*) > 1))
+ SELECT x.block, x.item AS item1, y.item AS item2, round(coalesce(dist, 1), 9) AS dist FROM bl x JOIN bl y ON x.block = y.block AND x.item < y.item LEFT JOIN pd ON item1 = x.item AND item2 = y.item""")
+def sketch_distance_dense(spark, d):
+    """Every pair inside a primary cluster, also those that share no hash."""
+    s, _ = materialize(_sketch(spark, d), "sketches")
+    b, _ = materialize(_blocks_of(_clusters(spark, d)), "blocks")
+    every = b.toDF("item1", "block").join(b.toDF("item2", "block"), "block").where("item1 < item2")
+    got = sketch.compared_within(s.withColumnRenamed("doc_id", "item"), "item", b, S, K).select("item1", "item2", "dist")
+    return every.join(got, ["item1", "item2"], "left").select("block", "item1", "item2", F.round(F.coalesce("dist", F.lit(1.0)), 9).alias("dist"))
+
+
+@query(f"WITH {_SK} SELECT item1, item2, round(dist, 9) AS dist FROM pd WHERE item1 IN (SELECT doc_id FROM labels) AND item2 IN (SELECT doc_id FROM labels)")
+def pairs_restricted(spark, d):
+    known = t(spark, d, "labels").select(F.col("doc_id").alias("item"))
+    return _r(pairs.restrict(_pairs(spark, d), known, "item1", "item2"), "dist").select("item1", "item2", "dist")
+
+
+@query("SELECT DISTINCT l_partkey AS query, l_suppkey AS reference, 0.5::DOUBLE AS ani FROM lineitem WHERE l_partkey <> l_suppkey UNION ALL SELECT DISTINCT l_partkey, l_partkey, 1.0 FROM lineitem")
+def pairs_with_self(spark, d):
+    x = t(spark, d, "lineitem").select(F.col("l_partkey").alias("query"), F.col("l_suppkey").alias("reference"), F.lit(0.5).alias("ani"), F.lit(1.0).alias("coverage")).distinct()
+    return pairs.with_self(x, x.select(F.col("query").alias("item"))).select("query", "reference", "ani")
+
+
+@query("""SELECT n_nationkey AS item, n_regionkey AS primary_cluster, n_regionkey || '_' || CASE WHEN n_regionkey = 2 THEN n_nationkey % 2 + 1 ELSE n_nationkey % 3 END AS secondary_cluster FROM nation""")
+def cluster_replaced(spark, d):
+    c = t(spark, d, "nation").select(F.col("n_nationkey").alias("item"), F.col("n_regionkey").alias("primary_cluster"), F.concat_ws("_", F.col("n_regionkey").cast("string"), (F.col("n_nationkey") % 3).cast("string")).alias("secondary_cluster"))
+    again = c.where("primary_cluster = 2").select("item", (F.col("item") % 2 + 1).alias("cluster"))
+    return adjust.in_order(adjust.replace_block(c, 2, again))
+
+
+@query()
+def dendrogram_links(spark, d):
+    return _r(linkage.link_table(_block_dist(spark, d), "average"), "height")
+
+
+@query()
+def dendrogram_leaves(spark, d):
+    return linkage.leaf_order(_block_dist(spark, d), "average")
+
+
+@query()
+def mean_linkage_centrality(spark, d):
+    """Centrality by sketches inside clusters, for clusterings without pairs of all members."""
+    s = _sketch(spark, d).withColumnRenamed("doc_id", "item")
+    return _r(score.scratch_centrality(s, "item", _clusters(spark, d), S, K), "centrality")

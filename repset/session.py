@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -38,16 +37,10 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost
     executor costs no recomputation. Returns the table and its URI (for ``drop``)."""
     uri = scratch(df.sparkSession, name)
-    df.write.parquet(uri)
+    df.write.option("compression", "zstd").parquet(uri)
     return df.sparkSession.read.schema(df.schema).parquet(uri), uri
 
 
-def forget(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now, not at some later garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop(spark: SparkSession, *uris: str) -> None:
     """Remove scratch tables."""
     jvm = spark.sparkContext._jvm

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repset.operators.segments import basename, n50
+from repset.session import drop, scratch
 
 
 def records(spark: SparkSession, paths) -> DataFrame:
@@ -32,7 +34,12 @@ def scaffold_bins(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``scaffold, bin``: of a scaffold in several files, the file listed last."""
     at = spark.createDataFrame([(p.rsplit("/", 1)[-1], k) for k, p in enumerate(paths)], "genome string, place int")
     r = records(spark, paths).select("genome", "id").join(F.broadcast(at) if len(paths) <= 100_000 else at, "genome")
-    return r.groupBy(F.col("id").alias("scaffold")).agg(F.max_by("genome", "place").alias("bin"))
+    return last_bins(r.select(F.col("id").alias("scaffold"), F.col("genome").alias("bin"), "place"))
+
+
+def last_bins(found: DataFrame) -> DataFrame:
+    """``scaffold, bin``: of the rows (scaffold, bin, place) of each scaffold the one of the last place."""
+    return found.groupBy("scaffold").agg(F.max_by("bin", "place").alias("bin"))
 
 
 def read_bins(spark: SparkSession, path: str) -> DataFrame:
@@ -47,6 +54,46 @@ def write_bins(found: DataFrame, bins: DataFrame, out: str) -> None:
     rows.select("bin", F.concat(F.lit(">"), "header", F.lit("\n"), "sequence").alias("value")).write.partitionBy("bin").text(out)
 
 
+def write_bin_files(found: DataFrame, bins: DataFrame, out: str) -> int:
+    """Each bin's records in one file ``out/<bin>.fa``, in the order of their ids, through the bins' folders; returns the number of files."""
+    spark = found.sparkSession
+    rows = found.join(bins, found["id"] == bins["scaffold"]).select("bin", "id", F.concat(F.lit(">"), "header", F.lit("\n"), "sequence").alias("value"))
+    tmp = scratch(spark, "bins")
+    rows.repartition("bin").sortWithinPartitions("bin", "id").select("bin", "value").write.partitionBy("bin").text(tmp)
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    path = jvm.org.apache.hadoop.fs.Path
+    fs, to = path(tmp).getFileSystem(conf), path(out)
+    to.getFileSystem(conf).mkdirs(to)
+    for folder in fs.listStatus(path(tmp)):  # one entry a bin, moved by name
+        if folder.isDirectory() and folder.getPath().getName().startswith("bin="):
+            part = next(f for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+            fs.rename(part.getPath(), path(f"{out}/{folder.getPath().getName()[4:]}.fa"))
+            n += 1
+    drop(spark, tmp)
+    return n
+
+
+def chunks(found: DataFrame, most: int) -> DataFrame:
+    """``genome, id, chunk``: records in order of id, dealt greedily into chunks of at most ``most`` bases; a
+    longer record is a chunk by itself. A genome's lengths, not its sequences, come together."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, chunk, held, out = pdf.sort_values("id"), 0, 0, []
+        for n in pdf["length"].tolist():
+            if held and held + n > most:
+                chunk, held = chunk + 1, 0
+            held += n
+            out.append(chunk)
+        return pd.DataFrame({"genome": pdf["genome"], "id": pdf["id"], "chunk": out})
+
+    return found.select("genome", "id", F.length("sequence").cast("long").alias("length")).groupBy("genome").applyInPandas(one, "genome string, id string, chunk long")
+
+
+def gene_genomes(spark: SparkSession, paths) -> DataFrame:
+    """``gene, genome`` of the records of gene files."""
+    return records(spark, paths).select(F.col("id").alias("gene"), "genome").distinct()
+
+
 def without(found: DataFrame, ids: DataFrame, out: str) -> None:
     """All records but those with an ``id`` of ``ids``."""
     kept = found.join(ids.select("id"), "id", "left_anti")

@@ -43,6 +43,18 @@ def delta_totals(spark: SparkSession, paths) -> DataFrame:
     return t.withColumn("ani", F.when(F.col("alignment_length") > 0, (F.col("alignment_length") - F.col("similarity_errors")) / F.col("alignment_length")).otherwise(0.0))
 
 
+def delta_pairs(spark: SparkSession, paths, lengths: DataFrame, method: str = "larger") -> DataFrame:
+    """``pairs.aligned`` of delta files named ``<query>_vs_<reference>.delta[.filtered]``; files without
+    alignments have similarity 0."""
+    from repset.operators import pairs
+
+    files = spark.read.format("binaryFile").load(paths).select(basename(F.col("path")).alias("file")).distinct()
+    t = files.join(delta_totals(spark, paths).drop("ani"), "file", "left").fillna(0, ["alignment_length", "similarity_errors"])
+    name = F.split(F.regexp_replace("file", "\\.delta(\\.filtered)?$", ""), "_vs_")
+    t = t.select(name.getItem(0).alias("query"), name.getItem(1).alias("reference"), "alignment_length", "similarity_errors")
+    return pairs.aligned(t, lengths, method)
+
+
 def fragment_ani(spark: SparkSession, paths) -> DataFrame:
     """``query, reference, ani, coverage`` from rows (path, path, percent, matched, all fragments)."""
     f = _fields(spark, paths)
@@ -87,9 +99,9 @@ def gene_ani(spark: SparkSession, paths) -> DataFrame:
     return go.union(t.select(one, two, F.col("`ANI(2->1)`").cast("double") / 100, af))
 
 
-def gene_hit_table(spark: SparkSession, paths) -> DataFrame:
+def gene_hit_table(spark: SparkSession, paths, file: bool = False) -> DataFrame:
     """``query_gene, reference_gene, al_len, qry_len, sbj_len, percent`` of gene hit files of one header
-    dialect: ``qry_id`` may be ``#qry_id`` or ``#Q_id``, ``sbj_id`` ``S_id``, and ``sbj_len`` ``trg_len``."""
+    dialect, with ``file`` also the file's name: ``qry_id`` may be ``#qry_id`` or ``#Q_id``, ``sbj_id`` ``S_id``, and ``sbj_len`` ``trg_len``."""
     t = spark.read.option("header", True).option("sep", "\t").csv(paths)
 
     def either(*names: str) -> Column:
@@ -98,8 +110,10 @@ def gene_hit_table(spark: SparkSession, paths) -> DataFrame:
             raise KeyError(names[0])
         return F.col(f"`{found[0]}`")
 
+    if file:
+        t = t.withColumn("file", F.col("_metadata.file_name"))
     numbers = {"al_len": ("al_len",), "qry_len": ("qry_len",), "sbj_len": ("sbj_len", "trg_len")}
-    return t.select(either("qry_id", "#qry_id", "#Q_id").alias("query_gene"), either("sbj_id", "S_id").alias("reference_gene"), *(either(*n).cast("long").alias(c) for c, n in numbers.items()), either("p_inden").cast("double").alias("percent"))
+    return t.select(either("qry_id", "#qry_id", "#Q_id").alias("query_gene"), either("sbj_id", "S_id").alias("reference_gene"), *(either(*n).cast("long").alias(c) for c, n in numbers.items()), either("p_inden").cast("double").alias("percent"), *([F.col("file")] if file else []))
 
 
 def gene_hits(hits: DataFrame, least_fraction: float = 0.7, least_percent: float = 70) -> DataFrame:
@@ -109,6 +123,17 @@ def gene_hits(hits: DataFrame, least_fraction: float = 0.7, least_percent: float
     return kept.groupBy("query", "reference").agg((F.sum(F.col("percent") * F.col("al_len")) / F.sum("al_len")).alias("ani"), (F.sum("al_len") / F.sum("qry_len")).alias("af"))
 
 
+def gene_hit_pairs(spark: SparkSession, paths) -> DataFrame:
+    """``query, reference, ani, af`` by ``gene_hits`` of files named ``<query>_vs_<reference>.<anything>``; files
+    without enough hits give zeros."""
+    files = spark.read.format("binaryFile").load(paths).select(basename(F.col("path")).alias("file")).distinct()
+    name = F.split(F.regexp_replace("file", "\\.[^.]*$", ""), "_vs_")
+    hits = gene_hit_table(spark, paths, file=True)
+    found = gene_hits(hits.select(name.getItem(0).alias("query"), name.getItem(1).alias("reference"), "al_len", "qry_len", "sbj_len", "percent"))
+    every = files.select(name.getItem(0).alias("query"), name.getItem(1).alias("reference"))
+    return every.join(found, ["query", "reference"], "left").fillna(0.0, ["ani", "af"]).select("query", "reference", (F.col("ani") / 100).alias("ani"), "af")
+
+
 def snps(spark: SparkSession, paths) -> DataFrame:
     """``file, rl, r_base, q_base, ql, r_scaff, q_scaff``: 12 fields a row; title lines have fewer."""
     f = _fields(spark, paths, "\t").where((F.size("f") == 12) & F.element_at("f", 1).rlike("^[0-9]+$"))

@@ -22,10 +22,20 @@ class Workspace:
         path, fs = self._path(f"{name}/_SUCCESS")
         return fs.exists(path)
 
-    def store(self, name: str, table: DataFrame, overwrite: bool = True) -> DataFrame:
+    def store(self, name: str, table: DataFrame, overwrite: bool = True, mark: str | None = None) -> DataFrame:
+        """Write a table; ``mark`` tells what it was made from. The old mark goes before the table is touched."""
+        path, fs = self._path(f"../marks/{name}")
+        if overwrite:
+            fs.delete(path, True)
         table.write.mode("overwrite" if overwrite else "error").parquet(f"{self.uri}/tables/{name}")
+        if mark is not None:
+            self.spark.createDataFrame([(mark,)], "value string").write.mode("overwrite").text(f"{self.uri}/marks/{name}")
         return self.get(name)
 
+    def mark(self, name: str) -> str | None:
+        path, fs = self._path(f"../marks/{name}/_SUCCESS")
+        return self.spark.read.text(f"{self.uri}/marks/{name}").first()[0] if fs.exists(path) else None
+
     def get(self, name: str) -> DataFrame | None:
         return self.spark.read.parquet(f"{self.uri}/tables/{name}") if self.has(name) else None
 

@@ -5,8 +5,9 @@ import pytest
 
 from repset import workflow
 from repset.__main__ import main, parser
-from repset.operators import linkage, scaffolds, taxonomy, warn
-from repset.sources import fasta, tables
+from repset.collection import is_fasta, of_fasta
+from repset.operators import filters, linkage, pairs, ranges, scaffolds, score, sketch, taxonomy, warn
+from repset.sources import fasta, programs, tables
 from repset.sources.workspace import Workspace
 
 
@@ -79,8 +80,15 @@ def test_scaffold_chain(spark):
 def test_snp_rows_and_splits(spark):
     s = spark.createDataFrame([(1, "r", 5, "q"), (2, "r", 5, "q"), (1, "r", 6, "q")], "rl long, r_scaff string, ql long, q_scaff string")
     assert [(r["rl"], r["ql"]) for r in scaffolds.snp_rows(s).collect()] == [(1, 5)]
-    x = spark.createDataFrame([(0, 10, 1), (3, 3, 0)], "start long, end long, n long")
-    assert [(r["length"], r["ani"]) for r in scaffolds.split_ani(x).orderBy("start").collect()] == [(10, 0.9), (0, None)]
+    a = spark.createDataFrame([("s", 100, 2500), ("t", 0, 5)], "key string, start long, end long")
+    x = spark.createDataFrame([("s", 100), ("s", 1099), ("s", 2499), ("s", 2500), ("t", 3)], "key string, x long")
+    got = scaffolds.split_ani(ranges.splits(x, a, 1000)).orderBy("key", "split")
+    assert [(r["key"], r["split"], r["split_start"], r["split_end"], r["n"], r["length"], round(r["ani"], 9)) for r in got.collect()] == [("s", 0, 100, 1100, 2, 1000, 0.998), ("s", 2, 2100, 2500, 1, 400, 0.9975), ("t", 0, 0, 5, 1, 5, 0.8)]
+    assert ranges.require_one_range(x.where("x <> 2500"), a, 1000).count() == 4
+    with pytest.raises(ValueError):
+        ranges.require_one_range(x, a, 1000)
+    with pytest.raises(ValueError):
+        ranges.require_one_range(x.where("x < 2500"), a.union(spark.createDataFrame([("s", 90, 101)], a.schema)), 1000)
 
 
 def test_taxonomy(spark):
@@ -128,3 +136,138 @@ def test_workflow(spark, tmp_path):
     with pytest.raises(ValueError):
         workflow.Params(skip_primary=True, skip_secondary=True)
     assert parser().parse_args(["compare", "w", "-g", "x"]).primary == 0.9
+
+
+def _text(n, seed):
+    rng = np.random.default_rng(seed)
+    return [f"w{i}" for i in rng.integers(0, 10**6, n)]
+
+
+def _edited(words, *at):
+    return " ".join("other" if i in at else w for i, w in enumerate(words))
+
+
+def test_tables_are_used_again_only_for_the_same_items_and_settings(spark, tmp_path):
+    a, b = _text(400, 1), _text(400, 2)
+    rows = [(1, " ".join(a)), (2, _edited(a, 200)), (3, " ".join(b)), (4, _edited(b, *range(0, 400, 40)))]
+    items = spark.createDataFrame(rows, "item long, text string")
+    names = lambda t: {r["item"]: r["secondary_cluster"] for r in t.collect()}
+    work = Workspace(spark, f"file://{tmp_path}/w")
+    p = workflow.Params(primary=0.99, method="single")
+    assert names(workflow.compare(work, items, p)) == {1: "1_1", 2: "1_1", 3: "3_0", 4: "4_0"}
+    mark = work.mark("pairs")
+    workflow.compare(work, items, p)
+    assert work.mark("pairs") == mark
+    loose = workflow.Params(primary=0.8, secondary=0.9, method="single")
+    fresh = names(workflow.compare(Workspace(spark, f"file://{tmp_path}/w2"), items, loose))
+    assert names(workflow.compare(work, items, loose)) == fresh and fresh[3] == fresh[4] == "3_1"
+    more = items.union(spark.createDataFrame([(5, " ".join(a))], items.schema))
+    assert names(workflow.compare(work, more, loose))[5] == "1_1"
+
+
+@pytest.mark.parametrize("kind", ["average", "greedy", "multiround", "low_ram", "centroid", "tertiary"])
+def test_flows(spark, tmp_path, kind):
+    a, b = _text(600, 3), _text(500, 4)
+    rows = [(1, " ".join(a)), (2, _edited(a, 100)), (3, _edited(a, 100, 400)), (7, " ".join(b)), (8, _edited(b, 50)), (9, " ".join(_text(300, 5)))]
+    items = spark.createDataFrame(rows, "item long, text string")
+    p = workflow.Params(length=100, ignore_quality=True, method=kind if kind in ("average", "centroid") else "average", low_ram=kind == "low_ram", greedy=kind == "greedy", multiround=kind == "multiround", chunk=2, tertiary=kind == "tertiary", warn=True)
+    work = Workspace(spark, f"file://{tmp_path}/w")
+    best = workflow.dereplicate(work, items, p=p)
+    got = {}
+    for r in work.get("clusters").collect():
+        got.setdefault(r["secondary_cluster"], set()).add(r["item"])
+    assert set(map(frozenset, got.values())) == {frozenset({1, 2, 3}), frozenset({7, 8}), frozenset({9})}
+    assert {r["item"] for r in best.collect()} >= {9} and best.count() == 3
+    assert ("9_1" if kind == "greedy" else "9_0") in got
+    assert {(r["item"], r["members"]) for r in work.get("report").collect()} == {(r["item"], len(got[r["secondary_cluster"]])) for r in best.collect()}
+    if kind == "average":
+        again = workflow.adjust_cluster(work, 1, "single", 0.9999)
+        assert again.count() == 5
+        assert workflow.compare_winners(work, workflow.of_texts(items)).count() >= 1
+
+
+def test_genomes(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    base = "".join(rng.choice(list("ACGT"), 60_000))
+    near = list(base)
+    for i in rng.choice(60_000, 300, replace=False):
+        near[i] = "ACGT"["ACGT".index(near[i]) - 1]
+    flip = base[::-1].translate(str.maketrans("ACGT", "TGCA")).lower()
+    far = "".join(rng.choice(list("ACGT"), 60_000))
+    paths = []
+    for name, s in (("a.fa", base), ("b.fa", "".join(near)), ("c.fna", flip), ("d.fa", far)):
+        lines = [s[i : i + 80] for i in range(0, 30_000, 80)], [s[i : i + 80] for i in range(30_000, 60_000, 80)]
+        paths.append(_write(tmp_path / name, "".join(f">{name}_{k} x\n" + "\n".join(part) + "\n" for k, part in enumerate(lines))))
+    listed = _write(tmp_path / "all.txt", "\n".join(paths) + "\n")
+    assert is_fasta(spark, listed) and is_fasta(spark, paths[0])
+    c = of_fasta(spark, [listed])
+    assert {(r["name"], r["length"], r["n50"]) for r in c.items.collect()} == {(n, 60_000, 30_000) for n in ("a.fa", "b.fa", "c.fna", "d.fa")}
+    name = {r["item"]: r["name"] for r in c.items.collect()}
+    pairs_ = {frozenset((name[r["item1"]], name[r["item2"]])): r["dist"] for r in sketch.sketch_pairs(c.sketches(21, 1000), "item", 1000, 21).collect()}
+    assert pairs_[frozenset(("a.fa", "c.fna"))] < 1e-3  # the other strand, but for the cut between its records
+    assert abs(pairs_[frozenset(("a.fa", "b.fa"))] - 0.005) < 0.002
+    assert frozenset(("a.fa", "d.fa")) not in pairs_
+    main(["dereplicate", f"file://{tmp_path}/w", "-g", *paths, "--ignoreQuality", "-sa", "0.99"])
+    work = Workspace(spark, f"file://{tmp_path}/w")
+    got = {}
+    for r in work.get("clusters").collect():
+        got.setdefault(r["secondary_cluster"], set()).add(name[r["item"]])
+    assert sorted(map(sorted, got.values())) == [["a.fa", "b.fa", "c.fna"], ["d.fa"]]
+
+
+def test_golden_pairs_of_delta_files(spark, tmp_path):
+    golden = [("T2", "TX", 2711407, 31034, 0.9885542819650462, 0.8589975916195203), ("T2", "YI6", 2960585, 990, 0.9996656066284197, 0.976984999643603), ("YI6", "TX", 2635575, 28993, 0.9889993644650598, 0.8697325834035128)]
+    for q, r, n, e, *_ in golden:
+        _write(tmp_path / f"{q}_vs_{r}.delta.filtered", f"/a/x /b/y\nNUCMER\n>r1 q1 9 9\n1 {n - 99} 1 {n - 99} {e - 1} 0 0\n12\n-3\n0\n200 300 5 105 1 0 0\n0\n")
+    _write(tmp_path / "T2_vs_none.delta.filtered", "/a/x /b/y\nNUCMER\n")
+    lengths = spark.createDataFrame([("T2", 3263835), ("TX", 3156478), ("YI6", 3030328), ("none", 10)], "item string, length long")
+    got = {(r["query"], r["reference"]): r for r in tables.delta_pairs(spark, f"file://{tmp_path}/*.delta.filtered", lengths).collect()}
+    for q, r, n, e, ani, cov in golden:
+        x = got[q, r]
+        assert x["similarity_errors"] == e and x["alignment_length"] == n
+        assert abs(x["ani"] - ani) < 1e-9 and abs(x["coverage"] - cov) < 1e-9
+    assert got["T2", "none"]["ani"] == 0 and got["T2", "none"]["coverage"] == 0
+    assert abs(pairs.aligned(spark.createDataFrame([("T2", "TX", 2711407, 31034)], "query string, reference string, alignment_length long, similarity_errors long"), lengths, "total").first()["coverage"] - 2 * 2711407 / (3263835 + 3156478)) < 1e-12
+
+
+def test_files_by_bin_chunks_and_programs(spark, tmp_path):
+    p = _write(tmp_path / "g.fa", ">s1 a\nAC\nGT\n>s2\nAAAA\n>s3\nCCCCCCCCC\n>s4\nGG\n")
+    found = fasta.records(spark, p)
+    bins = spark.createDataFrame([("s1", "x"), ("s2", "y"), ("s3", "x")], "scaffold string, bin string")
+    assert fasta.write_bin_files(found, bins, f"file://{tmp_path}/bins") == 2
+    assert (tmp_path / "bins" / "x.fa").read_text() == ">s1 a\nACGT\n>s3\nCCCCCCCCC\n"
+    assert {(r["id"], r["chunk"]) for r in fasta.chunks(found, 8).collect()} == {("s1", 0), ("s2", 0), ("s3", 1), ("s4", 2)}
+    assert {tuple(r) for r in fasta.gene_genomes(spark, p).collect()} == {(f"s{i}", "g.fa") for i in (1, 2, 3, 4)}
+    assert {(r["program"], r["works"]) for r in programs.report(spark, {"true": [], "no-such-program": []}).collect()} == {("true", True), ("no-such-program", False)}
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    got = programs.run_each(rows, lambda r: ["echo", r["v"]] if r["k"] == 1 else ["no-such-program"]).collect()
+    assert {(r["k"], r["code"], r["out"]) for r in got} == {(1, 0, "a\n"), (2, -1, "")}
+
+
+def test_quality_tables(spark):
+    q = spark.createDataFrame([("/a/x.fa", 0.5, 0.0), ("y.fa", 1.0, 0.0)], "genome string, completeness double, contamination double")
+    assert [r[0] for r in filters.base_names(q, "genome").collect()] == ["x.fa", "y.fa"]
+    assert [r["column"] for r in filters.suspicious(q).collect()] == ["completeness"]
+    info = spark.createDataFrame([("y.fa", 7, 3)], "genome string, length long, n50 long")
+    assert {tuple(r) for r in filters.with_sizes(q, info, "genome").select("genome", "length", "n50").collect()} == {("/a/x.fa", None, None), ("y.fa", 7, 3)}
+    assert filters.with_sizes(info, info, "genome", fill=True) is info
+    s = spark.createDataFrame([(1, 90.0, 10.0, 100, 50.0), (2, 90.0, 10.0, 100, None)], "item long, completeness double, contamination double, n50 long, strain_heterogeneity double").selectExpr("*", "1000L AS length")
+    w = score.Weights(1, 1, 1, 0, 0, 0)
+    assert {r["score"] for r in score.scored(s, w).collect()} == {80.0}  # one value is missing, so it counts for none
+    assert score.scored(s.where("item = 1"), w).first()["score"] == 85.0
+
+
+def test_near_pairs_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "HOT", 3)
+    rng = np.random.default_rng(7)
+    hot = [f"{h:015x}" for h in range(1, 400, 9)]
+    rows = []
+    for i in range(60):
+        own = [f"{int(h):015x}" for h in rng.integers(0, 1 << 59, 40)]
+        if i % 3:
+            own = rows[-1][1][: int(rng.integers(20, 40))] + own[:5]
+        rows.append((i, sorted({*own, *(hot[: int(rng.integers(0, len(hot)))] if i % 2 else [])})[:48]))
+    s = spark.createDataFrame(rows, "item long, hs array<string>")
+    every = {(r["item1"], r["item2"], r["shared"], r["size"]) for r in sketch.sketch_pairs(s, "item", 48, 5).where("round(dist, 12) <= 0.1").collect()}
+    near = {(r["item1"], r["item2"], r["shared"], r["size"]) for r in sketch.near_pairs(s, "item", 48, 5, 0.1).collect()}
+    assert near == every and len(every) > 10
