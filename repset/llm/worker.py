@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,8 +31,7 @@ def _libc():
 
 
 def release() -> None:
-    """Give free memory back to the system."""
-    gc.collect()
+    """Give free memory back to the system. Arrays go with their last reference, so no garbage is collected."""
     pa.default_memory_pool().release_unused()
     libc = _libc()
     if libc is not None:
