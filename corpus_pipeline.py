@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from repset.llm import decontaminate, jaccard, mixing, quality, tokenfile
 from repset.session import materialize
 
+#: near copies in the pipeline: five words, similarity of 0.8 or more
+NEAR = jaccard.Rule(words=5, percent=80)
 #: rows of decisions up to which they are broadcast to the scan of documents; beyond, joined by shuffle
 BROADCAST_ROWS = 500_000
 
@@ -29,10 +31,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id, and of several texts with that
+    """Of each group of near copies (NEAR) the document with the smallest id, and of several texts with that
     id the one with the smallest hash. Documents without words or id stay; of repeated rows (same id
     and text) one stays."""
-    out, _ = materialize(jaccard.grouped(docs), "groups")
+    out, _ = materialize(jaccard.grouped(docs, NEAR), "groups")
     first = out.where("component_id = doc_id AND n_shingles > 0")
     mixed = first.groupBy("group").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high")
     gone = out.where("component_id <> doc_id").select("doc_id", "text_hash").union(first.join(mixed, "group").where("text_hash <> low").select("doc_id", "text_hash"))
