@@ -375,7 +375,7 @@ def extra_weights(spark, d):
 
 @query(f"WITH {_SC} SELECT doc_id, unnest(['length', 'n50', 'score']) AS variable, round(unnest([length::DOUBLE, n50::DOUBLE, score]), 6) AS value FROM sc")
 def score_melt(spark, d):
-    return _r(score.melted(_scored(spark, d), ["doc_id"], ["length", "n50", "score"]), "value").withColumn("value", F.round("value", 6))
+    return score.melted(_scored(spark, d), ["doc_id"], ["length", "n50", "score"]).withColumn("value", F.round("value", 6))
 
 
 @query(f"WITH {_SC} SELECT doc_id, lang, source, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r = 1 ORDER BY score DESC, doc_id")
@@ -406,9 +406,9 @@ def centrality(spark, d):
     return _r(score.centrality(p, c), "centrality")
 
 
-@query(f"""WITH RECURSIVE {_CO}, w AS (SELECT cluster, item, n_chars::DOUBLE AS score FROM (SELECT cluster, item, n_chars, row_number() OVER (PARTITION BY cluster ORDER BY n_chars DESC, item) AS r FROM cl JOIN documents ON doc_id = item) WHERE r = 1),
+@query(f"""WITH RECURSIVE {_CO}, win AS (SELECT cluster, item, n_chars::DOUBLE AS score FROM (SELECT cluster, item, n_chars, row_number() OVER (PARTITION BY cluster ORDER BY n_chars DESC, item) AS r FROM cl JOIN documents ON doc_id = item) WHERE r = 1),
  m AS (SELECT query AS item, max(ani) AS hi, min(ani) AS lo FROM pc WHERE query <> reference GROUP BY 1), k AS (SELECT cluster, count(*) AS members FROM cl GROUP BY 1)
- SELECT item, cluster, w.score, members, CASE WHEN hi IS NULL THEN 'NA' ELSE printf('%.2f', round(100 * hi, 2)) END AS closest, CASE WHEN lo IS NULL THEN 'NA' ELSE printf('%.2f', round(100 * lo, 2)) END AS furthest FROM w JOIN k USING (cluster) LEFT JOIN m USING (item)""")
+ SELECT item, cluster, win.score, members, CASE WHEN hi IS NULL THEN 'NA' ELSE printf('%.2f', round(100 * hi, 2)) END AS closest, CASE WHEN lo IS NULL THEN 'NA' ELSE printf('%.2f', round(100 * lo, 2)) END AS furthest FROM win JOIN k USING (cluster) LEFT JOIN m USING (item)""")
 def winner_report(spark, d):
     c, _, p = _contained(spark, d)
     best = score.winners(c.join(t(spark, d, "documents").select(F.col("doc_id").alias("item"), F.col("n_chars").cast("double").alias("score")), "item"), ["cluster"], "item")
