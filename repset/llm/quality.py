@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from repset.llm import hashing
 from repset.llm.worker import bounded, pieces, tidy
-from repset.session import materialize
+from repset.session import drop, materialize
 
 _U = np.uint64
 #: a feature is evidence if its likelihood-ratio statistic is at least this; the strongest MOST are used
@@ -247,6 +247,39 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def site_posteriors(x: DataFrame) -> DataFrame:
+    """``x`` with ``p_low, p_toxic`` from each document's evidence (e: log odds, v: label or probability, by target) and
+    its site (host, path).
+
+    A level's rate is the mean of v over its other documents, shrunk by m pseudo documents towards
+    the level above: host to the global mean, path to host; m by the moments of the hosts' rates. A
+    path that is all of its host isn't counted twice. The posterior log odds are the evidence plus
+    what the site's log odds differ from the global ones."""
+    sums_of = lambda level: [F.count(F.lit(1)).alias(f"n_{level}"), *(F.sum(f"v_{t}").alias(f"{t}_{level}") for t in TARGETS)]
+    path = x.groupBy("host", "path").agg(*sums_of("path"))
+    path, _ = materialize(path, "paths")
+    host = path.groupBy("host").agg(F.sum("n_path").alias("n_host"), *(F.sum(f"{t}_path").alias(f"{t}_host") for t in TARGETS))
+    site = path.join(host, "host")
+    moments = host.agg(F.sum("n_host").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(1 / F.col("n_host")).alias("inv"), *(F.sum(f"{t}_host").alias(t) for t in TARGETS), *(F.sum(F.pow(F.col(f"{t}_host") / F.col("n_host"), 2)).alias(f"{t}2") for t in TARGETS), *(F.sum(F.col(f"{t}_host") / F.col("n_host")).alias(f"{t}m") for t in TARGETS)).first()
+    prior, strength = {}, {}
+    for t in TARGETS:
+        k = max(moments["k"] or 0, 1)
+        mean = (moments[t] or 0.0) / max(moments["n"] or 0, 1)
+        spread = (moments[f"{t}2"] or 0.0) / k - ((moments[f"{t}m"] or 0.0) / k) ** 2
+        between = spread - mean * (1 - mean) * (moments["inv"] or 0.0) / k
+        prior[t] = mean
+        strength[t] = float(np.clip(mean * (1 - mean) / between - 1, 10, 1e5)) if between > 0 else 1e5
+    x = x.join(site.withColumnRenamed("host", "h").withColumnRenamed("path", "p"), (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")))
+    out = {}
+    for t in TARGETS:
+        m = F.lit(strength[t])
+        at_host = (F.col(f"{t}_host") - F.col(f"v_{t}") + m * prior[t]) / (F.col("n_host") - 1 + m)
+        at_path = (F.col(f"{t}_path") - F.col(f"v_{t}") + m * at_host) / (F.col("n_path") - 1 + m)
+        at_path = F.when(F.col("n_path") == F.col("n_host"), at_host).otherwise(at_path)
+        out[f"p_{t}"] = 1 / (1 + F.exp(-(F.col(f"e_{t}") + _logit(at_path) - _logit(F.lit(prior[t])))))
+    return x.withColumns(out).drop("h", "p", "n_path", "n_host", *(f"{t}_{level}" for t in TARGETS for level in ("path", "host")))
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, text_hash, source, p_low, p_toxic, keep`` for every row of ``docs`` (doc_id, text, source).
 
@@ -277,12 +310,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = with_labels(d.select("doc_id", "text")).where(~spare).select("text", "quality", "toxic").mapInArrow(lambda it: _counted(it, parts), _BLOCK_DDL)
     found = blocks.repartition(min(tasks, parts), "part").sortWithinPartitions("part").mapInArrow(lambda it: _selected(it, seen), "target string, feature long, weight double, g2 double")
-    found, _ = materialize(found, "evidence")
+    found, at_found = materialize(found, "evidence")
     model = {}
     for t in TARGETS:
         rows = found.where(F.col("target") == t).orderBy(F.desc("g2"), "feature").limit(MOST).select("feature").toPandas()
         keys = np.unique(rows["feature"].to_numpy(np.int64).view(_U))
         model[t] = keys, np.zeros(len(keys) + 1)
+    drop(spark, at_found)
     sent = spark.sparkContext.broadcast(model)
     some = with_labels(d.select("doc_id", "text")).where(~spare).select("text", "quality", "toxic", "doc_id")
     limit = int(1_000_000 * min(1.0, FITTED / max(sum(seen[c] for c in ("low1", "low0")), sum(seen[c] for c in ("toxic1", "toxic0")), 1)))
@@ -315,26 +349,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
         e = F.lit(a) * F.col(f"s_{t}") + F.lit(b)
         e = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), e))
         x = x.withColumns({f"e_{t}": e, f"v_{t}": F.coalesce(F.col(f"y_{t}").cast("double"), 1 / (1 + F.exp(-e)))})
-    sums_of = lambda level: [F.count(F.lit(1)).alias(f"n_{level}"), *(F.sum(f"v_{t}").alias(f"{t}_{level}") for t in TARGETS)]
-    path = x.groupBy("host", "path").agg(*sums_of("path"))
-    path, _ = materialize(path, "paths")
-    host = path.groupBy("host").agg(F.sum("n_path").alias("n_host"), *(F.sum(f"{t}_path").alias(f"{t}_host") for t in TARGETS))
-    site = path.join(host, "host")
-    moments = host.agg(F.sum("n_host").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(1 / F.col("n_host")).alias("inv"), *(F.sum(f"{t}_host").alias(t) for t in TARGETS), *(F.sum(F.pow(F.col(f"{t}_host") / F.col("n_host"), 2)).alias(f"{t}2") for t in TARGETS), *(F.sum(F.col(f"{t}_host") / F.col("n_host")).alias(f"{t}m") for t in TARGETS)).first()
-    prior, strength = {}, {}
-    for t in TARGETS:
-        k = max(moments["k"] or 0, 1)
-        mean = (moments[t] or 0.0) / max(moments["n"] or 0, 1)
-        spread = (moments[f"{t}2"] or 0.0) / k - ((moments[f"{t}m"] or 0.0) / k) ** 2
-        between = spread - mean * (1 - mean) * (moments["inv"] or 0.0) / k
-        prior[t] = mean
-        strength[t] = float(np.clip(mean * (1 - mean) / between - 1, 10, 1e5)) if between > 0 else 1e5
-    x = x.join(site.withColumnRenamed("host", "h").withColumnRenamed("path", "p"), (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")))
-    out = {}
-    for t in TARGETS:
-        m = F.lit(strength[t])
-        at_host = (F.col(f"{t}_host") - F.col(f"v_{t}") + m * prior[t]) / (F.col("n_host") - 1 + m)
-        at_path = (F.col(f"{t}_path") - F.col(f"v_{t}") + m * at_host) / (F.col("n_path") - 1 + m)
-        out[f"p_{t}"] = 1 / (1 + F.exp(-(F.col(f"e_{t}") + _logit(at_path) - _logit(F.lit(prior[t])))))
-    x = x.withColumns(out)
+    x = site_posteriors(x)
     return x.select("doc_id", "text_hash", "source", "p_low", "p_toxic", ((F.col("p_low") <= 0.5) & (F.col("p_toxic") <= 0.5)).alias("keep"))

@@ -336,3 +336,85 @@ def test_quality(spark, docs, none):
     assert sum(got[i] == (i % 5 != 0 and i % 7 != 0) for i in range(500, 600)) >= 97
     assert quality.classify(docs, labels.limit(0)).where("keep").count() == len(DOCS)
     assert quality.classify(none, labels).count() == 0
+
+
+def test_site_posteriors_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(200):
+        h = f"h{rng.integers(6)}"
+        path = f"{h}/{rng.integers(3)}" if h not in ("h0", "h1") else h
+        e = rng.normal(size=2) * 2
+        v = [float(rng.random() < 0.3) if rng.random() < 0.5 else 1 / (1 + math.exp(-k)) for k in e]
+        rows.append((i, h, path, float(e[0]), float(v[0]), float(e[1]), float(v[1])))
+    rows.append((200, "alone", "alone", 0.5, 0.2, -1.0, 0.1))
+    got = {r["doc_id"]: (r["p_low"], r["p_toxic"]) for r in quality.site_posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, e_low double, v_low double, e_toxic double, v_toxic double")).collect()}
+    for k in range(2):
+        e, v = {r[0]: r[3 + 2 * k] for r in rows}, {r[0]: r[4 + 2 * k] for r in rows}
+        mean = sum(v.values()) / len(v)
+        hosts = sorted({r[1] for r in rows})
+        by_host = {h: [r[0] for r in rows if r[1] == h] for h in hosts}
+        rate = np.array([np.mean([v[i] for i in by_host[h]]) for h in hosts])
+        between = (rate**2).mean() - rate.mean() ** 2 - mean * (1 - mean) * np.mean([1 / len(by_host[h]) for h in hosts])
+        m = float(np.clip(mean * (1 - mean) / between - 1, 10, 1e5)) if between > 0 else 1e5
+        logit = lambda p: math.log(p / (1 - p))
+        for i, h, path, *_ in rows:
+            others = [v[j] for j in by_host[h] if j != i]
+            site = (sum(others) + m * mean) / (len(others) + m)
+            on_path = [r[0] for r in rows if r[1:3] == (h, path)]
+            if len(on_path) < len(by_host[h]):
+                others = [v[j] for j in on_path if j != i]
+                site = (sum(others) + m * site) / (len(others) + m)
+            assert math.isclose(got[i][k], 1 / (1 + math.exp(-(e[i] + logit(site) - logit(mean)))), rel_tol=1e-9)
+
+
+def test_language_by_brute_force(spark):
+    rows = [(i, t, lang, "s") for i in range(30) for t, lang in ((f"the cat {i} and the dog", "en"), (f"der hund {i} und die Katze", "de"), (f"le chat {i * 7} et le chien", "fr"))]
+    rows += [(100, "chat und dog", None, "s"), (101, "Katze", "en", "s"), (102, None, "de", "s")]
+    got = Counter((r["doc_id"], r["lang_pred"], round(r["score"], 5)) for r in language.identify(spark.createDataFrame(rows, DDL)).collect())
+    grams = lambda t: Counter(f for _, fs in language.features([t]) for f in fs.tolist())
+    langs = ["de", "en", "fr"]
+    seen, docs = {x: Counter() for x in langs}, Counter()
+    for d, t, lang, _ in rows:
+        if lang and zlib.crc32(str(d).encode()) % 5:
+            seen[lang].update(grams(t or ""))
+            docs[lang] += 1
+    want = Counter()
+    for d, t, *_ in rows:
+        if t is None:
+            want[d, "und", 0.0] += 1
+            continue
+        s = []
+        for x in langs:
+            whole = sum(seen[x].values()) + language.ALPHA * (1 << language.BITS)
+            s.append(math.log(docs[x] / sum(docs.values())) + sum(n * math.log((seen[x][f] + language.ALPHA) / whole) for f, n in grams(t).items()))
+        k = int(np.argmax(s))
+        want[d, langs[k], round(1 / sum(math.exp(x - s[k]) for x in s), 5)] += 1
+    assert got == want
+
+
+def test_interpolation_by_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vocab = [f"v{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(vocab, int(rng.integers(0, 40)), p=np.arange(60, 0, -1) / 1830)), "en", "s") for i in range(150)]
+    learned, learn = [], interpolation.learn_weights
+    monkeypatch.setattr(interpolation, "learn_weights", lambda cells, counts: learned.append(learn(cells, counts)) or learned[-1])
+    got = {r["doc_id"]: r["score"] for r in interpolation.score_documents(spark.createDataFrame(rows, DDL)).collect()}
+    one, two, before = Counter(), Counter(), Counter()
+    for d, t, *_ in rows:
+        if not interpolation.held_out(d):
+            seq = [*words(t), None]
+            one.update(seq)
+            two.update(zip(["<", *seq[:-1]], seq))
+            before.update(["<", *seq[:-1]])
+    n, v = sum(one.values()), len(one)
+    (w,) = learned
+    assert np.allclose(w.sum(axis=1), 1) and (w >= 0).all()
+    for d, t, *_ in rows:
+        seq, total = [*words(t), None], 0.0
+        for a, b in zip(["<", *seq[:-1]], seq):
+            # a context's frequency is that of the word, wherever it stands; before a text, the number of texts
+            c = before["<"] if a == "<" else one[a]
+            x = w[min(int(math.log2(c + 1)), interpolation.BUCKETS - 1)]
+            total += math.log10(x[0] * two[a, b] / max(c, 1) + x[1] * one[b] / n + x[2] / (v + 1))
+        assert math.isclose(got[d], total, rel_tol=1e-9, abs_tol=1e-9)
