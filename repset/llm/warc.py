@@ -34,6 +34,9 @@ def resolve_revisits(pages: DataFrame) -> DataFrame:
     h = h.where(F.col("bytes") >= LEAST_BYTES).select("page_id", "digest")
     h, _ = materialize(h, "headers")
     first = h.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
+    first, _ = materialize(first, "firsts")
+    if first.count() <= BROADCAST_ROWS:  # a payload of very many pages is then no key of a shuffle
+        first = F.broadcast(first)
     return h.join(first, "digest").where("NOT page_id <=> first").select("page_id", "digest", "first").distinct()
 
 
