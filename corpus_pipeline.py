@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repset.llm import decontaminate, jaccard, mixing, quality, tokenfile
-from repset.session import materialize
+from repset.session import drop, materialize
 
 #: near copies in the pipeline: five words, similarity of 0.8 or more
 NEAR = jaccard.Rule(words=5, percent=80)
@@ -85,8 +85,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents; each result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply all stages to documents; each result is written to the shared folder and read again, and goes
+    when the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
-        docs, _ = materialize(stage(spark, docs, sf_dir), "stage")
+        docs, at = materialize(stage(spark, docs, sf_dir), "stage")
+        drop(spark, *before)
+        before = [at]
     return docs
