@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repset.session import materialize
+
 WINDOW = 13
 #: runs of ASCII letters and digits and anything beyond ASCII; as what a word holds, since Java is ten
 #: times slower with a class of what it doesn't hold
 WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
-#: bytes of benchmark up to which its window table is broadcast; beyond, words are shuffled
-BROADCAST_BYTES = 32 << 20
+#: bytes of benchmark words, and of the stretches in its window table, up to which each is broadcast;
+#: beyond, words are shuffled
+BROADCAST_BYTES = 8 << 20
 
 
 def low(word: Column) -> Column:
@@ -64,20 +67,19 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFra
 
     Each word of a document is a row only inside one compiled loop, which looks it up among the
     anchors and compares the word before or after; what passes takes along the words around it and
-    is verified. That is, if the benchmark is under BROADCAST_BYTES, so that its tables can be
-    broadcast; otherwise words are shuffled."""
-    spark = docs.sparkSession
+    is verified. That is, if the benchmark's tables are under BROADCAST_BYTES, so that they can be
+    broadcast; otherwise words are shuffled. The window table is kept in the shared folder, so that
+    words aren't counted a second time."""
     vocab = items.select(F.explode(low_words(F.col("text"))).alias("word")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    small = size <= BROADCAST_BYTES
-    hint = F.broadcast if small else (lambda df: df)
+    hint = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
     seen = docs.select(F.explode_outer(words(F.col("text"))).alias("raw")).select(low(F.col("raw")).alias("word"))
     seen = seen.join(hint(vocab), "word").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rarity = vocab.join(seen, "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df"))
     table = anchors(items, rarity, window)
     table = table.withColumns({"before": F.get("seg", F.col("at") - 1), "after": F.get("seg", F.col("at") + 1)})
-    if small:  # a local table: the plan below doesn't count the words a second time
-        table = spark.createDataFrame(table.collect(), table.schema)
+    table, _ = materialize(table, "anchors")
+    small = (table.agg(F.sum(F.octet_length(F.array_join("seg", " ")))).first()[0] or 0) <= BROADCAST_BYTES
     # the outer forms of explode: Spark guards the others by a filter that splits the text a second time
     d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
     beside = (F.col("width") == 1) | (low(F.get("w", F.col("q") - 1)) == F.col("before")) | (low(F.get("w", F.col("q") + 1)) == F.col("after"))
