@@ -36,7 +36,7 @@ def source_targets(sizes: DataFrame, most: int = 3) -> DataFrame:
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, seed: str = "mix", most: int = 3, bucket_rows: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, seed: str = "mix", most: int = 3, bucket_rows: int = 5_000) -> DataFrame:
     """``doc_id, text_hash, source, size, source_size, target, taken, key`` for every row of ``docs`` (doc_id, text, source).
 
     A document's key is the md5 of seed and id: uniform, the same in every run, and spread over
@@ -48,9 +48,10 @@ def mix_sources(docs: DataFrame, seed: str = "mix", most: int = 3, bucket_rows:
     of sizes and keys is kept in the shared folder.
 
     Null text or one of white space has size 0 and takes 0. Null source is a source of its own.
-    A null id hashes as the empty string; equal ids are ordered by size and take as separate rows.
+    A null id hashes as its text; equal ids are ordered by size and take as separate rows.
     An empty table gives an empty result."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit(""))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), own).cast("binary"))
     d, _ = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", word_count(F.col("text")).alias("size"), key.alias("key")), "mix")
     targets = source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), most)
     # buckets by the key's first 32 bits; about bucket_rows of all rows in each
@@ -75,7 +76,7 @@ def mix_sources(docs: DataFrame, seed: str = "mix", most: int = 3, bucket_rows:
 
 ORACLE = """
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-                  md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+                  md5('mix:' || coalesce(doc_id::VARCHAR, md5(text), '')) AS key FROM documents),
  s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
  s1 AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight FROM s0),
  s2 AS (SELECT *, 3 * source_size AS cap, 3.0::DOUBLE * source_size / weight AS ratio, sum(source_size) OVER () AS total, sum(weight) OVER () AS wtotal FROM s1),
