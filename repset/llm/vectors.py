@@ -18,8 +18,8 @@ MOST_LISTS = 1024
 #: a query looks into as many lists as find this share of the nearest neighbours within the sample
 TARGET, TRIALS = 0.97, 500
 PARTS, CODES = 16, 256
-#: vectors of a list in one task, and queries
-CHUNK, QUERY_BLOCK = 4096, 20_000
+#: vectors of a list in one task; queries pass by in batches, so that many of them take no memory
+CHUNK = 16_384
 #: ranked anew on the original vectors: the nearest by table in a chunk, and all that are within
 #: this share of the product of norms of the last of these (near copies have nearly equal codes)
 RERANK, MARGIN = 100, 0.06
@@ -85,14 +85,14 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.astype(np.float64).reshape(rows, -1)
 
 
-_ROW = pa.schema([("list", pa.int32()), ("chunk", pa.int32()), ("block", pa.int32()), ("is_query", pa.bool_()), ("vec_id", pa.int64()), ("code", pa.binary()), ("vec", pa.binary())])
-_ROW_DDL = "list int, chunk int, block int, is_query boolean, vec_id long, code binary, vec binary"
+_ROW = pa.schema([("list", pa.int32()), ("chunk", pa.int32()), ("is_query", pa.bool_()), ("vec_id", pa.int64()), ("code", pa.binary()), ("vec", pa.binary())])
+_ROW_DDL = "list int, chunk int, is_query boolean, vec_id long, code binary, vec binary"
 
 
-def _rows(lists, ids, codes, vecs, query: bool, chunk=None, block=None) -> pa.RecordBatch:
+def _rows(lists, ids, codes, vecs, query: bool, chunk=None) -> pa.RecordBatch:
     n = len(ids)
     zero = np.zeros(n, np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(lists, np.int32)), pa.array(zero if chunk is None else chunk, pa.int32()), pa.array(zero if block is None else block, pa.int32()), pa.array(np.full(n, query)), pa.array(ids, pa.int64()), pa.array(codes, pa.binary()), pa.array(vecs, pa.binary())], schema=_ROW)
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(lists, np.int32)), pa.array(zero if chunk is None else chunk, pa.int32()), pa.array(np.full(n, query)), pa.array(ids, pa.int64()), pa.array(codes, pa.binary()), pa.array(vecs, pa.binary())], schema=_ROW)
 
 
 @tidy
@@ -105,7 +105,7 @@ def _indexed(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
 
 
 @tidy
-def _asked(batches: Iterator[pa.RecordBatch], model, sizes: dict[int, int], blocks: int, k: int) -> Iterator[pa.RecordBatch]:
+def _asked(batches: Iterator[pa.RecordBatch], model, sizes: dict[int, int], k: int) -> Iterator[pa.RecordBatch]:
     """Each query to every chunk of the lists nearest to it: as many as the model probes, and on until
     they hold k vectors besides the query itself."""
     m = model.value
@@ -117,10 +117,10 @@ def _asked(batches: Iterator[pa.RecordBatch], model, sizes: dict[int, int], bloc
             q = _matrix(b.column("embedding"))
             near = np.argsort(-(q @ m.coarse.T), axis=1, kind="stable")
             probe = np.maximum(m.probe, (held[near].cumsum(axis=1) <= k).sum(axis=1) + 1)
-            out = [(int(at), v, x.tobytes(), c, v % (20 * blocks) // 20) for v, x, row, n in zip(b.column("vec_id").to_pylist(), q, near, probe, strict=True) for at in row[:n] for c in range(chunks.get(int(at), 0))]
+            out = [(int(at), v, x.tobytes(), c) for v, x, row, n in zip(b.column("vec_id").to_pylist(), q, near, probe, strict=True) for at in row[:n] for c in range(chunks.get(int(at), 0))]
             if out:
-                at, v, x, c, block = zip(*out, strict=True)
-                yield _rows(at, v, [None] * len(v), x, True, list(c), list(block))
+                at, v, x, c = zip(*out, strict=True)
+                yield _rows(at, v, [None] * len(v), x, True, list(c))
 
 
 _HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -128,7 +128,7 @@ _HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa
 
 @tidy
 def _searched(batches: Iterator[pa.RecordBatch], model, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by (list, chunk, block): the vectors, by id, and then the queries."""
+    """Rows come by (list, chunk): the vectors, by id, and then the queries."""
     m = model.value
     now, ids, codes, vecs, ready = None, [], [], [], None
     for b in batches:
@@ -156,10 +156,10 @@ def _searched(batches: Iterator[pa.RecordBatch], model, k: int) -> Iterator[pa.R
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qid)), pa.array(who[row][best]), pa.array(score[best])], schema=_HIT)
             held.clear()
 
-        for at, chunk, block, is_query, vec_id, code, vec in zip(*(b.column(c).to_pylist() for c in _ROW.names), strict=True):
-            if (at, chunk, block) != now:
+        for at, chunk, is_query, vec_id, code, vec in zip(*(b.column(c).to_pylist() for c in _ROW.names), strict=True):
+            if (at, chunk) != now:
                 yield from _joined(answer())
-                now, ids, codes, vecs, ready = (at, chunk, block), [], [], [], None
+                now, ids, codes, vecs, ready = (at, chunk), [], [], [], None
             if is_query:
                 held.append((vec_id, vec))
             else:
@@ -188,8 +188,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
 
     All vectors are indexed; only centroids and codebooks are fitted on SAMPLE of them. Of equal
     vectors the k + 1 smallest ids are kept, as no more of them can be among the k nearest. Lists are
-    dealt in chunks of about CHUNK vectors and queries in blocks, so a list with a third of all
-    vectors takes many tasks. Scores are exact, in double precision; ties go to the smaller id.
+    dealt in chunks of about CHUNK vectors, so a list with a third of all vectors takes many tasks; each
+    vector is sent once and each query once to every chunk it looks into. Scores are exact, in double precision; ties go to the smaller id.
 
     Vectors null, zero, or with null or non-finite components take no part, nor do rows without id or
     of another length than most (ties: the shorter). Repeated rows count once. A query with fewer
@@ -202,7 +202,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     if length is None:
         return none
     v, _ = materialize(v.where(F.size("embedding") == length["d"]), "vectors")
-    n, n_queries = v.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
+    n = v.count()
     same = Window.partitionBy("embedding").orderBy("vec_id")
     kept, _ = materialize(v.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1), "kept")
     sample = kept.where("copy = 1").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().column("embedding").combine_chunks()
@@ -210,13 +210,12 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     index, _ = materialize(kept.select("vec_id", "embedding").mapInArrow(lambda it: _indexed(it, model), _ROW_DDL), "index")
     # one row a list, MOST_LISTS at most
     sizes = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
     per = spark.createDataFrame(sorted((i, -(-n // CHUNK)) for i, n in sizes.items()), "l int, c int")
     placed = index.join(F.broadcast(per), F.col("list") == F.col("l")).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("c")).cast("int"))
-    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*_ROW.names)
-    asked = v.where(F.col("vec_id") % every == 0).mapInArrow(lambda it: _asked(it, model, sizes, blocks, k), _ROW_DDL)
+    placed = placed.select(*_ROW.names)
+    asked = v.where(F.col("vec_id") % every == 0).mapInArrow(lambda it: _asked(it, model, sizes, k), _ROW_DDL)
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    both = placed.union(asked).repartition(tasks, "list", "chunk", "block").sortWithinPartitions("list", "chunk", "block", "is_query", "vec_id")
+    both = placed.union(asked).repartition(tasks, "list", "chunk").sortWithinPartitions("list", "chunk", "is_query", "vec_id")
     hits = both.mapInArrow(lambda it: _searched(it, model, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
