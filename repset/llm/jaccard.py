@@ -50,8 +50,9 @@ class Rule:
     percent: int = 85
 
 
-#: sets that hold a token up to which it is a signature by itself; and from which signatures are triples
-RARE, COMMON = 16, 2048
+#: sets that hold a token up to which it is a signature by itself; and from which signatures are triples.
+#: Triples are some 2.5 times as many as pairs, so they are for tokens whose pairs meet often by chance
+RARE, COMMON = 16, 1 << 16
 #: triples are for sets whose size lies in this band (2^band tokens) or a higher one
 TRIPLES = 5
 #: bytes of text in a chunk; bytes of text whose tokens fall into one range of keys
@@ -471,7 +472,7 @@ def _dense_links(corpus: Corpus, members: DataFrame) -> DataFrame:
     return links
 
 
-def _links(corpus: Corpus, pairs: DataFrame, salt_rows: int = 2000) -> DataFrame:
+def _links(corpus: Corpus, pairs: DataFrame, salt_rows: int = 500) -> DataFrame:
     """Those of ``pairs`` (leader, ident) whose sets are within the threshold.
 
     Each leader's pairs are dealt over salts of about ``salt_rows``, so a leader with very many
