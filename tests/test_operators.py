@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from repset.operators import adjust, filters, greedy, linkage, pairs, score, segments, sketch, warn
+from repset.operators import adjust, components, filters, greedy, linkage, pairs, score, segments, sketch, warn
 from repset.operators.components import connected_components
 
 # golden distances of five items: two near, one near them, one far, one apart
@@ -16,10 +16,16 @@ def test_n50_is_strict(spark):
     assert got == {1: (8, 3), 2: (10, 5)}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "ONE_TASK", most)
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (7, 7), (None, 1), (3, 5)], "src long, dst long")
     assert {(r["node"], r["component"]) for r in connected_components(edges).collect()} == {(3, 3), (4, 3), (5, 3), (8, 8), (9, 8)}
     assert connected_components(edges.where("src > 99")).count() == 0
+    order = np.random.default_rng(0).permutation(60)
+    path = spark.createDataFrame([(int(order[i]), int(order[i + 1])) for i in range(59) if i % 20 != 19], "src long, dst long")
+    want = {int(order[i]): int(min(order[i // 20 * 20 : i // 20 * 20 + 20])) for i in range(60)}
+    assert {r["node"]: r["component"] for r in connected_components(path).collect()} == want
 
 
 def test_golden_primary_clusters():
