@@ -186,21 +186,30 @@ def fit(packed: list[bytes], y: np.ndarray, size: int, rounds: int = 400) -> np.
     column is scaled by its frequency."""
     n = np.array([len(x) // 4 for x in packed])
     at = np.frombuffer(b"".join(packed), "<i4")
-    filled = np.flatnonzero(n)
-    starts = (np.cumsum(n) - n)[filled]
     scale = 1 / np.sqrt(np.maximum(np.append(np.bincount(at, minlength=size), len(n)), 1))
     price = PRICE * scale
     price[size] = 0
 
+    # in blocks of rows of about a million features, so that what is held besides them stays small
+    ends = np.cumsum(n)
+    rows = np.unique(np.append(np.searchsorted(ends, np.arange(1_000_000, int(ends[-1]) if len(ends) else 0, 1_000_000)), len(n)))
+    blocks = [(int(i), int(j), int(ends[i - 1]) if i else 0, int(ends[j - 1])) for i, j in zip(np.append(0, rows[:-1]), rows, strict=True) if j > i]
+
     def forward(u: np.ndarray) -> np.ndarray:
-        v = (u * scale).astype(np.float32)
+        v = u * scale
         out = np.full(len(n), float(v[size]))
-        if len(filled):
-            out[filled] += np.add.reduceat(v[at], starts)
+        for i, j, a, b in blocks:
+            some = np.flatnonzero(n[i:j])
+            if len(some):
+                first = ends[i:j][some] - n[i:j][some] - a
+                out[i + some] += np.add.reduceat(v[at[a:b]], first)
         return out
 
     def back(r: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(at, weights=np.repeat(r.astype(np.float32), n), minlength=size), r.sum()) * scale
+        out = np.zeros(size)
+        for i, j, a, b in blocks:
+            out += np.bincount(at[a:b], weights=np.repeat(r[i:j], n[i:j]), minlength=size)
+        return np.append(out, r.sum()) * scale
 
     u = np.ones(size + 1)
     for _ in range(20):
