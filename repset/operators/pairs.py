@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 
 def coverage_gate(pairs: DataFrame, least: float) -> DataFrame:
-    """Similarity 0 where the coverage isn't above ``least``; rows stay."""
-    return pairs.withColumn("ani", F.when(F.col("coverage") <= least, 0.0).otherwise(F.col("ani")))
+    """Similarity 0 where the coverage isn't above ``least``; rows stay. The similarity ``back`` of
+    the other direction, whose coverage may differ, is left out."""
+    return pairs.drop("back").withColumn("ani", F.when(F.col("coverage") <= least, 0.0).otherwise(F.col("ani")))
 
 
 def reciprocal(pairs: DataFrame) -> DataFrame:
     """``query, reference, av_ani, dist``: mean of both directions, 1 for an item with itself; pairs
-    without the other direction are left out."""
-    back = pairs.select(F.col("query").alias("reference"), F.col("reference").alias("query"), F.col("ani").alias("back"))
+    without the other direction are left out. Pairs that hold the similarity ``back`` of the other
+    direction (of ``sketch.containment``) need no join, and keep their ``block``."""
+    keep = ["block"] if {"block", "back"} <= {*pairs.columns} else []
+    if "back" not in pairs.columns:
+        back = pairs.select(F.col("query").alias("reference"), F.col("reference").alias("query"), F.col("ani").alias("back"))
+        pairs = pairs.join(back, ["query", "reference"])
     av = F.when(F.col("query") == F.col("reference"), 1.0).otherwise((F.col("ani") + F.col("back")) / 2)
-    return pairs.join(back, ["query", "reference"]).select("query", "reference", av.alias("av_ani"), (1 - av).alias("dist"))
+    return pairs.select(*keep, "query", "reference", av.alias("av_ani"), (1 - av).alias("dist"))
 
 
 def mirror(pairs: DataFrame, items: DataFrame) -> DataFrame:

@@ -129,3 +129,53 @@ def test_reciprocal_and_gate(spark):
 def test_merged_names_collide(spark):
     m = spark.createDataFrame([("1_1", 7), ("3_2", 7), ("1_2", 8), ("3_1", 8), ("5_1", 9)], "old string, group long")
     assert {r[0]: r[1] for r in adjust.merged_names(m).collect()} == {"1_1": "1.3_1.2#7", "3_2": "1.3_1.2#7", "1_2": "1.3_1.2#8", "3_1": "1.3_1.2#8", "5_1": "5_1"}
+
+
+def _sketches(spark, seed=3):
+    """Equal sketches, near ones, an empty one, and hashes that a third of all items have."""
+    import random
+
+    rnd = random.Random(seed)
+    some = lambda n: [f"{rnd.getrandbits(60):015x}" for _ in range(n)]
+    common, base, rows = some(6), some(40), [(0, []), (1, [])]
+    for i in range(2, 90):
+        own = base[: 40 - i % 4] + some(i % 4 + 2) if i % 3 == 0 else some(20 + i % 30)
+        rows.append((i, sorted({*own, *(common if i % 3 == 1 else [])})))
+    rows += [(100 + i, rows[5][1]) for i in range(4)] + [(200 + i, rows[6][1]) for i in range(3)]
+    return rows, spark.createDataFrame(rows, "item long, hs array<string>")
+
+
+def _by_hand(a, b, s):
+    u = sorted({*a, *b})[:s]
+    return len({*u} & {*a} & {*b}), len(u)
+
+
+def test_pairs_of_sketches_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "CHUNK_ITEMS", (7, 20))
+    monkeypatch.setattr(sketch, "MET", 50)
+    rows, df = _sketches(spark)
+    want = {(a, b): _by_hand(x, y, 32) for a, x in rows for b, y in rows if a < b and _by_hand(x, y, 32)[0]}
+    got = [(r["item1"], r["item2"], r["shared"], r["size"]) for r in sketch.sketch_pairs(df, "item", 32, 5).collect()]
+    assert len(got) == len(want) and {(a, b): (n, m) for a, b, n, m in got} == want
+    block = spark.createDataFrame([(i, i % 2) for i, _ in rows], "item long, block long")
+    inside = {(r["item1"], r["item2"]): (r["shared"], r["size"]) for r in sketch.compared_within(df, "item", block, 32, 5).collect()}
+    assert inside == {k: v for k, v in want.items() if k[0] % 2 == k[1] % 2}
+
+
+def test_containment_by_hand(spark):
+    rows, df = _sketches(spark)
+    block = spark.createDataFrame([(i, i % 2) for i, _ in rows if i % 5], "item long, block long")
+    got = sketch.containment(df, "item", block, 5).collect()
+    want = {(a % 2, a, b): len({*x} & {*y}) for a, x in rows for b, y in rows if a % 5 and b % 5 and a % 2 == b % 2 and {*x} & {*y}}
+    assert len(got) == len(want) and {(r["block"], r["query"], r["reference"]): r["shared"] for r in got} == want
+    n = {i: len(x) for i, x in rows}
+    for r in got:
+        assert math.isclose(r["ani"], (r["shared"] / n[r["query"]]) ** 0.2) and math.isclose(r["back"], (r["shared"] / n[r["reference"]]) ** 0.2)
+
+
+def test_copies_are_linked_and_not_paired(spark):
+    """500 copies have 124,750 pairs; their links and what is compared grow with the copies alone."""
+    rows, _ = _sketches(spark)
+    df = spark.createDataFrame([*((1000 + i, rows[5][1]) for i in range(500)), *rows], "item long, hs array<string>")
+    assert sketch.near_links(df, "item", 64, 5, 0.1).where("item1 >= 1000 AND item2 >= 1000").count() <= 499
+    assert sketch.near_pairs(df, "item", 64, 5, 0.1).where("item1 >= 1000").count() == 500 * 499 // 2
