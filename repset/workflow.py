@@ -140,7 +140,7 @@ def _primary(c: Collection, sketches: DataFrame, p: Params, k: int) -> DataFrame
 def _compared(work: Workspace, c: Collection, groups: DataFrame, p: Params, k: int, paths: list[str] | None) -> DataFrame:
     """``block, query, reference, ani, coverage`` inside blocks."""
     if p.algorithm == "native":
-        return sketch.containment(c.hashes(k), "item", groups, k).select("block", "query", "reference", "ani", "coverage")
+        return sketch.containment(c.only(groups).hashes(k), "item", groups, k).select("block", "query", "reference", "ani", "coverage")
     if not paths:
         raise ValueError(f"{p.algorithm} needs the paths of its outputs")
     found = ALGORITHMS[p.algorithm](work.spark, paths, c, p).select("query", "reference", "ani", "coverage")
