@@ -25,6 +25,8 @@ LIMIT = 18
 EVERY = 128
 #: ids in a block, about; a document is never split
 BLOCK = 1 << 20
+#: ids that are packed at a time
+AT_A_TIME = 1 << 15
 #: bytes of text a file, about; more where that would give over MOST_FILES files
 FILE_BYTES, MOST_FILES = 16 << 20, 100_000
 #: rows looked at for each file, to find where files begin and end
@@ -240,8 +242,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, bounds: np.ndarray) -
         part = _parts(np.asarray(doc.fill_null(_NONE), dtype=np.int64), np.asarray(tie, dtype=np.int64), bounds)
         texts = [t or "" for t in b.column("text").to_pylist()]
         ids = [np.append(x, np.uint32(END)) for x in (enc(texts) if len(texts) > 1 else [_long(enc, texts[0])])]
-        for x in ids:
-            counts += np.bincount(x, minlength=enc.size)
+        counts += np.bincount(np.concatenate(ids), minlength=enc.size)  # once a slice: each call makes an array of all ids' counts
         rows += len(ids)
         yield batch(part.tolist(), doc, tie, [len(x) for x in ids], [pa.compress(x.astype(kind).tobytes(), codec="zstd", asbytes=True) for x in ids])
     if rows:
@@ -301,21 +302,33 @@ def codes(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack(ids: np.ndarray, code: np.ndarray, length: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """(bits from the highest, bit length of each stretch of EVERY ids)."""
+def pack(ids: np.ndarray, n: np.ndarray, code: np.ndarray, length: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+    """(bits from the highest, bit length of each stretch of EVERY ids) of documents of ``n`` ids each, at least one,
+    that lie one after another in ``ids``."""
     size = length[ids].astype(np.int64)
     end = np.cumsum(size)
-    at = end - size
+    first = np.cumsum(n) - n
+    total = np.add.reduceat(size, first)
+    words = total + 63 >> 6
+    base = np.cumsum(words) - words  # each document starts at a whole word
+    own = end[first] - size[first]
+    at = end - size + np.repeat(64 * base - own, n)
     word, room = at >> 6, 64 - (at & 63) - size
     c = code[ids].astype(_U)
     high = np.where(room >= 0, c << np.maximum(room, 0).astype(_U), c >> np.maximum(-room, 0).astype(_U))
-    out = np.zeros((int(end[-1]) + 63 >> 6) + 1, dtype=_U)
+    out = np.zeros(int(words.sum()) + 1, dtype=_U)
     cut = np.flatnonzero(np.diff(word, prepend=-1))
     out[word[cut]] = np.bitwise_or.reduceat(high, cut)
     over = np.flatnonzero(room < 0)
     out[word[over] + 1] |= c[over] << (64 + room[over]).astype(_U)
-    marks = np.append(end[EVERY - 1 : -1 : EVERY], end[-1])
-    return out.byteswap().tobytes()[: int(end[-1]) + 7 >> 3], np.diff(marks, prepend=0).astype("<u2")
+    raw = out.byteswap().tobytes()
+    stretches = -(-n // EVERY)
+    begin = np.cumsum(stretches) - stretches
+    last = np.minimum(np.repeat(first, stretches) + EVERY * (np.arange(int(stretches.sum())) - np.repeat(begin, stretches) + 1), np.repeat(first + n, stretches)) - 1
+    before = np.concatenate([[0], end[last[:-1]]])
+    before[begin] = own
+    marks = (end[last] - before).astype("<u2")
+    return [(raw[8 * w : 8 * w + (t + 7 >> 3)], marks[x : x + k]) for w, t, x, k in zip(base.tolist(), total.tolist(), begin.tolist(), stretches.tolist(), strict=True)]
 
 
 def unpack(bits: np.ndarray, at: np.ndarray, n: np.ndarray, table: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -388,12 +401,17 @@ def _packed(batches: Iterator[pa.RecordBatch], length: np.ndarray) -> Iterator[p
     kind = np.dtype("<u2") if len(length) <= 1 << 16 else np.dtype("<u4")
     for b in batches:
         bits, marks, crc = [], [], []
-        for n, x in zip(b.column("n").to_pylist(), b.column("ids").to_pylist(), strict=True):
-            ids = np.frombuffer(pa.decompress(x, decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True), kind)
-            p, m = pack(ids, code, length)
-            bits.append(p)
-            marks.append(m.tobytes())
-            crc.append(zlib.crc32(p))
+        n, packed = b.column("n").to_numpy(), b.column("ids")
+        ends = np.cumsum(n)
+        i = 0
+        while i < len(n):  # documents of AT_A_TIME ids together, or one
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + AT_A_TIME, side="right")))
+            ids = [np.frombuffer(pa.decompress(packed[k].as_py(), decompressed_size=int(n[k]) * kind.itemsize, codec="zstd", asbytes=True), kind) for k in range(i, j)]
+            for p, m in pack(np.concatenate(ids), n[i:j], code, length):
+                bits.append(p)
+                marks.append(m.tobytes())
+                crc.append(zlib.crc32(p))
+            i = j
         yield pa.RecordBatch.from_arrays([b.column("part"), b.column("doc_id"), b.column("tie"), b.column("n"), pa.array(crc, pa.int64()), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())], names=["part", "doc_id", "tie", "n", "crc", "bits", "marks"])
 
 

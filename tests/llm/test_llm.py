@@ -137,6 +137,20 @@ def test_warc(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_packed_documents_unpack_by_themselves():
+    some = np.random.default_rng(6)
+    length = tokenfile.code_lengths(np.arange(1, 301) ** 3)
+    n = np.array([1, 127, 128, 129, 1, 256, 1000])
+    ids = some.integers(0, 300, int(n.sum())).astype("<u2")
+    table, at = tokenfile.decode_table(length), 0
+    for k, (bits, marks) in zip(n.tolist(), tokenfile.pack(ids, n, tokenfile.codes(length), length), strict=True):
+        ends = np.cumsum(marks.astype(np.int64))
+        held = np.minimum(tokenfile.EVERY, k - tokenfile.EVERY * np.arange(len(marks)))
+        assert len(bits) == ends[-1] + 7 >> 3
+        assert (tokenfile.unpack(np.frombuffer(bits, np.uint8), ends - marks, held, table) == ids[at : at + k]).all()
+        at += k
+
+
 def test_token_files(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
