@@ -18,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,8 +37,7 @@ REFERENCES = 8
 FEW = 4
 #: a block outside of the elements that hold most of the text is left out if it has at most so many words
 STRAY = 4
-#: pairs of children that two nodes are aligned by; where wide lists have more, those nearest to the
-#: diagonal are looked at
+#: pairs of children that are looked at one by one; in wider lists, children that align alike are one kind
 PAIRS = 200_000
 #: bytes of wrappers, and template nodes of all hosts, up to which they are broadcast; beyond, joined by shuffle
 BROADCAST_BYTES, BROADCAST_NODES = 32 << 20, 1_000_000
@@ -193,11 +193,79 @@ def heaviest(pairs: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, in
     return top[0], out[::-1]
 
 
+def _kinds(xs: list[Node], ys: list[Node]) -> list[tuple[list[int], list[Node], list[set[int]]]]:
+    """Of either list the kind of each node, a node of each kind, and the signatures in it that both lists hold. Nodes
+    of one kind align with all of the other list alike: they differ in what that doesn't hold only."""
+    inside: list[list[Node]] = []
+    for nodes in (xs, ys):
+        order, todo = [], list(nodes)
+        while todo:
+            x = todo.pop()
+            order.append(x)
+            todo += _elements(x)
+        inside.append(order)
+    both = {x.sig for x in inside[0]} & {y.sig for y in inside[1]}
+    out = []
+    for nodes, order in zip((xs, ys), inside):
+        names: dict[tuple, int] = {}
+        name: dict[int, int] = {}
+        held: list[set[int]] = []
+        for x in reversed(order):
+            known = x.sig if x.sig in both else 0
+            key = known, x.tag, *(name[id(k)] for k in _elements(x))
+            name[id(x)] = names.setdefault(key, len(names))
+            if len(held) < len(names):
+                held.append({known} - {0} if x.weight == 1 else ({known} - {0}).union(*(held[name[id(k)]] for k in _elements(x))))
+        place: dict[int, int] = {}
+        some, kinds = [], []
+        for x in nodes:
+            k = place.setdefault(name[id(x)], len(place))
+            if k == len(some):
+                some.append(x)
+            kinds.append(k)
+        out.append((kinds, some, [held[n] for n in place]))
+    return out
+
+
+def _wide(rows: list[int], columns: list[int], weight: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
+    """``heaviest`` of all pairs (i, j) with ``weight`` by the kinds of both, row by row; of the rows only some are kept."""
+    kinds, n, m = np.array(columns), len(rows), len(columns)
+
+    def after(row: np.ndarray, i: int) -> np.ndarray:
+        new = np.zeros(m + 1, np.int64)
+        np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weight[rows[i]][kinds]), out=new[1:])
+        return new
+
+    step = int(n**0.5) + 1
+    kept, row = [], np.zeros(m + 1, np.int64)
+    for i in range(n):
+        if i % step == 0:
+            kept.append(row)
+        row = after(row, i)
+    out, j, top = [], m, int(row[m])
+    for k in range(len(kept) - 1, -1, -1):
+        some = [kept[k]]
+        for i in range(k * step, min(n, (k + 1) * step)):
+            some.append(after(some[-1], i))
+        i = len(some) - 1
+        while i and j:
+            if some[i][j] == some[i - 1][j]:
+                i -= 1
+            elif some[i][j] == some[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((k * step + i, j))
+    return top, out[::-1]
+
+
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Simple tree matching of two signed trees: pairs of nodes, parents before children, that keep tags,
     ancestors and order, and hold as many equal subtrees' nodes as can be. Children of a pair of
     equal nodes are not listed. Works without recursion, so depth doesn't matter."""
     done: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
+    kinds: dict[tuple[int, int], list] = {}
+    wide: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
     todo = [(a, b)]
     while todo:
         x, y = todo[-1]
@@ -213,21 +281,46 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
             high += 1
         ends = [(xs[i], ys[i]) for i in range(low)] + [(xs[len(xs) - 1 - i], ys[len(ys) - 1 - i]) for i in range(high)]
         xs, ys = xs[low : len(xs) - high], ys[low : len(ys) - high]
+        pairs, open_ = [], []
+        if len(xs) * len(ys) > PAIRS:
+            key = id(x), id(y)
+            if key not in wide:
+                (rows, of_x, in_x), (columns, of_y, in_y) = kinds[key] = kinds.get(key) or _kinds(xs, ys)
+                weights = np.zeros((len(of_x), len(of_y)), np.int32)
+                for i, c in enumerate(of_x):
+                    for j, d in enumerate(of_y):
+                        if c.sig == d.sig:
+                            weights[i, j] = c.weight
+                        elif c.tag == d.tag and c.weight > 1 and d.weight > 1 and not in_x[i].isdisjoint(in_y[j]):
+                            got = done.get((id(c), id(d)))
+                            if got is None:
+                                open_.append((c, d))
+                            elif got[0]:
+                                weights[i, j] = got[0] + 1
+                if open_:
+                    todo += open_
+                    continue
+                wide[key] = _wide(rows, columns, weights)
+                del kinds[key]
+            open_ = [(xs[i], ys[j]) for i, j in wide[key][1] if xs[i].sig != ys[j].sig and (id(xs[i]), id(ys[j])) not in done]
+            if open_:
+                todo += open_
+                continue
+            todo.pop()
+            weight, chosen = wide.pop(key)
+            done[key] = weight + sum(c.weight for c, _ in ends), ends[:low] + [(xs[i], ys[j]) for i, j in chosen] + ends[low:][::-1]
+            continue
         alike: dict[object, list[int]] = {}
         for j, d in enumerate(ys):
             alike.setdefault(d.sig, []).append(j)
             if d.weight > 1:
                 alike.setdefault(d.tag, []).append(j)
-        band = max(1, PAIRS // (2 * len(xs))) if len(xs) * len(ys) > PAIRS else len(ys)
-        pairs, open_ = [], []
         for i, c in enumerate(xs):
-            middle = i * len(ys) // len(xs)
             for j in alike.get(c.sig, ()):
-                if abs(j - middle) <= band:
-                    pairs.append((i, j, c.weight))
+                pairs.append((i, j, c.weight))
             for j in alike.get(c.tag, ()) if c.weight > 1 else ():
                 d = ys[j]
-                if d.sig != c.sig and abs(j - middle) <= band:
+                if d.sig != c.sig:
                     got = done.get((id(c), id(d)))
                     if got is None:
                         open_.append((c, d))

@@ -290,6 +290,31 @@ def test_tree_matching_is_optimal():
         assert got == matched(a, b)
 
 
+def test_wide_lists_are_matched_as_narrow_ones(monkeypatch):
+    """Of all pairs of children the best, with no regard to how far they are from the diagonal."""
+    rng = np.random.default_rng(8)
+    row = lambda i: rng.choice([f"<b>t{rng.integers(9)}</b>", f"<li><b>own {i}</b><i>reply</i></li>", f"<li><p>own {i}</p><b>t{rng.integers(3)}</b></li>", f"<li><ul><li><b>t{rng.integers(4)}</b></li><li>x{i}</li></ul></li>"])
+    weight = lambda pairs: sum(x.weight for x, y in pairs if x.sig == y.sig) + sum(x.sig != y.sig for x, y in pairs[1:])
+    for n in range(40):
+        a, b = (wrapper.tree_of("<ul>" + "".join(row(f"{side}{i}") for i in range(rng.integers(1, 14))) + "</ul>") for side in "ab")
+        monkeypatch.setattr(wrapper, "PAIRS", 200_000)
+        whole = wrapper.align(a, b)
+        monkeypatch.setattr(wrapper, "PAIRS", 0)
+        pairs = wrapper.align(a, b)
+        assert all(x.tag == y.tag for x, y in pairs) and weight(pairs) == weight(whole)
+        if n < 8:
+            assert weight(pairs) == matched(a, b)
+
+
+def test_wide_lists_far_from_the_diagonal():
+    """900 rows of which the other list has the last 450 first, with another word in each."""
+    item = lambda i, word: f"<li><b>row {i}</b><i>{word} {i}</i></li>"
+    a = wrapper.tree_of("<ul>" + "".join(item(i, "one") for i in range(900)) + "</ul>")
+    b = wrapper.tree_of("<ul>" + "".join(item(i, "two") for i in [*range(450, 900), *range(1000, 1450)]) + "</ul>")
+    equal = sum(x.sig == y.sig for x, y in wrapper.align(a, b))
+    assert equal == 450
+
+
 def test_wrapper_without_article_elements(spark):
     """Alignment alone: plain containers, nothing that names itself."""
     page = lambda i: f"<div><div>Our house since long ago</div><div><a href=/a>Start here</a><a href=/b>And there</a></div></div><div><div><p>{prose(i)}</p><p>{prose(i + 50)}</p></div><div>You may like these pages of ours too</div></div><div>All rights are ours</div>"
