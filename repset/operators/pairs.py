@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repset.operators.sketch import BROADCAST_ITEMS, _few
+
 
 def coverage_gate(pairs: DataFrame, least: float) -> DataFrame:
     """Similarity 0 where the coverage isn't above ``least``; rows stay. The similarity ``back`` of
@@ -64,9 +66,11 @@ def with_self(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 def correlated(sketched: DataFrame, compared: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     """Pairs that have a similarity by sketches (item1, item2, dist) above 0 and another one (query,
-    reference, ani): ``query, reference, similarity, ani``; with ``clusters`` (item, cluster) those within one."""
+    reference, ani): ``query, reference, similarity, ani``, and ``block`` and ``back`` if the other one has them; with
+    ``clusters`` (item, cluster) those within one."""
     s = sketched.where("dist < 1").select(F.col("item1").alias("query"), F.col("item2").alias("reference"), (1 - F.col("dist")).alias("similarity"))
-    out = s.join(compared.select("query", "reference", "ani"), ["query", "reference"])
+    keep = [c for c in ("block", "back") if c in compared.columns]
+    out = s.join(compared.select("query", "reference", "ani", *keep), ["query", "reference"])
     if clusters is not None:
         for side in ("query", "reference"):
             out = out.join(clusters.select(F.col("item").alias(side), F.col("cluster").alias(f"c_{side}")), side)
@@ -74,6 +78,18 @@ def correlated(sketched: DataFrame, compared: DataFrame, clusters: DataFrame | N
     return out
 
 
+def correlated_copies(found: DataFrame, items: DataFrame) -> DataFrame:
+    """``similarity, ani, diff`` of all items (block, rep, item, size) from ``correlated`` pairs (block, query < reference, similarity,
+    ani, back) of representatives: the similarity is from the smaller item, ``diff`` is that of their sizes, and copies are
+    equal to one another. Items are sent to the pairs, and no pair is sent."""
+    side = _few(items.select("block", "rep", "item", "size"), BROADCAST_ITEMS)
+    each = found.join(side.toDF("block", "query", "item1", "n1"), ["block", "query"]).join(side.toDF("block", "reference", "item2", "n2"), ["block", "reference"])
+    diff = F.abs(F.col("n1") - F.col("n2")).alias("diff")
+    each = each.select("similarity", F.when(F.col("item1") < F.col("item2"), F.col("ani")).otherwise(F.col("back")).alias("ani"), diff)
+    one, two = (items.select("block", "rep", F.col("item").alias(f"item{k}"), F.col("size").alias(f"n{k}")) for k in (1, 2))
+    return each.union(one.join(two, ["block", "rep"]).where("item1 < item2").select(F.lit(1.0), F.lit(1.0), diff))
+
+
 def coverage(shared, len1, len2, method: str = "larger"):
     """``larger``: of the longer share of either; ``total``: twice the shared over both lengths."""
     if method == "larger":
