@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -33,6 +34,8 @@ FILE_BYTES, MOST_FILES = 16 << 20, 100_000
 PER_FILE = 64
 #: bytes of pieces and ids that an encoder keeps
 KEEP_BYTES = 32 << 20
+#: bits of the number of places for pieces that are met often
+SLOTS = 18
 END = 0
 #: stands for a document without id in the order of files
 _NONE = -(1 << 63)
@@ -40,6 +43,10 @@ MAGIC = b"RSTOK1\n\0"
 #: fixed values: the public pattern by which the byte-level tokenizer splits text before merging is
 #: 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+_PUBLIC = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: the characters that stand for bytes there: those that can be seen for themselves, the others from U+0100
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _SEEN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
 #: our splitting is done within these characters; a text with any other goes to the library whole
 _PLAIN = regex.compile("[\x09\x0a\x0d\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e]")
 _LETTER, _DIGIT, _SPACE, _OTHER = 1, 2, 3, 4
@@ -93,7 +100,8 @@ class Encoder:
 
     Byte-level BPE merges only inside the pieces of its split pattern, so a text's ids are those of
     its pieces in a row. Texts are split and their pieces hashed (64 bits) a batch at a time in
-    numpy; the library encodes the pieces not seen before. They are kept up to a bound, then anew."""
+    numpy; the library's model encodes the pieces not seen before. They are kept up to a bound, then anew; those met
+    often have a place by the first bits of their hash, and only the others are sorted and searched for."""
 
     def __init__(self, path: str, keep: int = KEEP_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -102,8 +110,9 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size()
         self.special = [str(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.leads = np.zeros(self.size, dtype=bool)  # ids that begin with a blank
-        self.leads[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
+        if self.tok.normalizer is not None or json.loads(self.tok.pre_tokenizer.__getstate__()) != _PUBLIC:
+            raise ValueError(f"{path} splits texts in another way")
+        self.model = self.tok.model
         self.kind = _classes()
         self.keep = keep
         self._anew()
@@ -112,28 +121,20 @@ class Encoder:
         # sorted hashes of the pieces known, and where their ids begin and end
         self.keys, self.begin, self.end = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        # of each place the hash (at first one that belongs elsewhere), where its ids begin and how many
+        self.slot, self.slot_begin, self.slot_n = np.full(1 << SLOTS, ~_U(0)), np.zeros(1 << SLOTS, np.int32), np.zeros(1 << SLOTS, np.int32)
+        self.slot[-1] = 0
 
     def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         """Add pieces; ``hashes`` ascend."""
-        # pieces of a blank and a word stay apart when joined: encoded as one text, their ids begin where an id begins with a blank
-        plain = [k for k, p in enumerate(pieces) if p[0] == 32 and len(p) > 1 and p[1] > 32]
-        taken = set(plain)
-        rest = [k for k in range(len(pieces)) if k not in taken]
-        flats, size = [], np.zeros(len(pieces), np.int64)
-        for k in range(0, len(plain), 4000):
-            part = plain[k : k + 4000]
-            flat = np.array(self.tok.encode_batch_fast([b"".join(pieces[x] for x in part).decode()], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            first = np.flatnonzero(self.leads[flat])
-            if len(first) != len(part):
-                raise ValueError("pieces and ids don't match")
-            flats.append(flat)
-            size[part] = np.diff(first, append=len(flat))
-        got = [e.ids for e in self.tok.encode_batch_fast([pieces[x].decode() for x in rest], add_special_tokens=False)]
-        flats.append(np.fromiter((x for g in got for x in g), dtype=np.uint32))
-        size[rest] = [len(g) for g in got]
-        flat, order = np.concatenate(flats), np.array([*plain, *rest], dtype=np.int64)
-        end = np.zeros(len(pieces), np.int64)
-        end[order] = self.used + np.cumsum(size[order])
+        text, flat, size, at = b"".join(pieces).decode("latin-1").translate(_BYTES), [], [], 0
+        for p in pieces:
+            got = self.model.tokenize(text[at : at + len(p)])
+            flat += [t.id for t in got]
+            size.append(len(got))
+            at += len(p)
+        flat, size = np.array(flat, dtype=np.uint32), np.array(size, dtype=np.int64)
+        end = self.used + np.cumsum(size)
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids) // 2, len(flat)), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -179,14 +180,25 @@ class Encoder:
         byte = np.where(begin > 0, wide[begin - 1], 0)
         stop = np.append(byte[1:], len(raw))
         h = hash_spans(raw, byte, stop)
-        distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        where, known = self._find(distinct)
-        new = np.flatnonzero(~known)
-        if len(new):
-            data = raw.tobytes()
-            self._learn(distinct[new], [data[a:b] for a, b in zip(byte[at[new]].tolist(), stop[at[new]].tolist(), strict=True)])
-            where, _ = self._find(distinct)
-        start, n = self.begin[where][inverse].astype(np.int64), (self.end - self.begin)[where][inverse].astype(np.int64)
+        place = (h >> _U(64 - SLOTS)).astype(np.int64)
+        start, n = self.slot_begin[place].astype(np.int64), self.slot_n[place].astype(np.int64)
+        rest = np.flatnonzero(self.slot[place] != h)
+        if len(rest):
+            distinct, at, inverse, times = np.unique(h[rest], return_index=True, return_inverse=True, return_counts=True)
+            at = rest[at]
+            where, known = self._find(distinct)
+            new = np.flatnonzero(~known)
+            if len(new):
+                data = raw.tobytes()
+                self._learn(distinct[new], [data[a:b] for a, b in zip(byte[at[new]].tolist(), stop[at[new]].tolist(), strict=True)])
+                where, _ = self._find(distinct)
+            begins, sizes = self.begin[where], (self.end - self.begin)[where]
+            start[rest], n[rest] = begins[inverse], sizes[inverse]
+            often = np.flatnonzero(times > 1)
+            own = place[at[often]]
+            self.slot[own] = distinct[often]
+            won = self.slot[own] == distinct[often]  # of several of one place one
+            self.slot_begin[own[won]], self.slot_n[own[won]] = begins[often[won]], sizes[often[won]]
         done = np.cumsum(n)
         flat = self.ids[np.repeat(start - (done - n), n) + np.arange(done[-1] if len(done) else 0)]
         pieces = np.searchsorted(begin, np.append(first, len(cp)))

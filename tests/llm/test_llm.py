@@ -457,3 +457,37 @@ def test_interpolation_by_brute_force(spark, monkeypatch):
             x = w[min(int(math.log2(c + 1)), interpolation.BUCKETS - 1)]
             total += math.log10(x[0] * two[a, b] / max(c, 1) + x[1] * one[b] / n + x[2] / (v + 1))
         assert math.isclose(got[d], total, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_pieces_one_by_one_as_whole_texts():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from repset.llm import tokenfile
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    some, whole, enc = random.Random(11), Tokenizer.from_file(path), tokenfile.Encoder(path, keep=200_000)
+    word = lambda: "".join(some.choice("aeioustrnéñ’'") for _ in range(some.randrange(1, 12)))
+    often, asked, model, resets = [word() for _ in range(300)], [], enc.model, 0
+
+    class Counted:
+        def tokenize(self, piece):
+            asked.append(piece)
+            return model.tokenize(piece)
+
+    enc.model = Counted()
+    for turn in range(12):
+        texts = ["".join(some.choice([*often, word(), "7", " 42", "\n", "  ", "\t", " (", ")…", " ", "中", "I'll "]) + some.choice(["", " "]) for _ in range(400)) for _ in range(8)] + ["", " ", "don't"]
+        before = len(enc.keys)
+        got = enc(texts)
+        resets += len(enc.keys) < before
+        for t, x in zip(texts, got, strict=True):
+            assert x.tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert resets and (enc.slot_n > 0).sum() > 100
+    known = len(asked)
+    enc(["the same again"])
+    first = len(asked) - known
+    enc(["the same again", "the same again"])
+    assert len(asked) - known == first <= 3
