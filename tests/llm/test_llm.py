@@ -491,3 +491,25 @@ def test_pieces_one_by_one_as_whole_texts():
     first = len(asked) - known
     enc(["the same again", "the same again"])
     assert len(asked) - known == first <= 3
+
+
+def test_places_are_given_up_with_the_pieces():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from repset.llm import tokenfile
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    some, whole, enc, resets = random.Random(12), Tokenizer.from_file(path), tokenfile.Encoder(path, keep=4000), 0
+    often = ["".join(some.choice("aeioustrné’") for _ in range(some.randrange(1, 9))) for _ in range(200)]
+    for _ in range(8):
+        texts = [" ".join(some.choices(often, k=300)) for _ in range(4)]
+        before = enc.ids
+        got = enc(texts)
+        resets += enc.ids is not before
+        assert (enc.slot_n > 0).sum() > 50
+        for t, x in zip(texts, got, strict=True):
+            assert x.tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert resets > 1
